@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secret_scan
 from .common import table
 
 
@@ -15,9 +15,11 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": _documents(secret_scan.op1_secrets),
     "op8_mixing": _documents(mixing.op8_mixing),
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": secret_scan.oracle_sql(),
     "op8_mixing": mixing.OP8_SQL,
 }
