@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secret_scan
+from . import mixing, quality_rules, secret_scan
 from .common import table
 
 
@@ -16,6 +16,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": _documents(secret_scan.op1_secrets),
+    "op2_quality": quality_rules.op2_quality,
     "op8_mixing": _documents(mixing.op8_mixing),
 }
 
