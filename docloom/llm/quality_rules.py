@@ -166,14 +166,15 @@ class DecisionList:
 
 
 def _thresholds(labelled: DataFrame, features: tuple[str, ...]) -> dict[str, list[float]]:
-    """Distinct quantiles of either label, by feature: one aggregation, a fixed number of values."""
+    """Midpoints of distinct quantiles of either label, by feature: one aggregation of fixed size."""
     picks = [
         F.percentile_approx(F.when(F.col("bad") == b, F.col(f)), list(QUANTILES), 1000).alias(f"{f}_{b}")
         for f in features
         for b in (0, 1)
     ]
     row = labelled.agg(*picks).first()
-    return {f: sorted({x for b in (0, 1) for x in (row[f"{f}_{b}"] or [])}) for f in features}
+    values = {f: sorted({x for b in (0, 1) for x in (row[f"{f}_{b}"] or [])}) for f in features}
+    return {f: [(x + y) / 2 for x, y in zip(v, v[1:])] for f, v in values.items()}
 
 
 def learn(
