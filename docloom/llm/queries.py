@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, license_scan, mixing, quality_rules, secret_scan, sentence_pieces, url_filters
+from . import chat_format, cross_polytope, language_id, license_scan, mixing, quality_rules, secret_scan, sentence_pieces, url_filters
 from .common import table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": _documents(secret_scan.op1_secrets),
     "op2_quality": quality_rules.op2_quality,
     "op3_language": _documents(language_id.op3_language),
+    "op4_nearest": cross_polytope.op4_nearest,
     "op5_chat": chat_format.op5_chat,
     "op6_url_filter": url_filters.op6_url_filter,
     "op7_licenses": _documents(license_scan.op7_licenses),
