@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, cross_polytope, language_id, license_scan, mixing, quality_rules, secret_scan, sentence_pieces, url_filters
+from . import chat_format, cross_polytope, jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, sentence_pieces, url_filters
 from .common import table
 
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": _documents(license_scan.op7_licenses),
     "op8_mixing": _documents(mixing.op8_mixing),
     "op9_sentence_pieces": _documents(sentence_pieces.op9_sentence_pieces),
+    "op10_jaccard_join": _documents(jaccard_join.op10_jaccard_join),
 }
 
 ORACLE_SQL: dict[str, str] = {
