@@ -42,7 +42,9 @@ def unit_hash(doc_id: Column, seed: int) -> Column:
 def water_fill(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """Targets of the sources of ``sizes(source, source_size)``; weights repeat in code-point order.
 
-    Adds weight, target.  One row per source, so its windows see few rows.
+    Adds weight, target.  One row per source, so its windows see few rows.  The level
+    that the sources from one on would share rises up to the first that is not capped and
+    falls after it, so the water level is the highest one of a free source.
     """
     everything = W.partitionBy()
     ranked = sizes.withColumn(
@@ -65,7 +67,7 @@ def water_fill(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs:
             "_level", (F.col("_total") - F.col("_spent")).cast("double") / F.col("_left").cast("double")
         )
         .withColumn("_free", F.col("_level") * F.col("weight") <= F.col("_cap"))
-        .withColumn("_water", F.min(F.when(F.col("_free"), F.col("_level"))).over(everything))
+        .withColumn("_water", F.max(F.when(F.col("_free"), F.col("_level"))).over(everything))
     )
     target = F.when(
         F.col("_free"), F.least(F.col("_water") * F.col("weight"), F.col("_cap").cast("double"))
@@ -181,7 +183,7 @@ l AS (SELECT *,
         / CAST(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
       FROM w),
 t AS (SELECT *, CASE WHEN level * weight <= cap
-        THEN least((min(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight, CAST(cap AS DOUBLE))
+        THEN least((max(level) FILTER (WHERE level * weight <= cap) OVER ()) * weight, CAST(cap AS DOUBLE))
         ELSE CAST(cap AS DOUBLE) END AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(least(target / source_size, 3.0::DOUBLE)) AS BIGINT) END AS whole FROM t),
 q AS (SELECT *, target - whole * source_size AS need FROM p),
