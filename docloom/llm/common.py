@@ -28,16 +28,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    That folder is shared by driver and executors, so the rows outlive any
-    executor.  Only where the setting is absent (local tests) a temporary one is used.
+    Only where the setting is absent (local tests) a temporary one is made and set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder: its rows outlive any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -215,6 +215,18 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return rows.mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+    """Rows whose language is recognised with at least ``min_score``, all columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (model.predict(t.as_py()) for t in batch.column(at))
+            yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame) -> Model:
     """Model of the labelled documents outside the held-out fold."""
     return fit(docs.where((fold() != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))

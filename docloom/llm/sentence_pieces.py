@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 MARK = "▁"
 #: Words that a worker remembers.
@@ -191,7 +191,7 @@ class Pieces:
 def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` with ids (array<int>), n_tokens and round_trip (decoding gives the text back)."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", "array<int>").add("round_trip", "boolean")
+    schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
