@@ -4,5 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import text_queries
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (text_queries,):
+    QUERIES.update(module.QUERIES)
+    ORACLE_SQL.update(module.SQL)
