@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, as joins and aggregations."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -16,19 +16,37 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Steps along parents within a round; each doubles what is contracted.
+JUMPS = 2
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label) of ``edges(a, b)``: labels of a component agree.
+    """(node, label) for every node of ``edges(a, b)``; all nodes of a component share a label.
 
-    Every round gives a node its least neighbour as parent, renames edges to parents and
-    drops loops; edges shrink by a factor each round.
+    Contraction: every node takes its least neighbour, if that is lower, as its parent;
+    parents are followed a few steps, edges are renamed to them and loops dropped.  The
+    edges left shrink by a factor every round, so few rounds are needed whatever the
+    shape.  A hub is one pre-aggregated row of the minimum and a skewed join, which is
+    split at run time.  Every round is written to the shared checkpoint folder.
     """
-    left = durable(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = left.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = checkpoint(both.where("a <> b").distinct())
+    labels = None
     for _ in range(max_rounds):
+        parents = left.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        for _ in range(JUMPS):
+            up = parents.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+            parents = parents.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"))
+            parents = checkpoint(parents)
+        step = parents.select(F.col("node").alias("_n"), F.col("label").alias("_to"))
+        if labels is None:
+            labels = parents
+        else:
+            moved = labels.join(step, F.col("label") == F.col("_n"), "left")
+            labels = checkpoint(moved.select("node", F.coalesce("_to", "label").alias("label")))
+        half = left.join(step, F.col("a") == F.col("_n")).select(F.col("_to").alias("a"), "b")
+        renamed = half.join(step, F.col("b") == F.col("_n")).select("a", F.col("_to").alias("b"))
+        left = checkpoint(renamed.where("a <> b").distinct())
         if left.isEmpty():
             break
-        parent = durable(left.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
-        labels = durable(labels.join(parent, labels["label"] == parent["n"], "left").select("node", F.coalesce("to", "label").alias("label")))
-        half = left.join(parent, left["a"] == parent["n"]).select(F.col("to").alias("a"), "b")
-        left = durable(half.join(parent, half["b"] == parent["n"]).select("a", F.col("to").alias("b")).where("a <> b").distinct())
     return labels
