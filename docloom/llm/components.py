@@ -1,36 +1,5 @@
-"""Connected components of an edge table, as joins and aggregations."""
+"""Connected components, shared with the corpus operators."""
 
-from __future__ import annotations
+from docloom.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import checkpoint
-
-
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, label) for every node of ``edges(a, b)``; the label is the least node reachable.
-
-    Every round takes the least label among the neighbours and then follows labels one
-    step (pointer jumping), so rounds grow with the logarithm of the diameter.  Each round
-    is written to the shared checkpoint folder; nothing is collected but a counter.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpoint(both.where("a <> b").distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        target = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        after = checkpoint(
-            lower.join(target, "low", "left").select("node", F.col("label").alias("was"), F.least("low", F.coalesce("far", "low")).alias("label"))
-        )
-        moved = after.where(F.col("label") != F.col("was")).limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            break
-    return labels
+__all__ = ["components"]
