@@ -180,17 +180,22 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS,
     picked = labelled.where(part < share * 1_000_000).select(part.alias("part"), "lang", "text")
     # ordered, so that the bound keeps the same rows in every run
     sample = picked.orderBy("part", "text").limit(2 * per_language * len(langs)).collect()
-    data = [(r["part"], langs.index(r["lang"]), c) for r in sample if (c := gram_counts(r["text"], bits)) is not None]
-    data = [(part % 5 == 0, y, np.flatnonzero(c), vector(c, idf)) for part, y, c in data]
+    data = []  # sparse: the driver holds a few bytes for every n-gram of the sample
+    for r in sample:
+        counts = gram_counts(r["text"], bits)
+        if counts is not None:
+            at = np.flatnonzero(counts)
+            data.append((r["part"] % 5 == 0, langs.index(r["lang"]), at.astype(np.int32), vector(counts[at], idf[at]).astype(np.float32)))
+    del sample
     order = np.random.default_rng(11).permutation(len(data))
     model = FtrlSoftmax(len(langs), 1 << bits)
     for _ in range(epochs):
         for i in order:
             calibrates, y, at, x = data[i]
             if not calibrates:
-                model.learn(at, x[at], y)
+                model.learn(at, x, y)
     w = model.weights()
-    held = [(y, w @ x) for calibrates, y, _, x in data if calibrates]
+    held = [(y, w[:, at] @ x) for calibrates, y, at, x in data if calibrates]
     heat = temperature(np.array([l for _, l in held]), np.array([y for y, _ in held])) if held else 1.0
     return Model(langs, idf, w.astype(np.float32), heat, bits)
 
