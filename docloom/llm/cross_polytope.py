@@ -36,6 +36,8 @@ from .common import checkpoint, table
 TABLES = 16
 #: Buckets of a table that a query visits, for every level of hashes.
 PROBES = 8
+#: A query visits more buckets of a small table: as many as hold so many vectors on average.
+LEAST_VECTORS = 1000
 #: Vectors that an average bucket holds.
 BUCKET = 100
 #: Vectors of a bucket that one task holds.
@@ -112,7 +114,7 @@ class Hasher:
             for level in range(len(self.axes)):
                 r = self._rotated(x, t, level)
                 both = np.concatenate([r, -r], axis=1)
-                m = min(TRIED[min(level, 2)], both.shape[1])
+                m = min(max(TRIED[min(level, 2)], n if level == 0 else 0), both.shape[1])
                 order = np.argsort(-both, axis=1)[:, :m]
                 value = np.take_along_axis(both, order, 1).astype(float)
                 signed = order % r.shape[1] * 2 + (order >= r.shape[1])
@@ -293,7 +295,9 @@ def nearest(df: DataFrame, is_query, k: int = 20, probes: int = PROBES, tables:
         "t", "head", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"),
         "last", F.array().cast("array<long>").alias("lasts"), "rep", "v",
     )
-    asks = probe_rows(queries, hasher, probes * len(hasher.axes)).join(heavy, ["t", "head"], "left").select(
+    buckets = int(np.prod([2 * a for a in hasher.axes]))
+    visits = max(probes * len(hasher.axes), -(-LEAST_VECTORS * buckets // (max(1, shape["n"]) * tables)))
+    asks = probe_rows(queries, hasher, min(visits, buckets)).join(heavy, ["t", "head"], "left").select(
         "t", "head", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"),
         F.lit(0).cast("long").alias("last"), "lasts", "rep", "v",
     )

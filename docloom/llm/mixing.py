@@ -135,7 +135,11 @@ def mix(
     source: str = "source",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Each row of ``docs`` with mix_size, mix_source_size, mix_target and mix_reps (long)."""
+    """Each row of ``docs`` with mix_size, mix_source_size, mix_target and mix_reps (long).
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_reps", "_mix_source", "_mix_whole", "_mix_cut")
     sized = docs.select(
         F.col(source).alias("source"),
         count_words(F.col(text)).alias("_size"),

@@ -132,42 +132,46 @@ def classify(stats: DataFrame) -> DataFrame:
     )
 
 
-def find_secrets(
-    docs: DataFrame, owner: Column, repo: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
-) -> DataFrame:
-    """Rows of ``docs`` with a span: ``keep`` columns and their sorted ``spans``, and those without any.
-
-    ``spans`` holds the base spans and the candidate spans of live values; ``n_live``
-    and ``n_copied`` count the spans whose value is live or copied.
-    """
+def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text: str) -> DataFrame:
+    """(kept, spans, n_live, n_copied); ``kept`` is a struct, so no name of the input can clash."""
     scanned = checkpoint(
         docs.select(
-            *keep,
-            F.coalesce(owner.cast("string"), F.lit("\u0000null")).alias("_owner"),
-            F.coalesce(repo.cast("string"), F.lit("\u0000null")).alias("_repo"),
-            scan(F.col(text)).alias("_spans"),
-            F.monotonically_increasing_id().alias("_row"),
+            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"),
+            F.coalesce(owner.cast("string"), F.lit("\u0000null")).alias("owner"),
+            F.coalesce(repo.cast("string"), F.lit("\u0000null")).alias("repo"),
+            scan(F.col(text)).alias("found"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    empty = scanned.where(F.size("_spans") == 0).select(
-        *keep,
+    empty = scanned.where(F.size("found") == 0).select(
+        "kept",
         F.array().cast(_SPAN).alias("spans"),
         F.lit(0).cast("long").alias("n_live"),
         F.lit(0).cast("long").alias("n_copied"),
     )
-    holders = scanned.where(F.size("_spans") > 0)
-    found = holders.select("_row", "_owner", "_repo", F.explode("_spans").alias("span"))
-    stats = classify(
-        ownership(found.select(F.col("span.hash").alias("hash"), F.col("_owner").alias("owner"), F.col("_repo").alias("repo")))
-    ).select(F.col("hash").alias("_hash"), "class")
+    holders = scanned.where(F.size("found") > 0)
+    found = holders.select("row", "owner", "repo", F.explode("found").alias("span"))
+    stats = classify(ownership(found.select(F.col("span.hash").alias("hash"), "owner", "repo"))).select("hash", "class")
     live = (F.col("class") == "owned") & F.col("span.random")
-    judged = found.join(stats, F.col("span.hash") == F.col("_hash"))
-    merged = judged.groupBy("_row").agg(
+    judged = found.join(stats, F.col("span.hash") == F.col("hash"))
+    merged = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("span.base") | live, F.col("span")))).alias("spans"),
         F.count_if(live).alias("n_live"),
         F.count_if(F.col("class") == "copied").alias("n_copied"),
     )
-    return holders.select("_row", *keep).join(merged, "_row").select(*keep, "spans", "n_live", "n_copied").unionByName(empty)
+    return holders.select("row", "kept").join(merged, "row").drop("row").unionByName(empty)
+
+
+def find_secrets(
+    docs: DataFrame, owner: Column, repo: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
+) -> DataFrame:
+    """``keep`` columns of every row of ``docs`` with their sorted ``spans``.
+
+    ``spans`` holds the base spans and the candidate spans of live values; ``n_live``
+    and ``n_copied`` count the spans whose value is live or copied.
+    """
+    judged = _judged(docs, owner, repo, list(keep), text)
+    return judged.select(*[F.col("kept").getField(c).alias(c) for c in keep], "spans", "n_live", "n_copied")
 
 
 def _digest(spans: Column) -> Column:
@@ -199,26 +203,32 @@ def redact(docs: DataFrame, owner: Column, repo: Column, text: str = "text") ->
     Rows without a span pass as they are and are not shuffled.
     """
     cols = docs.columns
-    marked = docs.withColumn("_has", F.lit(False))
+    has = F.lit(False)
     for kind in KINDS:
-        marked = marked.withColumn("_has", F.col("_has") | F.coalesce(F.regexp_like(F.col(text), F.lit(kind[1])), F.lit(False)))
-    clean = marked.where(~F.col("_has")).select(*cols)
-    suspects = marked.where(F.col("_has")).select(*cols)
+        has = has | F.coalesce(F.regexp_like(F.col(text), F.lit(kind[1])), F.lit(False))
+    clean = docs.where(~has)
+    judged = _judged(docs.where(has), owner, repo, cols, text)
+    whole = F.col("kept").getField(text)
     # spans may overlap: a piece of text is kept only from the furthest end so far
-    found = find_secrets(suspects, owner, repo, keep=tuple(cols), text=text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substring(whole, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
         out = F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(gap, F.lit("[SECRET]"))).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text))))
-    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col(text))
-    out = found.withColumn(text, cleaned)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length(F.col(text)).cast("long"))
-    return clean.unionByName(out.select(*cols))
+    rest = lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole)))
+    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(whole)
+    out = judged.select("kept", cleaned.alias("cleaned"))
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("cleaned").alias(c)
+        if c == "n_chars":
+            return F.length("cleaned").cast("long").alias(c)
+        return F.col("kept").getField(c).alias(c)
+
+    return clean.unionByName(out.select(*[column(c) for c in cols]))
 
 
 def _sql_positions(alias: str, pattern: str, group: int) -> str:
