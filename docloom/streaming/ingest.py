@@ -26,7 +26,8 @@ def ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by window and type; works on a stream (with a watermark) and on a table."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    # a watermark needs timestamps with a zone
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     grouped = source.groupBy(F.window("ts", window).alias("w"), "event_type")
     sums = grouped.agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
     return sums.select(F.col("w.start").alias("start"), "event_type", "events", "value")
