@@ -10,7 +10,7 @@ from docloom.functions import paths as P
 from docloom.functions import sketch
 from docloom.functions import text as T
 from docloom.functions.profile import AUTOMOTIVE_DE, NORM_CANONICAL, PATTERNS
-from docloom.operators import checks, origin, references, report, requirements, versions
+from docloom.operators import checks, dashboard, origin, references, report, requirements, versions
 from docloom.sources import files
 from docloom.streaming import ingest
 
@@ -392,3 +392,63 @@ def origin_counts(spark, sf_dir):
 @query("pattern_coverage")
 def pattern_coverage(spark, sf_dir):
     return report.pattern_coverage(mini(spark), {k: PATTERNS[k] for k in ("norm", "quality_spec", "fikb", "chapter_ref", "doc_ref", "intra_corpus_id", "must", "should", "may", "quantity")})
+
+
+# the interactive report
+
+
+@query(
+    "kpi_cards",
+    f"""WITH {DOC_VIEW}, k AS (SELECT CAST(count(*) AS DOUBLE) AS d, avg(CASE WHEN parse_success THEN 1 ELSE 0 END) AS r, CAST(sum(page_count) AS DOUBLE) AS p, CAST(count(DISTINCT language) AS DOUBLE) AS l FROM doc_view)
+    SELECT 'documents' AS card, d AS value, 'blue' AS colour FROM k UNION ALL SELECT 'parse_rate', round(r, 6), CASE WHEN r >= 0.95 THEN 'green' WHEN r >= 0.8 THEN 'amber' ELSE 'red' END FROM k
+    UNION ALL SELECT 'pages', p, 'blue' FROM k UNION ALL SELECT 'languages', l, 'blue' FROM k""",
+)
+def kpi_cards(spark, sf_dir):
+    return dashboard.kpi_cards(doc_view(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query("parse_health", f"WITH {DOC_VIEW} SELECT extension, count(*) FILTER (WHERE parse_success) AS parsed, count(*) FILTER (WHERE NOT parse_success) AS failed FROM doc_view GROUP BY 1")
+def parse_health(spark, sf_dir):
+    return dashboard.parse_health(doc_view(spark, sf_dir))
+
+
+@query(
+    "progress_statistics",
+    f"WITH {DOC_VIEW}, e AS (SELECT count(*) AS documents, count(*) FILTER (WHERE parse_success AND char_count >= 200) AS eligible FROM doc_view) SELECT *, CAST(eligible * (eligible - 1) // 2 AS BIGINT) AS pairs FROM e",
+)
+def progress_statistics(spark, sf_dir):
+    return dashboard.progress(doc_view(spark, sf_dir))
+
+
+@query(
+    "line_count_chart",
+    f"""WITH {DOC_VIEW}, n AS (SELECT len(string_split(text_content, chr(10))) AS h FROM doc_view)
+    SELECT r AS range, (SELECT count(*) FROM n WHERE h BETWEEN lo AND hi) AS n FROM (VALUES ('0', 0, 0), ('1-5', 1, 5), ('6-10', 6, 10), ('11-20', 11, 20), ('21+', 21, 1000000000)) AS v(r, lo, hi)""",
+)
+def line_count_chart(spark, sf_dir):
+    d = doc_view(spark, sf_dir).select(F.size(F.split("text_content", "\n", -1)).alias("headings"))
+    return dashboard.heading_counts(d)
+
+
+@query("norm_families")
+def norm_families(spark, sf_dir):
+    refs = references.resolve(references.extract(mini(spark)), doc_view(spark, sf_dir).select("doc_id", "filename"))
+    return dashboard.norm_families(refs)
+
+
+@query("config_recommendations")
+def config_recommendations(spark, sf_dir):
+    from docloom.operators import boilerplate, projection
+
+    d = doc_view(spark, sf_dir).select(
+        "doc_id", "text_content", "parse_success", F.when(F.col("extension") == ".pdf", "heading_sections").otherwise("sliding_window").alias("strategy"), F.lit(3).alias("headings"), F.lit(0).alias("tables")
+    )
+    return projection.recommendations(projection.project(d), d, boilerplate.discover(doc_view(spark, sf_dir)))
+
+
+@query("audit_signals")
+def audit_signals(spark, sf_dir):
+    d = doc_view(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    sample = F.substring("text_content", 1, 2000)
+    return d.select("doc_id", dashboard.type_signals(F.col("filename"), none, sample).alias("type"), dashboard.oem_signals(F.concat_ws(" ", sample, "customer", "path")).alias("oem")).select("doc_id", "type.*", "oem.*")
