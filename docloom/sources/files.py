@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import jsregex as rx
+from docloom.operators.graph import checkpoint
 
 EXTENSIONS = ("docx", "xlsx", "pptx", "pdf")
 
@@ -20,7 +21,7 @@ EXTENSIONS = ("docx", "xlsx", "pptx", "pdf")
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root`` with content, hash, size and times, in order of path.
 
-    Ids are dense and ordered; they come from one sort of (path) keys, not of contents.
+    Ids are dense and ordered; they come from a sort of the paths, not of the contents.
     """
     files = (
         spark.read.format("binaryFile")
@@ -38,9 +39,25 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
         F.col("modificationTime").alias("created_at"),
         "content",
     )
-    order = named.select("absolute_path").withColumn("_n", F.row_number().over(W.orderBy("absolute_path")))
-    ids = order.select("absolute_path", F.format_string("doc-%03d", "_n").alias("id"))
-    return named.join(ids, "absolute_path")
+    return named.join(dense_ids(named.select("absolute_path")), "absolute_path")
+
+
+def dense_ids(paths: DataFrame) -> DataFrame:
+    """(absolute_path, id): ``doc-001`` and so on in order of path.
+
+    A distributed sort, then each partition's rows are numbered on from the rows of the
+    partitions before it; only one row per partition meets in one task.
+    """
+    ordered = checkpoint(
+        paths.orderBy("absolute_path").select(
+            "absolute_path", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")
+        )
+    )
+    parts = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("_p", "_first", before.alias("_before"))
+    number = F.col("_before") + F.col("_m") - F.col("_first") + 1
+    return ordered.join(offsets, "_p").select("absolute_path", F.format_string("doc-%03d", number).alias("id"))
 
 
 def folder_listing(files: DataFrame, directory: str) -> DataFrame:
