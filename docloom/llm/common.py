@@ -46,6 +46,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; null gives an empty array."""
     stripped = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))
