@@ -3,12 +3,13 @@
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) sends a
 vector to the nearest signed axis: one hash.  A table concatenates as many hashes as
 keep about ``BUCKET`` vectors in a bucket however many there are; the last one uses
-fewer axes.  Each of ``TABLES`` tables holds every vector.  A query probes the
-``PROBES`` most promising buckets of each table; all vectors in them are candidates and
-are reranked by their inner product in double precision.
+fewer axes.  Each of ``TABLES`` tables holds every vector.  A query probes the most
+promising buckets of each table; all vectors in them are candidates and are reranked by
+their inner product in double precision.
 
-Vectors of different norm get one more coordinate that makes their norms equal, which
-turns largest inner product into smallest angle.
+Vectors are indexed by bands of norm, of a ratio of ``RATIO`` at most, and a query probes
+every band: within one, direction tells the inner product.  Bands of fewer than
+``LEAST_VECTORS`` are put together and searched whole.  A query that still has fewer than k is searched exactly.
 
 Equal vectors are one entry of the index with their ``k + 1`` smallest ids (no more can
 be among the nearest), and equal query vectors are searched once, so a vector that a
@@ -23,6 +24,7 @@ of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,14 +38,16 @@ from .common import checkpoint, table
 TABLES = 16
 #: Buckets of a table that a query visits, for every level of hashes.
 PROBES = 8
+#: Largest norm of a band over its least one.
+RATIO = 1.25
 #: A query visits more buckets of a small table: as many as hold so many vectors on average.
 LEAST_VECTORS = 1000
 #: Vectors that an average bucket holds.
 BUCKET = 100
 #: Vectors of a bucket that one task holds.
 CHUNK = 8192
-#: Axes of a level that are tried in the search for the best probes.
-TRIED = (24, 8, 4)
+#: Combinations of axes that are compared at once in the search for the best probes.
+COMPARED = 1 << 21
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -63,16 +67,13 @@ class Hasher:
 
     dim: int
     axes: tuple[int, ...]
-    scale: float = 1.0
-    lift: bool = False
     tables: int = TABLES
     seed: int = 5
 
     @classmethod
-    def sized(cls, dim: int, rows: int, top: float, low: float, **more) -> Hasher:
-        """Levels for so many rows; ``top`` and ``low`` are the extreme norms."""
-        lift = low < 0.999 * top
-        full = 1 << max(0, dim + lift - 1).bit_length()
+    def sized(cls, dim: int, rows: int, **more) -> Hasher:
+        """Levels for so many rows."""
+        full = 1 << max(0, dim - 1).bit_length()
         axes, buckets = [full], 2 * full
         while rows > 1.5 * BUCKET * buckets:
             last = 1
@@ -80,7 +81,12 @@ class Hasher:
                 last *= 2
             axes.append(last)
             buckets *= 2 * last
-        return cls(dim, tuple(axes), top or 1.0, lift, **more)
+        return cls(dim, tuple(axes), **more)
+
+    @property
+    def size(self) -> int:
+        """Buckets of a table."""
+        return int(np.prod([2 * a for a in self.axes]))
 
     def _rotated(self, x: np.ndarray, t: int, level: int) -> np.ndarray:
         rng = np.random.default_rng([self.seed, t, level])
@@ -88,16 +94,15 @@ class Hasher:
             x = hadamard(x * signs)
         return x[:, : self.axes[level]]
 
-    def _padded(self, v: np.ndarray, query: bool) -> np.ndarray:
+    def _padded(self, v: np.ndarray) -> np.ndarray:
         x = np.zeros((len(v), self.axes[0]), np.float32)
-        x[:, : self.dim] = v / (np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if query else self.scale)
-        if self.lift and not query:
-            x[:, self.dim] = np.sqrt(np.maximum(0, 1 - (x[:, : self.dim] ** 2).sum(axis=1)))
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        x[:, : self.dim] = v / np.linalg.norm(v, axis=1, keepdims=True)
         return x
 
     def buckets(self, v: np.ndarray) -> Iterator[np.ndarray]:
         """Per table: (rows, levels) signed axes, axis * 2 + (value < 0)."""
-        x = self._padded(v, False)
+        x = self._padded(v)
         for t in range(self.tables):
             out = []
             for level in range(len(self.axes)):
@@ -108,25 +113,37 @@ class Hasher:
 
     def probes(self, v: np.ndarray, n: int) -> Iterator[np.ndarray]:
         """Per table: (rows, up to n, levels), the buckets of least squared distance to the best."""
-        x = self._padded(v, True)
+        x = self._padded(v)
+        step = max(1, COMPARED // (n * min(n, 2 * self.axes[0])))
         for t in range(self.tables):
-            cost, picks = np.zeros((len(x), 1)), np.zeros((len(x), 1, 0), np.int64)
-            for level in range(len(self.axes)):
-                r = self._rotated(x, t, level)
-                both = np.concatenate([r, -r], axis=1)
-                m = min(max(TRIED[min(level, 2)], n if level == 0 else 0), both.shape[1])
-                order = np.argsort(-both, axis=1)[:, :m]
-                value = np.take_along_axis(both, order, 1).astype(float)
-                signed = order % r.shape[1] * 2 + (order >= r.shape[1])
-                step = (value[:, :1] - value) ** 2
-                cost = (cost[:, :, None] + step[:, None, :]).reshape(len(x), -1)
-                left = np.repeat(picks, m, axis=1)
-                right = np.tile(signed, (1, picks.shape[1]))[:, :, None]
-                picks = np.concatenate([left, right], axis=2)
-                keep = np.argsort(cost, axis=1, kind="stable")[:, : max(n, 1)]
-                cost = np.take_along_axis(cost, keep, 1)
-                picks = np.take_along_axis(picks, keep[:, :, None], 1)
-            yield picks
+            rotated = [self._rotated(x, t, level) for level in range(len(self.axes))]
+            yield np.concatenate([self._best([r[at : at + step] for r in rotated], n) for at in range(0, len(x), step)])
+
+    @staticmethod
+    def _best(rotated: list[np.ndarray], n: int) -> np.ndarray:
+        cost, picks = np.zeros((len(rotated[0]), 1)), np.zeros((len(rotated[0]), 1, 0), np.int64)
+        for r in rotated:
+            both = np.concatenate([r, -r], axis=1)
+            m = min(n, both.shape[1])  # the n best use no more of a level
+            order = np.argsort(-both, axis=1)[:, :m]
+            value = np.take_along_axis(both, order, 1).astype(float)
+            signed = order % r.shape[1] * 2 + (order >= r.shape[1])
+            more = (value[:, :1] - value) ** 2
+            cost = (cost[:, :, None] + more[:, None, :]).reshape(len(r), -1)
+            keep = np.argsort(cost, axis=1, kind="stable")[:, :n]
+            left = np.take_along_axis(picks, (keep // m)[:, :, None], 1)
+            right = np.take_along_axis(signed, keep % m, 1)[:, :, None]
+            picks = np.concatenate([left, right], axis=2)
+            cost = np.take_along_axis(cost, keep, 1)
+        return picks
+
+
+@dataclass(frozen=True)
+class Band:
+    """Vectors of similar norm: how they are hashed and how many buckets a query visits; no hasher: one bucket."""
+
+    hasher: Hasher | None = None
+    visits: int = 1
 
 
 def _codes(levels: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,52 +173,78 @@ def valid_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return good.where(F.size("v") == (dims[0]["d"] if dims else 0))
 
 
-def index_rows(entries: DataFrame, hasher: Hasher) -> DataFrame:
-    """(t, head, last, rep, v): every entry in every table."""
-    dim = hasher.dim
+def _norm_log(v: str = "v"):
+    """Logarithm of the norm, for components of any size."""
+    top = F.array_max(F.transform(v, F.abs))
+    return F.log(top) + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / top) * (x / top))) / 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                for t, levels in enumerate(hasher.buckets(_matrix(part.column(1), dim))):
-                    head, last = _codes(levels, hasher.axes)
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, t), pa.int32()), pa.array(head), pa.array(last), part.column(0), part.column(1)],
-                        names=["t", "head", "last", "rep", "v"],
-                    )
 
-    return entries.select("rep", "v").mapInArrow(run, f"t int, head long, last long, rep long, v {_vector_type()}")
+def norm_bands(counts: dict[int, int]) -> list[tuple[list[int], int]]:
+    """(steps of norm, vectors) of every band from ``counts`` by step; small ones in a row are one band."""
+    out, small, held = [], [], 0
+    for step in sorted(counts):
+        if counts[step] >= LEAST_VECTORS:
+            out += [([step], counts[step])] + ([(small, held)] if small else [])
+            small, held = [], 0
+        else:
+            small, held = [*small, step], held + counts[step]
+            if held >= LEAST_VECTORS:
+                out.append((small, held))
+                small, held = [], 0
+    return out + ([(small, held)] if small else [])
 
 
-def probe_rows(queries: DataFrame, hasher: Hasher, probes: int) -> DataFrame:
+def index_rows(entries: DataFrame, bands: list[Band], dim: int, tables: int) -> DataFrame:
+    """(t, head, last, rep, v): every entry in every table of its band; ``t`` counts tables over all bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                of = some.column(2).to_numpy()
+                for g in np.unique(of):
+                    part = some.take(pa.array(np.flatnonzero(of == g)))
+                    n, hasher = part.num_rows, bands[g].hasher
+                    levels = hasher.buckets(_matrix(part.column(1), dim)) if hasher else [np.zeros((n, 1), np.int64)]
+                    for t, found in enumerate(levels):
+                        head, last = _codes(found, hasher.axes if hasher else (1,))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, g * tables + t), pa.int32()), pa.array(head), pa.array(last), part.column(0), part.column(1)],
+                            names=["t", "head", "last", "rep", "v"],
+                        )
+
+    return entries.select("rep", "v", "band").mapInArrow(run, f"t int, head long, last long, rep long, v {_vector_type()}")
+
+
+def probe_rows(queries: DataFrame, bands: list[Band], dim: int, tables: int) -> DataFrame:
     """(t, head, lasts, rep, v): every query at every head that it probes."""
-    dim = hasher.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                for t, picks in enumerate(hasher.probes(_matrix(part.column(1), dim), probes)):
-                    head, last = _codes(picks, hasher.axes)
-                    rows, heads, lasts = [], [], []
-                    for i in range(part.num_rows):
-                        for h in np.unique(head[i]):
-                            rows.append(i)
-                            heads.append(h)
-                            lasts.append(np.unique(last[i][head[i] == h]))
-                    taken = part.take(pa.array(rows, pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(rows), t), pa.int32()),
-                            pa.array(heads, pa.int64()),
-                            pa.array(lasts, pa.list_(pa.int64())),
-                            taken.column(0),
-                            taken.column(1),
-                        ],
-                        names=["t", "head", "lasts", "rep", "v"],
-                    )
+                for g, band in enumerate(bands):
+                    hasher = band.hasher
+                    sought = hasher.probes(_matrix(part.column(1), dim), band.visits) if hasher else [np.zeros((part.num_rows, 1, 1), np.int64)]
+                    for t, picks in enumerate(sought):
+                        head, last = _codes(picks, hasher.axes if hasher else (1,))
+                        rows, heads, lasts = [], [], []
+                        for i in range(part.num_rows):
+                            for h in np.unique(head[i]):
+                                rows.append(i)
+                                heads.append(h)
+                                lasts.append(np.unique(last[i][head[i] == h]))
+                        taken = part.take(pa.array(rows, pa.int32()))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(rows), g * tables + t), pa.int32()),
+                                pa.array(heads, pa.int64()),
+                                pa.array(lasts, pa.list_(pa.int64())),
+                                taken.column(0),
+                                taken.column(1),
+                            ],
+                            names=["t", "head", "lasts", "rep", "v"],
+                        )
 
     schema = f"t int, head long, lasts array<long>, rep long, v {_vector_type()}"
     return queries.select("rep", "v").mapInArrow(run, schema)
@@ -258,30 +301,9 @@ def _rerank(pairs: DataFrame, dim: int, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query long, rep long, score double")
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, probes: int = PROBES, tables: int = TABLES) -> DataFrame:
-    """The k nearest found of every row where ``is_query`` (a Column over vec_id) holds.
-
-    Returns (query_id, rank, vec_id, score), nearest first, ties to the smaller id.
-    """
-    vectors = valid_vectors(df)
-    few = W.partitionBy("v").orderBy("vec_id")
-    ids = F.array_sort(F.collect_set("vec_id"))
-    entries = checkpoint(
-        vectors.withColumn("_n", F.dense_rank().over(few))
-        .where(F.col("_n") <= k + 1)
-        .groupBy("v")
-        .agg(ids.alias("members"))
-        .withColumn("rep", F.array_min("members"))
-    )
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top"), F.min(norm).alias("low"), F.max(F.size("v")).alias("dim")).first()
-    hasher = Hasher.sized(shape["dim"] or 1, shape["n"], shape["top"] or 1.0, shape["low"] or 1.0, tables=tables)
-    # the query rows of one vector share its search
-    asked = checkpoint(
-        vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(entries.select("v", "rep"), "v").select("query_id", "rep").distinct()
-    )
-    queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi")
-    index = index_rows(entries, hasher)
+def _search(entries: DataFrame, queries: DataFrame, bands: list[Band], dim: int, tables: int, k: int) -> DataFrame:
+    """(query, rep, score): the k + 1 best entries in the buckets that every query visits."""
+    index = index_rows(entries, bands, dim, tables)
     heavy = (
         index.select("t", "head")
         .groupBy("t", "head")
@@ -295,20 +317,61 @@ def nearest(df: DataFrame, is_query, k: int = 20, probes: int = PROBES, tables:
         "t", "head", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"),
         "last", F.array().cast("array<long>").alias("lasts"), "rep", "v",
     )
-    buckets = int(np.prod([2 * a for a in hasher.axes]))
-    visits = max(probes * len(hasher.axes), -(-LEAST_VECTORS * buckets // (max(1, shape["n"]) * tables)))
-    asks = probe_rows(queries, hasher, min(visits, buckets)).join(heavy, ["t", "head"], "left").select(
+    asks = probe_rows(queries, bands, dim, tables).join(heavy, ["t", "head"], "left").select(
         "t", "head", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"),
         F.lit(0).cast("long").alias("last"), "lasts", "rep", "v",
     )
     key = ["t", "head", "chunk"]
     pairs = held.unionByName(asks).repartition(*key).sortWithinPartitions(*key, "kind")
-    found = _rerank(pairs, hasher.dim, k + 1).groupBy("query", "rep").agg(F.max("score").alias("score"))
+    found = _rerank(pairs, dim, k + 1).groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = W.partitionBy("query").orderBy(F.desc("score"), "rep")
-    found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
+
+
+def _lists(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(query, near): the k + 1 nearest rows, ties to the smaller id."""
     members = found.join(entries.select("rep", "members"), "rep").select("query", "score", F.explode("members").alias("vec_id"))
     ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1)
-    lists = members.groupBy("query").agg(ordered.alias("near"))
+    return members.groupBy("query").agg(ordered.alias("near"))
+
+
+def nearest(df: DataFrame, is_query, k: int = 20, probes: int = PROBES, tables: int = TABLES) -> DataFrame:
+    """The k nearest found of every row where ``is_query`` (a Column over vec_id) holds.
+
+    Returns (query_id, rank, vec_id, score), nearest first, ties to the smaller id.
+    """
+    vectors = valid_vectors(df)
+    few = W.partitionBy("v").orderBy("vec_id")
+    ids = F.array_sort(F.collect_set("vec_id"))
+    entries = checkpoint(
+        vectors.withColumn("_n", F.dense_rank().over(few))
+        .where(F.col("_n") <= k + 1)
+        .groupBy("v")
+        .agg(ids.alias("members"))
+        .withColumn("rep", F.array_min("members"))
+    )
+    entries = entries.withColumn("norm", _norm_log())
+    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.sum(F.size("members")).alias("ids"), F.max(F.size("v")).alias("dim")).first()
+    dim, top = shape["dim"] or 1, shape["top"] or 0.0
+    entries = entries.withColumn("step", F.floor((F.lit(top) - F.col("norm")) / math.log(RATIO)).cast("int"))
+    steps = norm_bands({r["step"]: r["count"] for r in entries.groupBy("step").count().collect()})
+    named = F.map_from_arrays(*[F.array(*map(F.lit, x)) for x in zip(*[(step, g) for g, (of, _) in enumerate(steps) for step in of])]) if steps else F.lit(None)
+    entries = entries.withColumn("band", F.element_at(named, F.col("step")) if steps else F.lit(0)).select("rep", "v", "members", "band")
+    # the query rows of one vector share its search
+    asked = checkpoint(
+        vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(entries.select("v", "rep"), "v").select("query_id", "rep").distinct()
+    )
+    queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi")
+    # a band of one step has a hash; several steps together are few vectors
+    hashers = [Hasher.sized(dim, n, tables=tables) if len(of) == 1 and n >= LEAST_VECTORS else None for of, n in steps]
+    least = [h and max(probes * len(h.axes), -(-LEAST_VECTORS * h.size // (n * tables))) for h, (_, n) in zip(hashers, steps)]
+    bands = [Band(h, min(m, h.size)) if h else Band() for h, m in zip(hashers, least)]
+    found = _search(entries, queries, bands, dim, tables, k)
+    lists = checkpoint(_lists(found, entries, k))
+    short = queries.join(lists.where(F.size("near") >= min(k + 1, shape["ids"] or 0)), queries["rep"] == lists["query"], "left_anti")
+    if not short.isEmpty():
+        rest = _search(entries.withColumn("band", F.lit(0)), short, [Band()], dim, tables, k)
+        lists = lists.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(_lists(rest, entries, k))
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     joined = asked.join(lists, asked["rep"] == lists["query"]).select("query_id", F.posexplode(own).alias("p", "x"))
     return joined.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

@@ -172,6 +172,31 @@ def test_nearest_exact_cases(spark):
     assert cross_polytope.nearest(df.where("vec_id < 0"), _c("vec_id") == 0).count() == 0
 
 
+def unit_vectors(n, seed=6):
+    x = np.random.default_rng(seed).normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall_of(spark, vectors, every):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in cross_polytope.nearest(df, _c("vec_id") % every == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(0, len(vectors), every):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-scores)[:20])))
+        assert len(got[q]) == 20
+    return sum(hits) / (20 * len(hits))
+
+
+def test_nearest_with_a_long_vector(spark):
+    vectors = unit_vectors(2000)
+    vectors[7] *= 10
+    assert recall_of(spark, vectors, 20) >= 0.9
+
+
 # chat
 
 
