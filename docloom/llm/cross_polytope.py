@@ -9,7 +9,10 @@ their inner product in double precision.
 
 Vectors are indexed by bands of norm, of a ratio of ``RATIO`` at most, and a query probes
 every band: within one, direction tells the inner product.  Bands of fewer than
-``LEAST_VECTORS`` are put together and searched whole.  A query that still has fewer than k is searched exactly.
+``LEAST_VECTORS`` are put together and searched whole.  How many buckets of a band are
+probed is measured, for any number of rows: ``SAMPLE`` queries are searched exactly, and
+as many are probed as find ``TARGET`` of their neighbours, ``PROBES`` a level at least.
+A query that still has fewer than k is searched exactly.
 
 Equal vectors are one entry of the index with their ``k + 1`` smallest ids (no more can
 be among the nearest), and equal query vectors are searched once, so a vector that a
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 from .common import checkpoint, table
 
 TABLES = 16
-#: Buckets of a table that a query visits, for every level of hashes.
+#: Buckets of a table that a query visits at least, for every level of hashes.
 PROBES = 8
 #: Largest norm of a band over its least one.
 RATIO = 1.25
+#: Share of the nearest that the probes find of the sampled queries, and how many are sampled.
+TARGET = 0.95
+SAMPLE = 100
 #: A query visits more buckets of a small table: as many as hold so many vectors on average.
 LEAST_VECTORS = 1000
 #: Vectors that an average bucket holds.
@@ -250,6 +256,53 @@ def probe_rows(queries: DataFrame, bands: list[Band], dim: int, tables: int) ->
     return queries.select("rep", "v").mapInArrow(run, schema)
 
 
+def _sampled(entries: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the sampled queries; of every exact neighbour its query's place, band and vector."""
+    rows = queries.select("v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    asked = np.array([r["v"] for r in rows], float).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            if not len(reps):
+                continue
+            scores = asked @ _matrix(batch.column(1), dim).T
+            n = min(k, len(reps))
+            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.arange(len(asked)), n), pa.int32()),
+                    pa.array(reps[best].ravel(), pa.int64()),
+                    pa.array(np.take_along_axis(scores, best, 1).ravel(), pa.float64()),
+                ],
+                names=["q", "rep", "score"],
+            )
+
+    near = entries.select("rep", "v").mapInArrow(run, "q int, rep long, score double")
+    near = near.withColumn("_n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("_n") <= k)
+    found = near.join(entries.select("rep", "band", "v"), "rep").select("q", "band", "v").collect()
+    return asked, np.array([r["q"] for r in found], int), np.array([r["band"] for r in found], int), np.array([r["v"] for r in found], float).reshape(-1, dim)
+
+
+def visits_for(hasher: Hasher, asked: np.ndarray, of: np.ndarray, near: np.ndarray, least: int) -> int:
+    """Buckets a table, ``least`` or more, that find TARGET of the vectors ``near`` of the queries ``asked[of]``."""
+    least = min(least, hasher.size)
+    if not len(near):
+        return least
+    holds = [_codes(x, hasher.axes) for x in hasher.buckets(near)]
+    n = least
+    while True:
+        rank = np.full(len(near), hasher.size)
+        for (head, last), picks in zip(holds, hasher.probes(asked, n)):
+            heads, lasts = _codes(picks, hasher.axes)
+            hit = (heads[of] == head[:, None]) & (lasts[of] == last[:, None])
+            rank = np.where(hit.any(axis=1), np.minimum(rank, hit.argmax(axis=1)), rank)
+        need = int(np.sort(rank)[math.ceil(len(rank) * TARGET) - 1]) + 1
+        if need <= n or n >= hasher.size:
+            return max(least, min(need, hasher.size))
+        n = min(2 * n, hasher.size)
+
+
 def _rerank(pairs: DataFrame, dim: int, k: int) -> DataFrame:
     """(query, rep, score): the k best of every query in every chunk of a bucket.
 
@@ -364,8 +417,13 @@ def nearest(df: DataFrame, is_query, k: int = 20, probes: int = PROBES, tables:
     queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi")
     # a band of one step has a hash; several steps together are few vectors
     hashers = [Hasher.sized(dim, n, tables=tables) if len(of) == 1 and n >= LEAST_VECTORS else None for of, n in steps]
-    least = [h and max(probes * len(h.axes), -(-LEAST_VECTORS * h.size // (n * tables))) for h, (_, n) in zip(hashers, steps)]
-    bands = [Band(h, min(m, h.size)) if h else Band() for h, m in zip(hashers, least)]
+    bands = [Band() for _ in steps]
+    if any(hashers):
+        sample, of, band, near = _sampled(entries, queries, dim, k + 1)
+        for g, hasher in enumerate(hashers):
+            if hasher:
+                least = max(probes * len(hasher.axes), -(-LEAST_VECTORS * hasher.size // (steps[g][1] * tables)))
+                bands[g] = Band(hasher, visits_for(hasher, sample, of[band == g], near[band == g], least) if len(sample) else least)
     found = _search(entries, queries, bands, dim, tables, k)
     lists = checkpoint(_lists(found, entries, k))
     short = queries.join(lists.where(F.size("near") >= min(k + 1, shape["ids"] or 0)), queries["rep"] == lists["query"], "left_anti")

@@ -197,6 +197,13 @@ def test_nearest_with_a_long_vector(spark):
     assert recall_of(spark, vectors, 20) >= 0.9
 
 
+def test_nearest_of_many_buckets(spark, monkeypatch):
+    # as many buckets for 4,000 rows as hundreds of thousands have
+    monkeypatch.setattr(cross_polytope, "BUCKET", 2)
+    monkeypatch.setattr(cross_polytope, "LEAST_VECTORS", 50)
+    assert recall_of(spark, unit_vectors(4000), 40) >= 0.9
+
+
 # chat
 
 
