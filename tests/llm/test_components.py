@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from docloom.llm.components import components
 
 
@@ -38,5 +40,16 @@ def test_path_star_and_random(spark):
     assert ours(spark, edges) == brute(edges)
 
 
+def test_rising_path(spark):
+    edges = [(k, k + 1) for k in range(1000)]
+    assert ours(spark, edges) == [list(range(1001))]
+
+
+def test_edges_left_are_an_error(spark):
+    edges = [(k, k + 1) for k in range(1000)]
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
+
+
 def test_no_edges(spark):
     assert ours(spark, []) == []
