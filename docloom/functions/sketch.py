@@ -23,22 +23,50 @@ def seeds(n: int = HASHES) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def signature(tokens: list[str], n: int = HASHES) -> np.ndarray:
-    """Least hash of the tokens by seed; all seeds are mixed at once."""
+#: Tokens that are hashed at once, and lists of one step.
+TOKENS = 512
+LISTS = 200
+
+
+def hashes(tokens: list[str], n: int = HASHES) -> np.ndarray:
+    """(tokens, n) hashes by seed of cleaned tokens; tokens of similar length are mixed at once."""
     seed = seeds(n)
-    best = np.full(n, EMPTY, np.uint32)
-    for token in tokens:
-        units = np.frombuffer(token.lower().strip().encode("utf-16-le", "surrogatepass"), np.uint16)
-        if not len(units):
-            continue
-        h = seed ^ np.uint32(0x9747B28C)
-        for u in units:
-            h = (h ^ np.uint32(u)) * np.uint32(0x5BD1E995)
-            h ^= h >> np.uint32(15)
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for t in tokens]
+    out = np.empty((len(tokens), n), np.uint32)
+    order = sorted(range(len(tokens)), key=lambda i: -len(units[i]))
+    for at in range(0, len(order), TOKENS):
+        some = order[at : at + TOKENS]
+        lengths = np.array([len(units[i]) for i in some])
+        padded = np.zeros((int(lengths[0]), len(some)), np.uint32)
+        for k, i in enumerate(some):
+            padded[: len(units[i]), k] = units[i]
+        h = np.repeat((seed ^ np.uint32(0x9747B28C))[None, :], len(some), axis=0)
+        left = np.searchsorted(-lengths, -np.arange(len(padded)), side="left")  # longer than the place
+        for row, m in zip(padded, left):
+            x = h[:m]
+            x ^= row[:m, None]
+            x *= np.uint32(0x5BD1E995)
+            x ^= x >> np.uint32(15)
         h = (h ^ seed) * np.uint32(0xCC9E2D51)
         h ^= h >> np.uint32(13)
-        best = np.minimum(best, h * np.uint32(0x1B873593))
-    return best
+        out[some] = h * np.uint32(0x1B873593)
+    return out
+
+
+def signatures(lists: list[list[str]], n: int = HASHES) -> list[np.ndarray]:
+    """Least hash by seed of the tokens of every list; equal tokens are hashed once."""
+    out = []
+    for at in range(0, len(lists), LISTS):
+        place: dict[str, int] = {}
+        of = [[place.setdefault(c, len(place)) for t in x if t is not None and (c := t.lower().strip())] for x in lists[at : at + LISTS]]
+        every = hashes(list(place), n)
+        out += [every[x].min(axis=0) if x else np.full(n, EMPTY, np.uint32) for x in of]
+    return out
+
+
+def signature(tokens: list[str], n: int = HASHES) -> np.ndarray:
+    """Least hash of the tokens by seed."""
+    return signatures([tokens], n)[0]
 
 
 def minhash(tokens: Column, n: int = HASHES) -> Column:
@@ -46,7 +74,7 @@ def minhash(tokens: Column, n: int = HASHES) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: signature([] if x is None else list(x), n).astype(np.int64))
+        return pd.Series([x.astype(np.int64) for x in signatures([[] if x is None else list(x) for x in lists], n)], dtype=object)
 
     return run(tokens)
 

@@ -15,6 +15,7 @@ from docloom.functions import sketch
 from docloom.functions import text as T
 from docloom.functions.profile import PATTERNS, profile
 from docloom.operators import chunking, graph, origin, quality, references, report, requirements, versions
+from docloom.plans import corpus_queries
 from docloom.sources import files
 from docloom.streaming import ingest
 
@@ -177,6 +178,26 @@ def test_blocked_pairs_equal_all_pairs(spark):
     assert every.where("score < 3").count() == 0 and key(versions.high_pairs(docs))
 
 
+def _documents(spark, folder, rows):
+    spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_fingerprints_of_all_lines(spark, tmp_path):
+    line = lambda d, k: f"line {k} of text {d} with some words"
+    first = [line(0, k) for k in range(8)]
+    # 0 and 1 differ after line 8 alone; 4 is like 3, in another folder, with ids of both remainders
+    texts = ["\n".join(first + [line(d, k) for k in range(8, 40)]) for d in (1, 2)]
+    same = "\n".join(line(9, k) for k in range(20))
+    rows = [(1, texts[0], "s"), (2, texts[1], "s"), (3, same, "s"), (4, same, "s"), (5, "", "s")]
+    prints = {r.doc_id: r for r in corpus_queries._fingerprints(spark, _documents(spark, tmp_path, rows)).collect()}
+    for i, text, _ in rows:
+        assert prints[i].signature == [int(x) for x in sketch.signature(text.split("\n") if text else [])]
+    assert set(prints[5].signature) == {sketch.EMPTY}
+    alike = sum(x == y for x, y in zip(prints[1].signature, prints[2].signature)) / sketch.HASHES
+    assert alike < 0.4 and prints[3].signature == prints[4].signature
+
+
 def test_components(spark):
     labels = {r.node: r.label for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (8, 9), (5, 5)], "a long, b long")).collect()}
     assert labels[1] == labels[2] == labels[3] != labels[8] == labels[9]
