@@ -232,6 +232,11 @@ def version_pairs_high(spark, sf_dir):
     return versions.high_pairs(_fingerprints(spark, sf_dir))
 
 
+@query("version_pairs")
+def version_pairs(spark, sf_dir):
+    return versions.all_pairs(_fingerprints(spark, sf_dir))
+
+
 @query("version_chains")
 def version_chains(spark, sf_dir):
     d = _fingerprints(spark, sf_dir)
@@ -240,7 +245,7 @@ def version_chains(spark, sf_dir):
 
 @query("version_histogram")
 def version_histogram(spark, sf_dir):
-    return versions.histogram(versions.high_pairs(_fingerprints(spark, sf_dir)))
+    return versions.histogram(versions.all_pairs(_fingerprints(spark, sf_dir)))
 
 
 # references and requirements over the mini corpus

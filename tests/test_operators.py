@@ -198,6 +198,19 @@ def test_fingerprints_of_all_lines(spark, tmp_path):
     assert alike < 0.4 and prints[3].signature == prints[4].signature
 
 
+def test_histogram_of_every_confidence(spark, tmp_path):
+    line = lambda d, k: f"line {k} of text {d} with some words"
+    rows = [(i, "\n".join(line(i % 5, k) for k in range(6 + i)), f"s{i % 2}") for i in range(24)]
+    folder = _documents(spark, tmp_path, rows)
+    docs = corpus_queries._fingerprints(spark, folder)
+    product = versions.eligible(docs).select(F.struct("*").alias("a")).crossJoin(versions.eligible(docs).select(F.struct("*").alias("b")))
+    naive = versions.score_pairs(product.where("a.doc_id < b.doc_id").where(versions._comparable())).collect()
+    pairs = corpus_queries.version_pairs(spark, folder).collect()
+    assert sorted((r.doc_a, r.doc_b, r.score) for r in pairs) == sorted((r.doc_a, r.doc_b, r.score) for r in naive)
+    counts = {r["range"]: r.pairs for r in corpus_queries.version_histogram(spark, folder).collect()}
+    assert counts["3-4"] == sum(3 <= r.score <= 4 for r in naive) > 0 and counts["5-6"] == sum(5 <= r.score <= 6 for r in naive) > 0
+
+
 def test_components(spark):
     labels = {r.node: r.label for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (8, 9), (5, 5)], "a long, b long")).collect()}
     assert labels[1] == labels[2] == labels[3] != labels[8] == labels[9]
