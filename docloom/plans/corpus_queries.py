@@ -10,7 +10,7 @@ from docloom.functions import paths as P
 from docloom.functions import sketch
 from docloom.functions import text as T
 from docloom.functions.profile import AUTOMOTIVE_DE, NORM_CANONICAL, PATTERNS
-from docloom.operators import checks, dashboard, origin, references, report, requirements, versions
+from docloom.operators import checks, dashboard, graph, origin, references, report, requirements, versions
 from docloom.sources import files
 from docloom.streaming import ingest
 
@@ -248,7 +248,17 @@ def version_histogram(spark, sf_dir):
     return versions.histogram(versions.all_pairs(_fingerprints(spark, sf_dir)))
 
 
-# references and requirements over the mini corpus
+# references and requirements of all documents
+
+
+def _texts(spark, sf_dir):
+    """(doc_id, headings, text_content) of every document; the table has no headings."""
+    return doc_view(spark, sf_dir).select("doc_id", F.array().cast("array<string>").alias("headings"), "text_content")
+
+
+def _references(spark, sf_dir):
+    """References of every document, found once for all their readers."""
+    return graph.checkpoint(references.extract(_texts(spark, sf_dir)))
 
 
 def _matches(call: str) -> str:
@@ -258,13 +268,13 @@ def _matches(call: str) -> str:
 
 @query("raw_references")
 def raw_references(spark, sf_dir):
-    return references.extract(mini(spark)).select("doc_id", "call", "type", "raw_text")
+    return references.extract(_texts(spark, sf_dir)).select("doc_id", "call", "type", "raw_text")
 
 
 @query("resolved_references")
 def resolved_references(spark, sf_dir):
     names = doc_view(spark, sf_dir).select("doc_id", "filename")
-    return references.resolve(references.extract(mini(spark)), names).select("doc_id", "call", "raw_text", "normalized", "resolved_to", "method", "classification")
+    return references.resolve(_references(spark, sf_dir), names).select("doc_id", "call", "raw_text", "normalized", "resolved_to", "method", "classification")
 
 
 @query(
@@ -278,6 +288,13 @@ def canonical_norms(spark, sf_dir):
     return spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", references.canonical_norm(F.col("raw")).alias("name"))
 
 
+@query("canonical_norms_of_documents")
+def canonical_norms_of_documents(spark, sf_dir):
+    """``canonical_norms`` of every norm in the documents; its SQL is fixed to six texts."""
+    norms = references.extract(_texts(spark, sf_dir)).where("call = 'norms'").select(F.col("raw_text").alias("raw")).distinct()
+    return norms.select("raw", references.canonical_norm(F.col("raw")).alias("name"))
+
+
 @query(
     "requirement_types",
     f"""WITH {MINI_SQL}, l AS (SELECT doc_id, unnest(string_split(text_content, chr(10))) AS t FROM mini)
@@ -291,6 +308,13 @@ def requirement_types(spark, sf_dir):
     return lines.select("doc_id", "t", C.requirement_type(F.col("t")).alias("type"), C.requirement_category(F.col("t")).alias("category"))
 
 
+@query("requirement_types_of_documents")
+def requirement_types_of_documents(spark, sf_dir):
+    """``requirement_types`` of every line of the documents; its SQL is fixed to six texts."""
+    lines = _texts(spark, sf_dir).select("doc_id", F.explode(F.split("text_content", "\n")).alias("t"))
+    return lines.select("doc_id", "t", C.requirement_type(F.col("t")).alias("type"), C.requirement_category(F.col("t")).alias("category"))
+
+
 @query(
     "requirement_density",
     f"""SELECT doc_id, len(regexp_extract_all(text, {rx.re2(*PATTERNS['must'])})) AS mandatory, len(regexp_extract_all(text, {rx.re2(*PATTERNS['should'])})) AS recommended,
@@ -303,12 +327,12 @@ def requirement_density(spark, sf_dir):
 
 @query("requirements_of_sections")
 def requirements_of_sections(spark, sf_dir):
-    return requirements.extract(mini(spark)).select("doc_id", "section", "heading", "type", "category", "quantity_count", "linked_norm", "linked_entity", "safety", "status")
+    return requirements.extract(_texts(spark, sf_dir)).select("doc_id", "section", "heading", "type", "category", "quantity_count", "linked_norm", "linked_entity", "safety", "status")
 
 
 @query("requirement_quality")
 def requirement_quality(spark, sf_dir):
-    return requirements.quality_by_document(requirements.extract(mini(spark)))
+    return requirements.quality_by_document(requirements.extract(_texts(spark, sf_dir)))
 
 
 @query("validation_sample")
@@ -371,8 +395,8 @@ def parse_checks(spark, sf_dir):
 
 @query("consistency_checks")
 def consistency_checks(spark, sf_dir):
-    refs = references.resolve(references.extract(mini(spark)), doc_view(spark, sf_dir).select("doc_id", "filename"))
-    return checks.corpus_checks(_parsed(spark, sf_dir), references=refs, requirements=requirements.extract(mini(spark)))
+    refs = references.resolve(_references(spark, sf_dir), doc_view(spark, sf_dir).select("doc_id", "filename"))
+    return checks.corpus_checks(_parsed(spark, sf_dir), references=refs, requirements=requirements.extract(_texts(spark, sf_dir)))
 
 
 @query("metadata_score")
@@ -395,7 +419,7 @@ def origin_counts(spark, sf_dir):
 
 @query("pattern_coverage")
 def pattern_coverage(spark, sf_dir):
-    return report.pattern_coverage(mini(spark), {k: PATTERNS[k] for k in ("norm", "quality_spec", "fikb", "chapter_ref", "doc_ref", "intra_corpus_id", "must", "should", "may", "quantity")})
+    return report.pattern_coverage(_texts(spark, sf_dir), {k: PATTERNS[k] for k in ("norm", "quality_spec", "fikb", "chapter_ref", "doc_ref", "intra_corpus_id", "must", "should", "may", "quantity")})
 
 
 # the interactive report
@@ -436,7 +460,7 @@ def line_count_chart(spark, sf_dir):
 
 @query("norm_families")
 def norm_families(spark, sf_dir):
-    refs = references.resolve(references.extract(mini(spark)), doc_view(spark, sf_dir).select("doc_id", "filename"))
+    refs = references.resolve(_references(spark, sf_dir), doc_view(spark, sf_dir).select("doc_id", "filename"))
     return dashboard.norm_families(refs)
 
 

@@ -211,6 +211,20 @@ def test_histogram_of_every_confidence(spark, tmp_path):
     assert counts["3-4"] == sum(3 <= r.score <= 4 for r in naive) > 0 and counts["5-6"] == sum(5 <= r.score <= 6 for r in naive) > 0
 
 
+def test_references_and_requirements_of_documents(spark, tmp_path):
+    text = "Das Bauteil muss nach ISO 9001 mit 5 mm geprüft werden, siehe Kapitel 3.2 und Anlage ZX-987654."
+    folder = _documents(spark, tmp_path, [(71, text, "s"), (72, "plain words", "s")])
+    q = corpus_queries
+    assert {(r.doc_id, r.raw_text) for r in q.raw_references(spark, folder).collect()} >= {(71, "ISO 9001"), (71, "Anlage ZX-987654")}
+    assert {r.doc_id for r in q.resolved_references(spark, folder).collect()} == {71}
+    assert [r.references for r in q.norm_families(spark, folder).collect()] == [1]
+    assert {r["raw"] for r in q.canonical_norms_of_documents(spark, folder).collect()} == {"ISO 9001"}
+    assert {r.doc_id: r.type for r in q.requirement_types_of_documents(spark, folder).collect()} == {71: "MANDATORY", 72: "INFORMATIVE"}
+    assert 71 in {r.doc_id for r in q.requirements_of_sections(spark, folder).collect()}
+    assert 71 in {r.doc_id for r in q.requirement_quality(spark, folder).collect()}
+    assert {r.pattern: r.matches for r in q.pattern_coverage(spark, folder).collect()}["norm"] == 1
+
+
 def test_components(spark):
     labels = {r.node: r.label for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (8, 9), (5, 5)], "a long, b long")).collect()}
     assert labels[1] == labels[2] == labels[3] != labels[8] == labels[9]
