@@ -6,7 +6,8 @@ runs).  The value of every span is hashed with SHA-256; the hashes, never the va
 are aggregated over the corpus by distinct repository and distinct owner.  A value
 that many owners and repositories hold is a copied example; a value that stays with
 its owner and looks random is a live credential.  Candidate spans of live values join
-the base spans.
+the base spans.  ``redact`` also takes random values of key kinds that are not copied,
+so a key that two owners hold is removed.
 
 Positions come from Spark itself: ``split`` gives the pieces between the matches of
 a pattern and ``regexp_extract_all`` the matches, so running sums of their lengths
@@ -49,6 +50,8 @@ CANDIDATE_KINDS = (
     ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,39}[0-9])(?=[a-z0-9+/_=-]{0,39}[A-Z])(?=[A-Z0-9+/_=-]{0,39}[a-z])[A-Za-z0-9+/_=-]{24,}", 0, 24),
 )
 KINDS = BASE_KINDS + CANDIDATE_KINDS
+#: Candidate kinds whose form alone says that a random value is a key.
+KEY_KINDS = ("provider", "jwt", "pem")
 #: Values held by one owner are owner-specific; by so many owners and repositories, copied.
 MAX_LIVE_OWNERS = 1
 MIN_COPIED = 3
@@ -132,8 +135,11 @@ def classify(stats: DataFrame) -> DataFrame:
     )
 
 
-def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text: str) -> DataFrame:
-    """(kept, spans, n_live, n_copied); ``kept`` is a struct, so no name of the input can clash."""
+def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text: str, keys: bool = False) -> DataFrame:
+    """(kept, spans, n_live, n_copied); ``kept`` is a struct, so no name of the input can clash.
+
+    ``keys``: ``spans`` also hold random values of key kinds that are not copied.
+    """
     scanned = checkpoint(
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"),
@@ -153,9 +159,10 @@ def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text:
     found = holders.select("row", "owner", "repo", F.explode("found").alias("span"))
     stats = classify(ownership(found.select(F.col("span.hash").alias("hash"), "owner", "repo"))).select("hash", "class")
     live = (F.col("class") == "owned") & F.col("span.random")
+    key = F.col("span.kind").isin(*KEY_KINDS) & F.col("span.random") & (F.col("class") != "copied")
     judged = found.join(stats, F.col("span.hash") == F.col("hash"))
     merged = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("span.base") | live, F.col("span")))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("span.base") | live | (key if keys else F.lit(False)), F.col("span")))).alias("spans"),
         F.count_if(live).alias("n_live"),
         F.count_if(F.col("class") == "copied").alias("n_copied"),
     )
@@ -207,7 +214,7 @@ def redact(docs: DataFrame, owner: Column, repo: Column, text: str = "text") ->
     for kind in KINDS:
         has = has | F.coalesce(F.regexp_like(F.col(text), F.lit(kind[1])), F.lit(False))
     clean = docs.where(~has)
-    judged = _judged(docs.where(has), owner, repo, cols, text)
+    judged = _judged(docs.where(has), owner, repo, cols, text, keys=True)
     whole = F.col("kept").getField(text)
     # spans may overlap: a piece of text is kept only from the furthest end so far
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

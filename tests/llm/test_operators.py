@@ -82,6 +82,18 @@ def test_secrets_redacted(spark):
     assert out[8].text == EDGE[8][1] and out[1].text is None
 
 
+def test_keys_of_two_owners_are_redacted(spark):
+    import corpus_pipeline
+
+    key, example = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cD3fG6", "ghp_" + "zB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cD3fG7"
+    rows = [(i, "my key " + key, "en", s) for i, s in enumerate("ab")]
+    rows += [(10 + i, f"see {example} in text {i}", "en", s) for i, s in enumerate("abc")]  # copied
+    rows += [(20 + i, "one text " + key[:-1] + "9", "en", s) for i, s in enumerate("abc")]  # one text, three owners
+    out = {r.doc_id: r.text for r in corpus_pipeline.secrets_stage(spark, docs(spark, rows), "").collect()}
+    assert out[0] == out[1] == "my key [SECRET]"
+    assert example in out[10] and out[20] == out[22] == "one text [SECRET]"
+
+
 def _c(name):
     from pyspark.sql import functions as F
 
