@@ -47,7 +47,7 @@ CANDIDATE_KINDS = (
     ),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\r\n ]{16,}", 0, 40),
-    ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,39}[0-9])(?=[a-z0-9+/_=-]{0,39}[A-Z])(?=[A-Z0-9+/_=-]{0,39}[a-z])[A-Za-z0-9+/_=-]{24,}", 0, 24),
+    ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{24,}", 0, 24),
 )
 KINDS = BASE_KINDS + CANDIDATE_KINDS
 #: Candidate kinds whose form alone says that a random value is a key.

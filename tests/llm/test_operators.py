@@ -94,6 +94,13 @@ def test_keys_of_two_owners_are_redacted(spark):
     assert example in out[10] and out[20] == out[22] == "one text [SECRET]"
 
 
+def test_mixed_runs_are_judged_whole(spark):
+    run = "path/to/some/long/folder/of/lower/case/names/and/then/" + "aB3dE6gH9jK2mN5pQ8sT"
+    rows = [(1, f"x {run} y", "en", "a"), (2, "x " + "abcdefghijkl" * 6 + " y", "en", "a"), (3, "x " + "q" * 200_000 + " y", "en", "a")]
+    got = {r.doc_id: r.spans for r in secret_scan.op1_secrets(docs(spark, rows)).collect()}
+    assert got == {1: f"mixed:2:{2 + len(run)}", 2: "", 3: ""}
+
+
 def _c(name):
     from pyspark.sql import functions as F
 
