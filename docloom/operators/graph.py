@@ -18,14 +18,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 #: Steps along parents within a round; each doubles what is contracted.
 JUMPS = 2
+#: First rounds that order nodes by themselves: enough for most inputs, whose ids are hashes.
+PLAIN = 2
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges(a, b)``; all nodes of a component share a label.
 
     Contraction: every node takes its least neighbour, if that is lower, as its parent;
-    parents are followed a few steps, edges are renamed to them and loops dropped.  Nodes
-    are ordered by a hash that changes every round, so half of them at most stay on average
+    parents are followed a few steps, edges are renamed to them and loops dropped.  After
+    ``PLAIN`` rounds nodes are ordered by a hash that changes every round, so half of them at most stay on average
     and rounds are logarithmic whatever the shape and the ids.  Edges left after
     ``max_rounds`` are an error, never a result.  A hub is one pre-aggregated row of the minimum and a skewed join, which is
     split at run time.  Every round is written to the shared checkpoint folder.
@@ -34,8 +36,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     left = checkpoint(both.where("a <> b").distinct())
     labels = None
     for turn in range(max_rounds):
-        order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("_h"), F.col(c).alias("_id"))
-        parents = left.groupBy(F.col("a").alias("node")).agg(F.least(F.min(order("b")), F.first(order("a")))["_id"].alias("label"))
+        if turn < PLAIN:
+            least = F.least(F.min("b"), F.first("a"))
+        else:
+            order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("_h"), F.col(c).alias("_id"))
+            least = F.least(F.min(order("b")), F.first(order("a")))["_id"]
+        parents = left.groupBy(F.col("a").alias("node")).agg(least.alias("label"))
         for _ in range(JUMPS):
             up = parents.select(F.col("node").alias("label"), F.col("label").alias("_up"))
             parents = parents.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"))
