@@ -9,28 +9,43 @@ in.  For unigram models that is the edge of best summed score (Viterbi); for byt
 models, whose scores are merge ranks and don't add up, it is the edge that may follow
 the last edge of its own prefix, so results equal those of the reference library.
 
-Distinct words are encoded once per Python worker (a bounded memo); the pass over the
-documents is narrow, so nothing is shuffled.  ``encode_words`` is the same lattice as
-joins and aggregations for tables of distinct words.
+Distinct words are encoded once per Python worker (a memo bounded in bytes), in order,
+so that a word's fold starts where the word before it differs; the pass over the documents is
+narrow, so nothing is shuffled.  ``encode_words`` is the same lattice as joins and
+aggregations for tables of distinct words.
 
 Defined results: a null or empty text has no tokens; characters outside the table
-become byte pieces; repeated rows stay; an empty table gives an empty result; other
-columns of the input are not read.
+become byte pieces; a very long text takes time in proportion to its length, also without
+a blank; repeated rows stay; an empty table gives an empty result; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
 MARK = "▁"
-#: Words that a worker remembers.
-MEMO = 1_000_000
+#: Bytes that the words a worker remembers may take, about, and those of a word besides its characters.
+MEMO_BYTES, WORD_BYTES = 192 << 20, 250
+#: Pairs of pieces that a worker remembers.
+PAIRS = 1_000_000
+#: Characters of the texts that are encoded at once.
+STEP = 4_000_000
+#: Last characters of a piece that tell which lengths are worth a look.
+TAIL = 3
+#: Score of a character outside the table.
+UNKNOWN = -1e4
 _MARKED = re.compile(f"(?<!{MARK})(?={MARK})")
 
 
@@ -49,6 +64,13 @@ class Pieces:
         self.halves: dict[int, tuple[int, int]] = {}
         self.follows: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.held = 0
+        self.short = tuple(range(TAIL - 1, 0, -1))
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) >= TAIL:
+                tails.setdefault(p[-TAIL:], set(self.short)).add(len(p))
+        self.by_tail = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
         self.raw = [
             bytes([byte_ids.index(i)]) if i in special and i in byte_ids else ("" if i in special else p).encode()
             for i, p in enumerate(pieces)
@@ -81,20 +103,34 @@ class Pieces:
         return self.pieces[token] if token >= 0 else chr(-token - 1)
 
     def merges(self, word: str) -> tuple[list[int], tuple[int, int] | None]:
-        """Byte-pair merges one by one: the tokens, and the last pair that was merged."""
-        tokens, last = self.symbols(word), None
-        while len(tokens) > 1:
-            best = None
-            for k in range(len(tokens) - 1):
-                whole = self.ids.get(self.string(tokens[k]) + self.string(tokens[k + 1]))
-                if whole is not None and (best is None or self.scores[whole] > best[0]):
-                    best = (self.scores[whole], k, whole)
-            if best is None:
-                break
-            _, k, whole = best
-            last = (tokens[k], tokens[k + 1])
-            tokens[k : k + 2] = [whole]
-        return tokens, last
+        """Byte-pair merges, best score and then leftmost first, from a heap of neighbours:
+        the tokens, and the last pair that was merged."""
+        tokens, n = self.symbols(word), len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (whole := self.ids.get(self.string(tokens[i]) + self.string(tokens[j]))) is not None:
+                heappush(heap, (-self.scores[whole], i, tokens[i], tokens[j], whole))
+
+        for i in range(n - 1):
+            offer(i)
+        gone, last = None, None
+        while heap:
+            _, i, left, right, whole = heappop(heap)
+            j = after[i]
+            if j >= n or tokens[i] != left or tokens[j] != right:
+                continue  # one of the two has been merged since
+            last = (left, right)
+            tokens[i], tokens[j] = whole, gone
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [t for t in tokens if t is not gone], last
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens that a piece is merged from."""
@@ -123,63 +159,97 @@ class Pieces:
                 limit, (_, x) = rx, self.split(x)
             else:
                 limit, (y, _) = ry + 1, self.split(y)
+        if len(self.follows) >= PAIRS:
+            self.follows.clear()
         self.follows[key] = out
         return out
 
-    def fold(self, word: str) -> list[int]:
-        """Tokens of a word by a left fold over its lattice."""
-        n, get = len(word), self.ids.get
-        if self.is_bpe and MARK * 2 in word:
-            return self.merges(word)[0]  # runs of marks hold pieces of equal rank
-        last: list = [None] * (n + 1)
-        best = [0.0] + [float("-inf")] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = get(word[start:end])
-                if piece is None:
-                    if end - start > 1:
+    def fold(self, words: list[str]) -> Iterator[list[int]]:
+        """Tokens of sorted words, each by a left fold over its lattice.
+
+        The fold of a word goes on from the prefix that it shares with the word before.
+        """
+        get, pieces, follows, bpe = self.ids.get, self.pieces, self.follows.get, self.is_bpe
+        by_tail, short = self.by_tail, self.short
+        before, last, best = "", [(0, -1)], [0.0]
+        for word in words:
+            if bpe and MARK * 2 in word:
+                yield self.merges(word)[0]  # runs of marks hold pieces of equal rank
+                continue
+            n, shared = len(word), 0
+            limit = min(n, len(before))
+            while shared < limit and word[shared] == before[shared]:
+                shared += 1
+            before = word
+            del last[shared + 1 :], best[shared + 1 :]
+            for end in range(shared + 1, n + 1):
+                found, top = None, -math.inf
+                # lengths, longest first, of the pieces with the same last characters
+                for size in (by_tail.get(word[end - TAIL : end]) or short) if end >= TAIL else short:
+                    start = end - size
+                    if start < 0:
                         continue
-                    piece = -ord(word[start]) - 1
-                if not self.is_bpe:
-                    score = best[start] + (self.scores[piece] if piece >= 0 else -1e4)
-                    if score > best[end]:
-                        best[end], last[end] = score, (start, piece)
-                elif start == 0 or self.may_follow(last[start][1], piece):
-                    last[end] = (start, piece)
-                    break
-        out, at = [], n
-        while at:
-            at, piece = last[at]
-            out.append(piece)
-        return out[::-1]
-
-    def word_bytes(self, word: str) -> bytes:
-        """Ids of a word as int32 bytes, byte pieces included."""
-        ids: list[int] = []
-        for t in self.fold(word):
-            ids += [t] if t >= 0 else [self.byte_ids[b] for b in chr(-t - 1).encode("utf-8", "replace")]
-        return np.array(ids, "<i4").tobytes()
+                    piece = get(word[start:end])
+                    if piece is None:
+                        if size > 1:
+                            continue
+                        piece = -ord(word[start]) - 1
+                    if not bpe:
+                        score = best[start] + (self.scores[piece] if piece >= 0 else UNKNOWN)
+                        if score > top:
+                            top, found = score, (start, piece)
+                    else:
+                        left = last[start][1]
+                        if start == 0 or left < 0 or piece < 0:
+                            found = (start, piece)
+                            break
+                        known = follows((left << 32) ^ piece)
+                        if self.may_follow(left, piece) if known is None else known:
+                            found = (start, piece)
+                            break
+                last.append(found)
+                best.append(top)
+            out, at = [], n
+            while at:
+                at, piece = last[at]
+                out.append(piece)
+            out.reverse()
+            yield out
+
+    def word_bytes(self, tokens: list[int]) -> bytes:
+        """Tokens as int32 bytes, byte pieces for those outside the table."""
+        if min(tokens, default=0) < 0:
+            flat: list[int] = []
+            for t in tokens:
+                flat += [t] if t >= 0 else [self.byte_ids[b] for b in chr(-t - 1).encode("utf-8", "replace")]
+            tokens = flat
+        return array("i", tokens).tobytes()
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts as int32 bytes; words that the memo lacks are folded together, in order."""
+        memo, split = self.memo, []
+        for text in texts:
+            if not text:
+                words = []
+            elif "  " in text or text[0] == " " or MARK in text:  # longer runs of marks: words as they are
+                words = _MARKED.split(MARK + text.replace(" ", MARK))[1:]
+            else:
+                words = text.replace("\n", " \n").split(" ")
+            split.append(words)
+        if self.held > MEMO_BYTES:
+            memo.clear()
+            self.held = 0
+        # a line's first word has no mark before it, and words with marks are whole already
+        whole = {w if w[:1] in ("\n", MARK) else MARK + w: w for words in split for w in words if w not in memo}
+        fresh = sorted(whole)
+        for w, tokens in zip(fresh, self.fold(fresh)):
+            memo[whole[w]] = self.word_bytes(tokens)
+            self.held += WORD_BYTES + 4 * len(w)
+        return [b"".join([memo[w] for w in words]) for words in split]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as int32 bytes."""
-        if not text:
-            return b""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        if "  " in text or text[0] == " " or MARK in text:  # longer runs of marks: words as they are
-            words = _MARKED.split(MARK + text.replace(" ", MARK))
-        else:
-            words = [MARK + w for w in text.replace("\n", " \n").split(" ")]
-            # a line's first word has no mark before it
-            words = [w[1:] if w[1:2] == "\n" else w for w in words]
-        out = []
-        for w in words:
-            found = memo.get(w)
-            if found is None:
-                found = memo[w] = self.word_bytes(w)
-            out.append(found)
-        return b"".join(out)
+        return self.encode_texts([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: the first space is the one that encoding put in."""
@@ -195,10 +265,12 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in range(0, batch.num_rows, 500):  # bounds the ids held at once
-                part = batch.slice(piece, 500)
+            sizes = pc.fill_null(pc.binary_length(batch.column(len(keep))), 0).to_numpy().astype(np.int64)
+            steps = np.cumsum(sizes) // STEP  # bounds the words and ids held at once
+            for at, to in itertools.pairwise([*np.flatnonzero(np.diff(steps, prepend=-1)), batch.num_rows]):
+                part = batch.slice(at, to - at)
                 texts = part.column(len(keep)).to_pylist()
-                coded = [np.frombuffer(pieces.encode(t), "<i4") for t in texts]
+                coded = [np.frombuffer(c, "<i4") for c in pieces.encode_texts(texts)]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype("<i4")
                 flat = np.concatenate(coded) if coded else np.zeros(0, "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
@@ -216,47 +288,85 @@ def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",),
     return rows.mapInArrow(run, schema)
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Lattice of distinct ``words(word)`` in relational form, for additive scores.
-
-    Bounded substrings are exploded and equi-joined to the piece table; edges are grouped
-    by word and folded with ``aggregate``.  Returns (word, pieces array<string>, score):
-    the best sum of scores, the shorter last piece on ties.
-    """
-    spark = words.sparkSession
-    rows = [(p, float(pieces.scores[i])) for p, i in pieces.ids.items()]
-    table = spark.createDataFrame(rows, "piece string, score double")
+def _edges(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, s, e, id, piece, score): every substring of bounded length that is a piece, and every single character."""
+    rows = [(p, i, float(pieces.scores[i])) for p, i in pieces.ids.items()]
+    table = words.sparkSession.createDataFrame(rows, "piece string, id int, score double")
+    long = F.length("word")
     spans = words.select(
         "word",
         F.explode(
             F.flatten(
                 F.transform(
-                    F.sequence(F.lit(1), F.length("word")),
+                    F.sequence(F.lit(1), long),
                     lambda s: F.transform(
-                        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - s + 1)),
-                        lambda n: F.struct(s.alias("s"), n.alias("n"), F.substring(F.col("word"), s, n).alias("piece")),
+                        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), long - s + 1)),
+                        lambda n: F.struct(s.alias("s"), (s + n).alias("e"), F.substring(F.col("word"), s, n).alias("piece")),
                     ),
                 )
             )
         ).alias("x"),
-    ).select("word", (F.col("x.s") + F.col("x.n")).alias("e"), F.col("x.s").alias("s"), F.col("x.piece").alias("piece"))
+    ).select("word", "x.*")
     # the model file bounds this broadcast
-    edges = spans.join(F.broadcast(table), "piece", "left").where(F.col("score").isNotNull() | (F.col("e") - F.col("s") == 1))
-    scored = edges.withColumn("score", F.coalesce("score", F.lit(-1e4)))
-    grouped = scored.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("e", "s", "score", "piece"))).alias("edges"))
-    kind = "map<int,struct<score:double,pieces:array<string>>>"
-    start = F.create_map(F.lit(1), F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("pieces"))).cast(kind)
+    known = spans.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
+    return known.select("word", "s", "e", F.coalesce("id", -F.ascii("piece") - 1).alias("id"), "piece", F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+
+
+def _allowed(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """``edges`` with prev: ids of the edges before it that the merges leave as its neighbours."""
+    after = edges.select("word", F.col("e").alias("s"), F.col("id").alias("left"))
+    beside = edges.select("word", "s", "id").join(after, ["word", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [pieces.may_follow(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    pairs = beside.select("left", "id").distinct().mapInArrow(run, "left int, id int")
+    prev = beside.join(pairs, ["left", "id"]).groupBy("word", "s", "id").agg(F.collect_set("left").alias("prev"))
+    return edges.join(prev, ["word", "s", "id"], "left")
+
+
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """Lattice of distinct ``words(word)`` in relational form.
+
+    Bounded substrings are exploded and equi-joined to the piece table; edges are grouped
+    by word and folded with ``aggregate``.  Returns (word, pieces array<string>, ids, score).
+    Additive scores: the best sum, the shorter last piece on ties.  Byte-pair models: every
+    end keeps its longest edge whose left neighbour the merges allow; neighbours are pairs
+    of edges of one word, and each distinct pair is judged once.  A group is one word's
+    edges.  Words with runs of marks (see ``Pieces.fold``) are no input of this form.
+    """
+    edges = _edges(words, pieces)
+    if pieces.is_bpe:
+        edges = _allowed(edges, pieces)
+    else:
+        edges = edges.withColumn("prev", F.lit(None).cast("array<int>"))
+    order = F.struct("e", "s", "score", "piece", "id", "prev")
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(order)).alias("edges"))
+    kind = "map<int,struct<score:double,id:int,pieces:array<string>,ids:array<int>>>"
+    nothing = F.struct(
+        F.lit(0.0).alias("score"), F.lit(0).alias("id"), F.array().cast("array<string>").alias("pieces"), F.array().cast("array<int>").alias("ids")
+    )
+    start = F.create_map(F.lit(1), nothing).cast(kind)
 
     def step(acc, x):
-        before = F.element_at(acc, x["s"])
-        now = F.struct((before["score"] + x["score"]).alias("score"), F.concat(before["pieces"], F.array(x["piece"])).alias("pieces"))
-        kept = F.try_element_at(acc, x["e"])
-        better = kept.isNull() | (now["score"] >= kept["score"])
+        before, kept = F.try_element_at(acc, x["s"]), F.try_element_at(acc, x["e"])
+        now = F.struct(
+            (before["score"] + x["score"]).alias("score"),
+            x["id"].alias("id"),
+            F.concat(before["pieces"], F.array(x["piece"])).alias("pieces"),
+            F.concat(before["ids"], F.array(x["id"])).alias("ids"),
+        )
+        if pieces.is_bpe:  # by end and then start: the first that is allowed is the longest
+            better = kept.isNull() & ((x["s"] == 1) | F.array_contains(x["prev"], before["id"]))
+        else:
+            better = kept.isNull() | (now["score"] >= kept["score"])
         others = F.map_filter(acc, lambda k, _: k != x["e"])
-        return F.when(better, F.map_concat(others, F.create_map(x["e"], now))).otherwise(acc).cast(kind)
+        return F.when(F.coalesce(better, F.lit(False)), F.map_concat(others, F.create_map(x["e"], now))).otherwise(acc).cast(kind)
 
     best = F.element_at(F.aggregate("edges", start, step), F.length("word") + 1)
-    return grouped.select("word", best["pieces"].alias("pieces"), best["score"].alias("score"))
+    return grouped.select("word", best["pieces"].alias("pieces"), best["ids"].alias("ids"), best["score"].alias("score"))
 
 
 def default_model() -> str:
