@@ -5,24 +5,31 @@ vector to the nearest signed axis: one hash.  A table concatenates as many hashe
 keep about ``BUCKET`` vectors in a bucket however many there are; the last one uses
 fewer axes.  Each of ``TABLES`` tables holds every vector.  A query probes the most
 promising buckets of each table; all vectors in them are candidates and are reranked by
-their inner product in double precision.
-
-Vectors are indexed by bands of norm, of a ratio of ``RATIO`` at most, and a query probes
-every band: within one, direction tells the inner product.  Bands of fewer than
-``LEAST_VECTORS`` are put together and searched whole.  How many buckets of a band are
-probed is measured, for any number of rows: ``SAMPLE`` queries are searched exactly, and
-as many are probed as find ``TARGET`` of their neighbours, ``PROBES`` a level at least.
-A query that still has fewer than k is searched exactly.
+their inner product in double precision, summed in the order of components, so scores
+don't depend on how rows are dealt.
+
+Vectors are indexed by bands: one length, and norms of a ratio of ``RATIO`` at most; a
+query probes every band of its length, and within one, direction tells the inner product.
+Bands of fewer than ``FEW`` vectors are put together and searched whole.  How many
+buckets of a band are probed is measured, by one rule for any number of rows: ``SAMPLE``
+queries are searched exactly, and as many buckets are probed as find ``TARGET`` of their
+neighbours, ``PROBES`` a level at least.  A query that still has fewer than k is searched
+exactly.
+
+Buckets are dealt in *shards* of ``SHARD`` neighbouring buckets.  A vector is shuffled
+once for each table, as it is stored; a query goes to a shard once, with a bit for each
+bucket that it probes there.  A shard of more than ``COMPONENTS`` numbers is cut into chunks
+that each of its queries visits, so a task holds a bounded part of a bucket.
 
 Equal vectors are one entry of the index with their ``k + 1`` smallest ids (no more can
 be among the nearest), and equal query vectors are searched once, so a vector that a
-third of all rows share is one row.  Buckets above ``CHUNK`` vectors are cut into chunks
-that every query of the bucket visits, so a task holds a bounded part of a bucket.
+third of all rows share is one row.
 
-Defined results: vectors that are null, zero, of a length other than the most frequent
-one, or hold null or non-finite components take no part; repeated rows count once; fewer
-candidates than k give fewer rows; an empty table gives an empty result; other columns
-of the input are not read.
+Defined results: vectors that are null, zero, or hold null or non-finite components take
+no part; vectors of different lengths are no candidates for each other; repeated rows
+count once; of several different vectors with one id the one whose hash is least counts;
+fewer candidates than k give fewer rows; an empty table gives an empty result; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +40,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-TABLES = 16
+TABLES = 2
 #: Buckets of a table that a query visits at least, for every level of hashes.
 PROBES = 8
 #: Largest norm of a band over its least one.
@@ -46,12 +55,18 @@ RATIO = 1.25
 #: Share of the nearest that the probes find of the sampled queries, and how many are sampled.
 TARGET = 0.95
 SAMPLE = 100
-#: A query visits more buckets of a small table: as many as hold so many vectors on average.
-LEAST_VECTORS = 1000
+#: Bands of fewer vectors are searched whole, together.
+FEW = 256
 #: Vectors that an average bucket holds.
 BUCKET = 100
-#: Vectors of a bucket that one task holds.
-CHUNK = 8192
+#: Buckets of a shard, a multiple of 8.
+SHARD = 256
+#: Numbers of a shard that one task holds.
+COMPONENTS = 1 << 22
+#: Broadcast the table of large shards, or of equal vectors, up to so many rows; else a join by key.
+BROADCAST = 100_000
+#: Queries that are compared with a shard at once.
+STEP = 4096
 #: Combinations of axes that are compared at once in the search for the best probes.
 COMPARED = 1 << 21
 
@@ -146,114 +161,163 @@ class Hasher:
 
 @dataclass(frozen=True)
 class Band:
-    """Vectors of similar norm: how they are hashed and how many buckets a query visits; no hasher: one bucket."""
+    """Vectors of one length and of similar norm: how they are hashed and how many buckets a query visits.
+
+    No hasher: one bucket.
+    """
 
+    dim: int
     hasher: Hasher | None = None
     visits: int = 1
 
 
-def _codes(levels: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(all levels but the last, the last) as integers; one level: (it, 0)."""
-    head = np.zeros(levels.shape[:-1], np.int64)
-    for i in range(max(1, len(axes) - 1)):
-        head = head * (2 * axes[i]) + levels[..., i]
-    return head, levels[..., -1].astype(np.int64) if len(axes) > 1 else np.zeros_like(head)
+def _codes(levels: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    """The bucket of a table as one integer."""
+    out = np.zeros(levels.shape[:-1], np.int64)
+    for i, n in enumerate(axes):
+        out = out * (2 * n) + levels[..., i]
+    return out
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _vector_type() -> str:
-    return "array<double>"
+def _joined(df: DataFrame, side: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join with a checkpointed side table, broadcast while it is known to be small."""
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST else side, on, how)
 
 
 def valid_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): vectors that take part, as doubles."""
-    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    some = F.exists(embedding, lambda x: x != 0)
-    good = df.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & (F.size(embedding) > 0)).where(finite & some)
-    good = good.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(_vector_type()).alias("v"))
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return good.where(F.size("v") == (dims[0]["d"] if dims else 0))
+    """(vec_id, v, hash, more, dim, step): vectors that take part, floats as they are and other numbers as doubles.
 
+    (hash, more) is a 128-bit hash of the components, step tells the norm.
+    """
+    kind = "array<float>" if df.schema[embedding].dataType.elementType.typeName() == "float" else "array<double>"
 
-def _norm_log(v: str = "v"):
-    """Logarithm of the norm, for components of any size."""
-    top = F.array_max(F.transform(v, F.abs))
-    return F.log(top) + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / top) * (x / top))) / 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[lengths > 0]):
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                m = _matrix(part.column(1), int(dim))
+                good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                m = np.ascontiguousarray(m[good]) + 0  # one zero
+                top = np.abs(m).max(axis=1, keepdims=True).astype(float)
+                norm = np.log(top[:, 0]) + np.log(((m / top) ** 2).sum(axis=1)) / 2
+                marks = np.array([divmod(xxhash.xxh3_128_intdigest(x), 1 << 64) for x in m], np.uint64).reshape(-1, 2).view(np.int64)
+                offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * dim, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).filter(pa.array(good)),
+                        pa.ListArray.from_arrays(offsets, pa.array(m.ravel())),
+                        pa.array(marks[:, 0]),
+                        pa.array(marks[:, 1]),
+                        pa.array(np.full(len(m), dim), pa.int32()),
+                        pa.array(np.floor(norm / math.log(RATIO) + 0.5), pa.int32()),
+                    ],
+                    names=["vec_id", "v", "hash", "more", "dim", "step"],
+                )
+
+    rows = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v"))
+    return rows.mapInArrow(run, f"vec_id long, v {kind}, hash long, more long, dim int, step int")
+
+
+def _once(rows: DataFrame, several: DataFrame, same: DataFrame, is_query: Column) -> DataFrame:
+    """A row of every distinct vector of ``rows``, with rep, members (null: the one id) and asks.
+
+    ``rows`` has vectors or not; those that are there once are not shuffled.
+    """
+    if not several.isEmpty():
+        rows = _joined(rows, several, ["vec_id"], "left").where(F.coalesce("_least", "hash") == F.col("hash")).drop("_least")
+    if same.isEmpty():
+        return rows.withColumns({"members": F.lit(None).cast("array<bigint>"), "asks": is_query}).withColumnRenamed("vec_id", "rep")
+    found = _joined(rows, same, ["hash", "more"], "left")
+    alone = found.where(F.col("members").isNull()).withColumn("asks", is_query)
+    first = found.where(F.col("vec_id") == F.get("members", F.lit(0)))
+    return alone.unionByName(first.dropDuplicates(["vec_id"])).withColumnRenamed("vec_id", "rep")
+
+
+def _repeats(facts: DataFrame, several: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """(hash, more, members, asks) of the vectors that are there twice or more: their k + 1 least ids, and whether one asks."""
+    rows = facts.select("vec_id", "hash", "more", is_query.alias("asks"))
+    if not several.isEmpty():
+        rows = _joined(rows, several, ["vec_id"], "left").where(F.coalesce("_least", "hash") == F.col("hash")).drop("_least")
+    sizes = rows.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("_rows"), F.max("asks").alias("asks")).where(F.col("_rows") > 1)
+    sizes = checkpoint(sizes.drop("_rows"))
+    few = W.partitionBy("hash", "more").orderBy("vec_id")
+    ids = _joined(rows.drop("asks"), sizes, ["hash", "more"], "inner").withColumn("_n", F.dense_rank().over(few)).where(F.col("_n") <= k + 1)
+    return checkpoint(ids.groupBy("hash", "more").agg(F.array_sort(F.collect_set("vec_id")).alias("members"), F.max("asks").alias("asks")))
 
 
 def norm_bands(counts: dict[int, int]) -> list[tuple[list[int], int]]:
-    """(steps of norm, vectors) of every band from ``counts`` by step; small ones in a row are one band."""
-    out, small, held = [], [], 0
-    for step in sorted(counts):
-        if counts[step] >= LEAST_VECTORS:
-            out += [([step], counts[step])] + ([(small, held)] if small else [])
-            small, held = [], 0
-        else:
-            small, held = [*small, step], held + counts[step]
-            if held >= LEAST_VECTORS:
-                out.append((small, held))
-                small, held = [], 0
-    return out + ([(small, held)] if small else [])
-
-
-def index_rows(entries: DataFrame, bands: list[Band], dim: int, tables: int) -> DataFrame:
-    """(t, head, last, rep, v): every entry in every table of its band; ``t`` counts tables over all bands."""
+    """(steps of norm, vectors) of every band from ``counts`` by step; small ones are one band."""
+    out = [([step], n) for step, n in sorted(counts.items()) if n >= FEW]
+    small = [step for step, n in sorted(counts.items()) if n < FEW]
+    return out + ([(small, sum(counts[s] for s in small))] if small else [])
+
+
+def _by_band(batch: pa.RecordBatch, step: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for at in range(0, batch.num_rows, step):
+        some = batch.slice(at, step)
+        of = some.column(2).to_numpy()
+        for g in np.unique(of):
+            yield int(g), some.take(pa.array(np.flatnonzero(of == g)))
+
+
+def index_rows(entries: DataFrame, bands: list[Band], tables: int) -> DataFrame:
+    """(t, shard, code, rep, v): every entry in every table of its band; ``t`` counts tables over all bands."""
+    width = SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                of = some.column(2).to_numpy()
-                for g in np.unique(of):
-                    part = some.take(pa.array(np.flatnonzero(of == g)))
-                    n, hasher = part.num_rows, bands[g].hasher
-                    levels = hasher.buckets(_matrix(part.column(1), dim)) if hasher else [np.zeros((n, 1), np.int64)]
-                    for t, found in enumerate(levels):
-                        head, last = _codes(found, hasher.axes if hasher else (1,))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, g * tables + t), pa.int32()), pa.array(head), pa.array(last), part.column(0), part.column(1)],
-                            names=["t", "head", "last", "rep", "v"],
-                        )
+            for g, part in _by_band(batch, 2000):
+                n, hasher = part.num_rows, bands[g].hasher
+                found = hasher.buckets(_matrix(part.column(1), hasher.dim)) if hasher else [np.zeros((n, 1), np.int64)]
+                for t, levels in enumerate(found):
+                    code = _codes(levels, hasher.axes if hasher else (1,))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, g * tables + t), pa.int32()), pa.array(code // width), pa.array(code), part.column(0), part.column(1)],
+                        names=["t", "shard", "code", "rep", "v"],
+                    )
 
-    return entries.select("rep", "v", "band").mapInArrow(run, f"t int, head long, last long, rep long, v {_vector_type()}")
+    schema = f"t int, shard long, code long, rep long, v {entries.schema['v'].dataType.simpleString()}"
+    return entries.select("rep", "v", "band").mapInArrow(run, schema)
 
 
-def probe_rows(queries: DataFrame, bands: list[Band], dim: int, tables: int) -> DataFrame:
-    """(t, head, lasts, rep, v): every query at every head that it probes."""
+def probe_rows(queries: DataFrame, bands: list[Band], tables: int) -> DataFrame:
+    """(t, shard, probed, rep, v): every query at every shard that it probes, with a bit for each of its buckets."""
+    width = SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for own, part in _by_band(batch, 500):
                 for g, band in enumerate(bands):
+                    if band.dim != bands[own].dim:
+                        continue
                     hasher = band.hasher
-                    sought = hasher.probes(_matrix(part.column(1), dim), band.visits) if hasher else [np.zeros((part.num_rows, 1, 1), np.int64)]
+                    sought = hasher.probes(_matrix(part.column(1), band.dim), band.visits) if hasher else [np.zeros((part.num_rows, 1, 1), np.int64)]
                     for t, picks in enumerate(sought):
-                        head, last = _codes(picks, hasher.axes if hasher else (1,))
-                        rows, heads, lasts = [], [], []
-                        for i in range(part.num_rows):
-                            for h in np.unique(head[i]):
-                                rows.append(i)
-                                heads.append(h)
-                                lasts.append(np.unique(last[i][head[i] == h]))
-                        taken = part.take(pa.array(rows, pa.int32()))
+                        codes = _codes(picks, hasher.axes if hasher else (1,))
+                        shards = int(codes.max()) // width + 1
+                        at = np.arange(len(codes))[:, None] * shards + codes // width
+                        visited, where = np.unique(at, return_inverse=True)
+                        bits = np.zeros((len(visited), width), bool)
+                        bits[where.ravel(), codes.ravel() % width] = True
+                        taken = part.take(pa.array(visited // shards))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(np.full(len(rows), g * tables + t), pa.int32()),
-                                pa.array(heads, pa.int64()),
-                                pa.array(lasts, pa.list_(pa.int64())),
+                                pa.array(np.full(len(bits), g * tables + t), pa.int32()),
+                                pa.array(visited % shards),
+                                pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()),
                                 taken.column(0),
                                 taken.column(1),
                             ],
-                            names=["t", "head", "lasts", "rep", "v"],
+                            names=["t", "shard", "probed", "rep", "v"],
                         )
 
-    schema = f"t int, head long, lasts array<long>, rep long, v {_vector_type()}"
-    return queries.select("rep", "v").mapInArrow(run, schema)
+    schema = f"t int, shard long, probed binary, rep long, v {queries.schema['v'].dataType.simpleString()}"
+    return queries.select("rep", "v", "band").mapInArrow(run, schema)
 
 
 def _sampled(entries: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,7 +330,7 @@ def _sampled(entries: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[
             reps = batch.column(0).to_numpy()
             if not len(reps):
                 continue
-            scores = asked @ _matrix(batch.column(1), dim).T
+            scores = asked @ _matrix(batch.column(1), dim).astype(float).T
             n = min(k, len(reps))
             best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
             yield pa.RecordBatch.from_arrays(
@@ -280,7 +344,8 @@ def _sampled(entries: DataFrame, queries: DataFrame, dim: int, k: int) -> tuple[
 
     near = entries.select("rep", "v").mapInArrow(run, "q int, rep long, score double")
     near = near.withColumn("_n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("_n") <= k)
-    found = near.join(entries.select("rep", "band", "v"), "rep").select("q", "band", "v").collect()
+    # SAMPLE * k rows at most
+    found = entries.select("rep", "band", "v").join(F.broadcast(near.select("q", "rep")), "rep").select("q", "band", "v").collect()
     return asked, np.array([r["q"] for r in found], int), np.array([r["band"] for r in found], int), np.array([r["v"] for r in found], float).reshape(-1, dim)
 
 
@@ -293,9 +358,8 @@ def visits_for(hasher: Hasher, asked: np.ndarray, of: np.ndarray, near: np.ndarr
     n = least
     while True:
         rank = np.full(len(near), hasher.size)
-        for (head, last), picks in zip(holds, hasher.probes(asked, n)):
-            heads, lasts = _codes(picks, hasher.axes)
-            hit = (heads[of] == head[:, None]) & (lasts[of] == last[:, None])
+        for at, picks in zip(holds, hasher.probes(asked, n)):
+            hit = _codes(picks, hasher.axes)[of] == at[:, None]
             rank = np.where(hit.any(axis=1), np.minimum(rank, hit.argmax(axis=1)), rank)
         need = int(np.sort(rank)[math.ceil(len(rank) * TARGET) - 1]) + 1
         if need <= n or n >= hasher.size:
@@ -303,15 +367,64 @@ def visits_for(hasher: Hasher, asked: np.ndarray, of: np.ndarray, near: np.ndarr
         n = min(2 * n, hasher.size)
 
 
-def _rerank(pairs: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query, rep, score): the k best of every query in every chunk of a bucket.
-
-    ``pairs(t, head, chunk, kind, last, lasts, rep, v)`` is sorted by chunk, entries
+class Shard:
+    """The entries of a chunk of a shard, in order of bucket."""
+
+    def __init__(self, codes: list[np.ndarray], reps: list[np.ndarray], vectors: list[np.ndarray], width: int):
+        code, rep = np.concatenate(codes), np.concatenate(reps)
+        order = np.lexsort((rep, code))
+        self.rep, self.v = rep[order], np.concatenate(vectors)[order].astype(float)
+        self.norm = float(np.linalg.norm(self.v, axis=1).max())
+        held, self.begin = np.unique(code[order], return_index=True)
+        self.end, self.held = np.append(self.begin[1:], len(code)), held % width
+
+    def nearest(self, q: np.ndarray, bits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, rep, score): the k best of each row of ``q`` in the buckets of its ``bits``."""
+        best = np.full((len(q), k), -np.inf)
+        # products of a block differ from sums in order by rounding: what is this close stays
+        slack = 1e-12 * np.linalg.norm(q, axis=1) * self.norm
+        least = best[:, 0] - slack
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for bucket, a, b in zip(self.held, self.begin, self.end):
+            rows = np.flatnonzero(bits[:, bucket])
+            if not len(rows):
+                continue
+            s = q[rows] @ self.v[a:b].T
+            near = s >= least[rows][:, None]
+            some = near.any(axis=1)
+            if not some.any():
+                continue
+            i, j = np.nonzero(near)
+            found.append((rows[i], a + j, s[i, j]))
+            rows = rows[some]
+            both = np.concatenate([best[rows], s[some]], axis=1)
+            best[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            least[rows] = best[rows, 0] - slack[rows]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        i, j, s = (np.concatenate(x) for x in zip(*found))
+        keep = s >= least[i]
+        i, j = i[keep], j[keep]
+        score = np.zeros(len(i))
+        for d in range(q.shape[1]):  # in order, whatever the block
+            score += q[i, d] * self.v[j, d]
+        order = np.lexsort((self.rep[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < k
+        return i[keep], self.rep[j[keep]], score[keep]
+
+
+def _rerank(pairs: DataFrame, bands: list[Band], tables: int, k: int) -> DataFrame:
+    """(query, rep, score): the k best of every query in every chunk of a shard.
+
+    ``pairs(t, shard, chunk, kind, code, probed, rep, v)`` is sorted by chunk, entries
     (kind 0) before queries (kind 1); a task holds one chunk's entries at a time.
     """
+    width = SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, lasts, vectors = None, [], [], []
+        key, held, shard = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -319,119 +432,119 @@ def _rerank(pairs: DataFrame, dim: int, k: int) -> DataFrame:
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
+                dim = bands[keys[a][0] // tables].dim
                 if key != tuple(keys[a][:3]):
-                    key, reps, lasts, vectors = tuple(keys[a][:3]), [], [], []
+                    key, held, shard = tuple(keys[a][:3]), [], None
                 if keys[a][3] == 0:
-                    lasts.append(part.column(4).to_numpy())
-                    reps.append(part.column(6).to_numpy())
-                    vectors.append(_matrix(part.column(7), dim))
+                    held.append((part.column(4).to_numpy(), part.column(6).to_numpy(), _matrix(part.column(7), dim)))
                     continue
-                if not reps:
+                if not held:
                     continue
-                if len(reps) > 1:
-                    reps, lasts, vectors = [np.concatenate(reps)], [np.concatenate(lasts)], [np.concatenate(vectors)]
-                for at in range(0, part.num_rows, 256):
-                    some = part.slice(at, 256)
-                    scores = _matrix(some.column(7), dim) @ vectors[0].T
-                    q = some.column(6).to_numpy()
-                    out_q, out_r, out_s = [], [], []
-                    for i, probed in enumerate(some.column(5).to_pylist()):
-                        hit = np.flatnonzero(np.isin(lasts[0], probed))
-                        s, r = scores[i, hit], reps[0][hit]
-                        if len(hit) > k:
-                            edge = np.partition(s, len(s) - k)[len(s) - k]
-                            near = s >= edge
-                            s, r = s[near], r[near]
-                        best = np.lexsort((r, -s))[:k]
-                        out_q.append(np.full(len(best), q[i]))
-                        out_r.append(r[best])
-                        out_s.append(s[best])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x), kind) for x, kind in ((out_q, pa.int64()), (out_r, pa.int64()), (out_s, pa.float64()))],
-                        names=["query", "rep", "score"],
-                    )
+                shard = shard or Shard(*map(list, zip(*held)), width)
+                for at in range(0, part.num_rows, STEP):
+                    some = part.slice(at, STEP)
+                    bits = np.frombuffer(b"".join(some.column(5).to_pylist()), np.uint8).reshape(some.num_rows, width // 8)
+                    i, rep, score = shard.nearest(_matrix(some.column(7), dim).astype(float), np.unpackbits(bits, axis=1).astype(bool), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(some.column(6).to_numpy()[i]), pa.array(rep), pa.array(score)], names=["query", "rep", "score"])
 
     return pairs.mapInArrow(run, "query long, rep long, score double")
 
 
-def _search(entries: DataFrame, queries: DataFrame, bands: list[Band], dim: int, tables: int, k: int) -> DataFrame:
+def _search(entries: DataFrame, queries: DataFrame, bands: list[Band], tables: int, k: int) -> DataFrame:
     """(query, rep, score): the k + 1 best entries in the buckets that every query visits."""
-    index = index_rows(entries, bands, dim, tables)
-    heavy = (
-        index.select("t", "head")
-        .groupBy("t", "head")
-        .count()
-        .where(F.col("count") > CHUNK)
-        .select("t", "head", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    )
-    heavy = checkpoint(heavy)
-    chunks = F.coalesce("chunks", F.lit(1))
-    held = index.join(heavy, ["t", "head"], "left").select(
-        "t", "head", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"),
-        "last", F.array().cast("array<long>").alias("lasts"), "rep", "v",
+    index = index_rows(entries, bands, tables)
+    most = max(1, COMPONENTS // max((b.dim for b in bands), default=1))
+    large = index.groupBy("t", "shard").count().where(F.col("count") > most)
+    large = checkpoint(large.select("t", "shard", F.ceil(F.col("count") / most).cast("int").alias("chunks")))
+    asks = probe_rows(queries, bands, tables)
+    if large.isEmpty():
+        index, asks = (x.withColumn("chunks", F.lit(1)) for x in (index, asks))
+    else:
+        index, asks = (_joined(x, large, ["t", "shard"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))) for x in (index, asks))
+    held = index.select(
+        "t", "shard", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("kind"),
+        "code", F.lit(None).cast("binary").alias("probed"), "rep", "v",
     )
-    asks = probe_rows(queries, bands, dim, tables).join(heavy, ["t", "head"], "left").select(
-        "t", "head", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"),
-        F.lit(0).cast("long").alias("last"), "lasts", "rep", "v",
+    asks = asks.select(
+        "t", "shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"),
+        F.lit(0).cast("long").alias("code"), "probed", "rep", "v",
     )
-    key = ["t", "head", "chunk"]
+    key = ["t", "shard", "chunk"]
     pairs = held.unionByName(asks).repartition(*key).sortWithinPartitions(*key, "kind")
-    found = _rerank(pairs, dim, k + 1).groupBy("query", "rep").agg(F.max("score").alias("score"))
+    found = _rerank(pairs, bands, tables, k + 1).groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = W.partitionBy("query").orderBy(F.desc("score"), "rep")
     return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
 
 
-def _lists(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+def _lists(found: DataFrame, same: DataFrame, k: int) -> DataFrame:
     """(query, near): the k + 1 nearest rows, ties to the smaller id."""
-    members = found.join(entries.select("rep", "members"), "rep").select("query", "score", F.explode("members").alias("vec_id"))
+    if same.isEmpty():
+        ids = found.select("query", "score", F.col("rep").alias("vec_id"))
+    else:
+        members = same.select(F.get("members", F.lit(0)).alias("rep"), "members")
+        ids = _joined(found, members, ["rep"], "left").select("query", "score", F.explode(F.coalesce("members", F.array("rep"))).alias("vec_id"))
     ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1)
-    return members.groupBy("query").agg(ordered.alias("near"))
+    return ids.groupBy("query").agg(ordered.alias("near"))
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, probes: int = PROBES, tables: int = TABLES) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, probes: int = PROBES, tables: int = TABLES) -> DataFrame:
     """The k nearest found of every row where ``is_query`` (a Column over vec_id) holds.
 
     Returns (query_id, rank, vec_id, score), nearest first, ties to the smaller id.
     """
     vectors = valid_vectors(df)
-    few = W.partitionBy("v").orderBy("vec_id")
-    ids = F.array_sort(F.collect_set("vec_id"))
-    entries = checkpoint(
-        vectors.withColumn("_n", F.dense_rank().over(few))
-        .where(F.col("_n") <= k + 1)
-        .groupBy("v")
-        .agg(ids.alias("members"))
-        .withColumn("rep", F.array_min("members"))
-    )
-    entries = entries.withColumn("norm", _norm_log())
-    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.sum(F.size("members")).alias("ids"), F.max(F.size("v")).alias("dim")).first()
-    dim, top = shape["dim"] or 1, shape["top"] or 0.0
-    entries = entries.withColumn("step", F.floor((F.lit(top) - F.col("norm")) / math.log(RATIO)).cast("int"))
-    steps = norm_bands({r["step"]: r["count"] for r in entries.groupBy("step").count().collect()})
-    named = F.map_from_arrays(*[F.array(*map(F.lit, x)) for x in zip(*[(step, g) for g, (of, _) in enumerate(steps) for step in of])]) if steps else F.lit(None)
-    entries = entries.withColumn("band", F.element_at(named, F.col("step")) if steps else F.lit(0)).select("rep", "v", "members", "band")
+    facts = checkpoint(vectors.drop("v"))
+    several = facts.groupBy("vec_id").agg(F.min("hash").alias("_least"), F.max("hash").alias("_most")).where("_least < _most")
+    several = checkpoint(several.select("vec_id", "_least"))
+    same = _repeats(facts, several, is_query, k)
+    once = _once(facts, several, same, is_query)
+    sizes = once.groupBy("dim", "step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.size("members"), F.lit(1))).alias("ids")).collect()
+    bands, number, ids = [], {}, {}
+    for dim in sorted({r["dim"] for r in sizes}):
+        ids[dim] = sum(r["ids"] for r in sizes if r["dim"] == dim)
+        for of, n in norm_bands({r["step"]: r["n"] for r in sizes if r["dim"] == dim}):
+            number |= {(dim, step): len(bands) for step in of}
+            # several steps together are few vectors
+            bands.append(Band(dim, Hasher.sized(dim, n, tables=tables) if n >= FEW and len(of) == 1 else None))
+
+    def numbered(of: dict) -> Column:
+        """The value of ``of`` for the row's length and norm; a literal of one entry a band."""
+        named = F.create_map(*[F.lit(x) for (d, step), g in of.items() for x in (f"{d}:{step}", g)]) if of else F.create_map(F.lit(""), F.lit(0))
+        return F.element_at(named, F.concat_ws(":", "dim", "step"))
+
+    entries = _once(vectors, several, same, is_query).withColumn("band", numbered(number)).select("rep", "v", "dim", "band", "asks")
+    queries = entries.where("asks")
     # the query rows of one vector share its search
-    asked = checkpoint(
-        vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "v").join(entries.select("v", "rep"), "v").select("query_id", "rep").distinct()
-    )
-    queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi")
-    # a band of one step has a hash; several steps together are few vectors
-    hashers = [Hasher.sized(dim, n, tables=tables) if len(of) == 1 and n >= LEAST_VECTORS else None for of, n in steps]
-    bands = [Band() for _ in steps]
-    if any(hashers):
-        sample, of, band, near = _sampled(entries, queries, dim, k + 1)
-        for g, hasher in enumerate(hashers):
-            if hasher:
-                least = max(probes * len(hasher.axes), -(-LEAST_VECTORS * hasher.size // (steps[g][1] * tables)))
-                bands[g] = Band(hasher, visits_for(hasher, sample, of[band == g], near[band == g], least) if len(sample) else least)
-    found = _search(entries, queries, bands, dim, tables, k)
-    lists = checkpoint(_lists(found, entries, k))
-    short = queries.join(lists.where(F.size("near") >= min(k + 1, shape["ids"] or 0)), queries["rep"] == lists["query"], "left_anti")
+    asked = facts.where(is_query)
+    if not several.isEmpty():
+        asked = _joined(asked, several, ["vec_id"], "left").where(F.coalesce("_least", "hash") == F.col("hash"))
+    if same.isEmpty():
+        asked = asked.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("rep"))
+    else:
+        asked = _joined(asked, same, ["hash", "more"], "left").select(F.col("vec_id").alias("query_id"), F.coalesce(F.get("members", F.lit(0)), "vec_id").alias("rep"))
+    asked = checkpoint(asked.distinct())
+    for dim in ids:
+        mine = [g for g, b in enumerate(bands) if b.dim == dim and b.hasher]
+        if mine:
+            some = F.col("dim") == dim
+            sample, of, band, near = _sampled(entries.where(some), queries.where(some), dim, k + 1)
+            for g in mine:
+                hasher = bands[g].hasher
+                least = probes * len(hasher.axes)
+                bands[g] = Band(dim, hasher, visits_for(hasher, sample, of[band == g], near[band == g], least) if len(sample) else least)
+    found = _search(entries, queries, bands, tables, k)
+    lists = checkpoint(_lists(found, same, k))
+    enough = numbered({(d, 0): min(k + 1, n) for d, n in ids.items()})
+    held = lists.select(F.col("query").alias("rep"), F.size("near").alias("_held"))
+    wanted = once.where("asks").select("rep", "dim").join(held, "rep", "left").withColumn("step", F.lit(0))
+    short = checkpoint(wanted.where(F.coalesce("_held", F.lit(0)) < enough).select("rep"))
     if not short.isEmpty():
-        rest = _search(entries.withColumn("band", F.lit(0)), short, [Band()], dim, tables, k)
-        lists = lists.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(_lists(rest, entries, k))
-    own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    joined = asked.join(lists, asked["rep"] == lists["query"]).select("query_id", F.posexplode(own).alias("p", "x"))
+        of = numbered({(d, 0): g for g, d in enumerate(ids)})
+        whole = entries.withColumn("step", F.lit(0)).withColumn("band", of)
+        rest = _search(whole, _joined(whole, short, ["rep"], "left_semi"), [Band(d) for d in ids], 1, k)
+        lists = lists.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(_lists(rest, same, k))
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    joined = asked.join(lists, asked["rep"] == lists["query"]).select("query_id", F.posexplode(others).alias("p", "x"))
     return joined.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
