@@ -14,7 +14,8 @@ enter the hash.
 
 Defined results: a null source is a source of its own (ordered last); a null text
 has size 0; a source of size 0 gets target 0; repeated rows are documents of their
-own which share their hash; an empty table gives an empty result.
+own which share their hash; a very long text counts with its size and is taken whole or
+not at all; an empty table gives an empty result; other columns travel along.
 """
 
 from __future__ import annotations
@@ -135,37 +136,41 @@ def mix(
     source: str = "source",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Each row of ``docs`` with mix_size, mix_source_size, mix_target and mix_reps (long).
+    """(row, mix_size, mix_source_size, mix_target, mix_reps); ``row`` is the whole input row.
 
-    Columns of these names are replaced.
+    The row is one struct, so no name of the input can clash.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_reps", "_mix_source", "_mix_whole", "_mix_cut")
-    sized = docs.select(
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(source).alias("source"),
-        count_words(F.col(text)).alias("_size"),
-        unit_hash(F.col(doc_id), seed).alias("_u"),
+        F.col(text).alias("text"),
+        unit_hash(F.col(doc_id), seed).alias("u"),
     )
+    sized = rows.select("source", count_words(F.col("text")).alias("_size"), F.col("u").alias("_u"))
     plan = _plan(checkpoint(sized), weights, max_epochs).select(
-        F.col("source").alias("_mix_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.col("_whole").alias("_mix_whole"),
-        F.col("_cut").alias("_mix_cut"),
+        F.col("source").alias("of"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "_whole", "_cut"
     )
-    reps = F.col("_mix_whole") + F.when(unit_hash(F.col(doc_id), seed) <= F.col("_mix_cut"), 1).otherwise(0)
-    return (
-        docs.join(_sized_broadcast(plan), F.col(source).eqNullSafe(F.col("_mix_source")))
-        .withColumn("mix_size", count_words(F.col(text)))
-        .withColumn("mix_reps", F.least(reps, F.lit(max_epochs)).cast("long"))
-        .drop("_mix_source", "_mix_whole", "_mix_cut")
+    reps = F.col("_whole") + F.when(F.col("u") <= F.col("_cut"), 1).otherwise(0)
+    return rows.join(_sized_broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).select(
+        "row",
+        count_words(F.col("text")).alias("mix_size"),
+        "mix_source_size",
+        "mix_target",
+        F.least(reps, F.lit(max_epochs)).cast("long").alias("mix_reps"),
     )
 
 
+def repeat(mixed: DataFrame) -> DataFrame:
+    """The rows of the mix, each as often as it is taken."""
+    taken = mixed.where(F.col("mix_reps") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_reps").cast("int")))).select("row.*")
+
+
 def op8_mixing(docs: DataFrame) -> DataFrame:
     """The digest of the mix: one row per document."""
     mixed = mix(docs.select("doc_id", "source", "text"))
     return mixed.select(
-        "doc_id",
+        F.col("row.doc_id").alias("doc_id"),
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
