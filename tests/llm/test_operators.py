@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,7 +174,7 @@ def test_nearest_exact_cases(spark):
     rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] + [1.0] * 7, 1), (203, [1.0, None] + [1.0] * 6, 1), (204, [1.0] * 3, 1), rows[5]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = defaultdict(list)
-    for r in cross_polytope.nearest(df, _c("vec_id") % 20 == 0, probes=64).collect():
+    for r in cross_polytope.nearest(df, _c("vec_id") % 20 == 0).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     assert sorted(got) == [0, 20, 40, 60, 80, 100]
     hits = 0
@@ -186,6 +187,10 @@ def test_nearest_exact_cases(spark):
         hits += len({v for _, v, _ in found} & set(order))
     assert hits >= 0.9 * 120
     assert [v for _, v, _ in got[40]] and {v for _, v, _ in got[40]} >= set(range(41, 50))
+    other = spark.createDataFrame([(300 + i, [1.0, float(i)]) for i in range(5)] + [(300, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    apart = cross_polytope.nearest(df.select("vec_id", "embedding").unionByName(other), _c("vec_id").isin(20, 302)).collect()
+    # lengths are searched apart; an id of two vectors has one of them
+    assert {r.vec_id for r in apart if r.query_id == 302} == {300, 301, 303, 304} and all(r.vec_id < 200 for r in apart if r.query_id == 20)
     few = df.where("vec_id < 3")
     assert cross_polytope.nearest(few, _c("vec_id") == 0).count() == 2
     assert cross_polytope.nearest(df.where("vec_id < 0"), _c("vec_id") == 0).count() == 0
@@ -210,6 +215,11 @@ def recall_of(spark, vectors, every):
     return sum(hits) / (20 * len(hits))
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])  # 100,000 and 300,000: figures in the README
+def test_nearest_recall(spark, n):
+    assert recall_of(spark, unit_vectors(n), n // 100) >= 0.9
+
+
 def test_nearest_with_a_long_vector(spark):
     vectors = unit_vectors(2000)
     vectors[7] *= 10
@@ -219,7 +229,8 @@ def test_nearest_with_a_long_vector(spark):
 def test_nearest_of_many_buckets(spark, monkeypatch):
     # as many buckets for 4,000 rows as hundreds of thousands have
     monkeypatch.setattr(cross_polytope, "BUCKET", 2)
-    monkeypatch.setattr(cross_polytope, "LEAST_VECTORS", 50)
+    monkeypatch.setattr(cross_polytope, "SHARD", 64)
+    monkeypatch.setattr(cross_polytope, "COMPONENTS", 10_000)
     assert recall_of(spark, unit_vectors(4000), 40) >= 0.9
 
 
@@ -346,6 +357,7 @@ def test_pieces_table(spark, pieces):
     got = {r.doc_id: r for r in sentence_pieces.encode(docs(spark, EDGE), pieces).collect()}
     assert got[1].ids == [] and got[2].n_tokens == 0 and all(r.round_trip for r in got.values())
     assert got[9].n_tokens == len(got[9].ids)
+    assert sentence_pieces.encode(docs(spark, []), pieces).count() == 0
 
 
 def test_relational_lattice(spark):
@@ -362,6 +374,29 @@ def test_relational_lattice(spark):
         assert "".join(got[w].pieces) == w and math.isclose(got[w].score, best(w))
 
 
+def test_relational_lattice_of_byte_pairs(spark, pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_model())
+    words = ["the", "Hello", "straße", "aaaaaaa", "anonly", "日本", "\U0001f600x", "x"]
+    table = spark.createDataFrame([(sentence_pieces.MARK + w,) for w in words], "word string")
+    got = {r.word: r.ids for r in sentence_pieces.encode_words(table, pieces).collect()}
+    for w in words:
+        ids = np.frombuffer(pieces.word_bytes(got[sentence_pieces.MARK + w]), "<i4").tolist()
+        assert ids == model.encode(w), w
+
+
+def test_pieces_of_long_texts(pieces):
+    rng = random.Random(15)
+    letters = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    for text in ("a  " + letters, letters, " " * 200_000, "\n" * 200_000):
+        began = time.time()
+        ids = np.frombuffer(pieces.encode(text), "<i4")
+        assert time.time() - began < 20 and pieces.decode(ids) == text  # quadratic: minutes
+    none = pieces.encode_texts([None, "", "ab", None])
+    assert [len(x) // 4 for x in none] == [0, 0, 1, 0]
+
+
 # Jaccard join
 
 
@@ -392,10 +427,11 @@ def test_jaccard_against_all_pairs(spark):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
-    for cell in (jaccard_join.CELL, 200):  # a tiny cell cuts blocks into grids
-        jaccard_join.CELL, keep = cell, jaccard_join.CELL
+    kept = jaccard_join.CELL, jaccard_join.TEXTS
+    for cell in (kept, (200, 256), (2_000_000, 2)):  # tiny chunks leave strays
+        jaccard_join.CELL, jaccard_join.TEXTS = cell
         got = jaccard_join.jaccard_components(docs(spark, rows), slots=14).collect()
-        jaccard_join.CELL = keep
+        jaccard_join.CELL, jaccard_join.TEXTS = kept
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
@@ -404,6 +440,23 @@ def test_jaccard_against_all_pairs(spark):
     assert jaccard_join.jaccard_components(docs(spark, []), slots=14).count() == 0
 
 
+def test_lists_are_combined_before_the_shuffle():
+    rng = np.random.default_rng(7)
+    h, n, sig = rng.integers(0, 40, 3000), rng.integers(5, 9, 3000).astype(np.int32), rng.integers(0, 500, 3000)
+    a, b, c = jaccard_join._combined(h, n, sig)
+    rows = b >= 0
+    assert len(set(zip(a[rows], b[rows]))) == rows.sum() == len(set(zip(h, n)))
+    up = list(range(500))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    for x, y in zip(a[~rows], c[~rows]):
+        up[find(x)] = find(y)
+    of = {(x, y): z for x, y, z in zip(a[rows], b[rows], c[rows])}
+    assert all(find(of[x, y]) == find(z) for x, y, z in zip(h, n, sig))
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert secret_scan.op1_secrets(none).count() == 0
@@ -426,3 +479,27 @@ def test_pipeline(spark, tmp_path):
     assert 200 not in ids and not set(ids) & {100, 101, 102, 103, 104}
     assert max(ids.values()) <= 3 and all(r.round_trip for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "secret_scan", "mixing", "sentence_pieces"]
+
+
+def test_pipeline_with_nulls_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rng = random.Random(9)
+    more = "row string, key string, source_size long, _mix_whole string, mix_reps string, _rep long, _text string, owner string"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {more}"
+    extra = ("r", "k", 7, "w", "m", 7, "t", "o")
+    text = lambda: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, text(), "en", f"s{i % 3}", 0, *extra) for i in range(30)]
+    rows += [rows[3], rows[3], (None, None, None, None, None, *extra), (50, text(), None, None, None, *[None] * 8), (51, "", "en", "s0", 0, *extra)]
+    rows += [(52, "word " * 20_000 + text(), "en", "s1", 0, *extra)]
+    docs_ = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        docs_ = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), str(tmp_path))
+        assert docs_.columns == schema.replace(" string", "").replace(" long", "").split(", ")
+        if name == "jaccard_join":
+            assert sorted(r.doc_id for r in docs_.collect()) == sorted({*range(30), 50, 52})
+    assert all(tuple(r)[5:] == extra for r in docs_.collect() if r.doc_id != 50)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
