@@ -28,6 +28,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+#: Elements of a block of ``prefixes``.
+BLOCK = 64
+
+
+def prefixes(xs: Column, zero: Column, add) -> Column:
+    """Folds of what stands before each element; in blocks, so that long arrays take no quadratic time."""
+
+    def bound(xs: Column) -> Column:
+        fold = lambda part, start: F.aggregate(part, start, add)
+        block = lambda b, n: F.slice(xs, (b * BLOCK + 1).cast("int"), n)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: fold(block(b, F.lit(BLOCK)), zero))
+        heads = lambda s: F.aggregate(s, F.array(zero), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+        def within(h: Column) -> Column:
+            at = lambda i: F.floor(i / BLOCK).cast("int")
+            return F.transform(xs, lambda _, i: fold(block(at(i), (i % BLOCK).cast("int")), F.get(h, at(i))))
+
+        return let(let(sums, heads), within)
+
+    return F.when(F.size(xs) > 0, let(xs, bound)).otherwise(F.slice(F.array(zero), 1, 0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -4,18 +4,18 @@ Every text is scanned for *base* kinds (assign, access, hex), whose spans always
 count, and for *candidate* kinds (provider keys, signed tokens, private keys, mixed
 runs).  The value of every span is hashed with SHA-256; the hashes, never the values,
 are aggregated over the corpus by distinct repository and distinct owner.  A value
-that many owners and repositories hold is a copied example; a value that stays with
-its owner and looks random is a live credential.  Candidate spans of live values join
-the base spans.  ``redact`` also takes random values of key kinds that are not copied,
-so a key that two owners hold is removed.
+that many owners and repositories hold is a copied example, and so is one in very many
+repositories of a single owner; a value that stays with its owner and looks random is a
+live credential, and so is a random value of a key kind (provider, jwt, pem) that is not
+copied.  Candidate spans of live values join the base spans.
 
 Positions come from Spark itself: ``split`` gives the pieces between the matches of
 a pattern and ``regexp_extract_all`` the matches, so running sums of their lengths
 are the spans, in code points.
 
 Defined results: a null text is empty; one result row per input row, repeated rows
-included; a null owner or repository is an owner or repository of its own; an empty
-table gives an empty result; other columns of the input are not read.
+included; a null owner or repository is an owner or repository of its own; a very long
+text takes time in proportion to its length and matches; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let
+from .common import checkpoint, let, prefixes
 
 #: The base kinds in their order, (kind, pattern, group of the value, least characters of it).
 BASE_KINDS = (
@@ -52,12 +52,15 @@ CANDIDATE_KINDS = (
 KINDS = BASE_KINDS + CANDIDATE_KINDS
 #: Candidate kinds whose form alone says that a random value is a key.
 KEY_KINDS = ("provider", "jwt", "pem")
-#: Values held by one owner are owner-specific; by so many owners and repositories, copied.
+#: Values held by one owner are owner-specific; by so many owners and repositories, copied;
+#: in so many repositories, copied even where one owner holds them all.
 MAX_LIVE_OWNERS = 1
 MIN_COPIED = 3
+WIDELY_COPIED = 25
 #: A live value has so many distinct characters.
 MIN_DISTINCT_CHARS = 10
 
+COUNTS = ("n_live", "n_copied", "n_owners", "n_repos")
 _SPAN = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint,base:boolean,hash:string,random:boolean>>"
 
 
@@ -69,19 +72,13 @@ def _spans_of(text: Column, kind_no: int) -> Column:
 
     def starts_of(matches: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-        lengths = F.zip_with(
-            gaps, matches, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("len"))
-        )
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-        return F.aggregate(
-            lengths,
-            zero,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + x["len"]).alias("at"),
-                F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts"),
-            ),
-            lambda acc: acc["starts"],
-        )
+        sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("len")))
+
+        def of(x: Column) -> Column:
+            before = prefixes(F.transform(x, lambda e: e["gap"] + e["len"]), F.lit(0).cast("long"), lambda a, n: a + n)
+            return F.zip_with(before, x, lambda p, e: p + e["gap"])
+
+        return let(sizes, of)
 
     def spans(matches: Column, starts: Column, values: Column) -> Column:
         every = F.transform(
@@ -127,19 +124,21 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def classify(stats: DataFrame) -> DataFrame:
-    """``ownership`` with class: copied, shared or owned."""
-    copied = (F.col("n_owners") >= MIN_COPIED) & (F.col("n_repos") >= MIN_COPIED)
+    """``ownership`` with class: copied, shared or owned.
+
+    Copied: by several owners and in several repositories, or in very many repositories
+    whoever owns them.  Owned: by one owner, in not so many.
+    """
+    many = (F.col("n_owners") >= MIN_COPIED) & (F.col("n_repos") >= MIN_COPIED)
+    copied = many | (F.col("n_repos") >= WIDELY_COPIED)
     return stats.withColumn(
         "class",
         F.when(copied, "copied").when(F.col("n_owners") <= MAX_LIVE_OWNERS, "owned").otherwise("shared"),
     )
 
 
-def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text: str, keys: bool = False) -> DataFrame:
-    """(kept, spans, n_live, n_copied); ``kept`` is a struct, so no name of the input can clash.
-
-    ``keys``: ``spans`` also hold random values of key kinds that are not copied.
-    """
+def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text: str) -> DataFrame:
+    """(kept, spans, counts); ``kept`` is a struct, so no name of the input can clash."""
     scanned = checkpoint(
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"),
@@ -152,19 +151,20 @@ def _judged(docs: DataFrame, owner: Column, repo: Column, keep: list[str], text:
     empty = scanned.where(F.size("found") == 0).select(
         "kept",
         F.array().cast(_SPAN).alias("spans"),
-        F.lit(0).cast("long").alias("n_live"),
-        F.lit(0).cast("long").alias("n_copied"),
+        *[F.lit(0).cast("long").alias(c) for c in COUNTS],
     )
     holders = scanned.where(F.size("found") > 0)
     found = holders.select("row", "owner", "repo", F.explode("found").alias("span"))
-    stats = classify(ownership(found.select(F.col("span.hash").alias("hash"), "owner", "repo"))).select("hash", "class")
-    live = (F.col("class") == "owned") & F.col("span.random")
-    key = F.col("span.kind").isin(*KEY_KINDS) & F.col("span.random") & (F.col("class") != "copied")
+    stats = classify(ownership(found.select(F.col("span.hash").alias("hash"), "owner", "repo"))).select("hash", "class", "n_owners", "n_repos")
+    key = F.col("span.kind").isin(*KEY_KINDS) & (F.col("class") != "copied")
+    live = ((F.col("class") == "owned") | key) & F.col("span.random")
     judged = found.join(stats, F.col("span.hash") == F.col("hash"))
     merged = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("span.base") | live | (key if keys else F.lit(False)), F.col("span")))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("span.base") | live, F.col("span")))).alias("spans"),
         F.count_if(live).alias("n_live"),
         F.count_if(F.col("class") == "copied").alias("n_copied"),
+        F.max("n_owners").alias("n_owners"),
+        F.max("n_repos").alias("n_repos"),
     )
     return holders.select("row", "kept").join(merged, "row").drop("row").unionByName(empty)
 
@@ -175,10 +175,11 @@ def find_secrets(
     """``keep`` columns of every row of ``docs`` with their sorted ``spans``.
 
     ``spans`` holds the base spans and the candidate spans of live values; ``n_live``
-    and ``n_copied`` count the spans whose value is live or copied.
+    and ``n_copied`` count the spans whose value is live or copied, ``n_owners`` and
+    ``n_repos`` are those of the row's most widely held values.
     """
     judged = _judged(docs, owner, repo, list(keep), text)
-    return judged.select(*[F.col("kept").getField(c).alias(c) for c in keep], "spans", "n_live", "n_copied")
+    return judged.select(*[F.col("kept").getField(c).alias(c) for c in keep], "spans", *COUNTS)
 
 
 def _digest(spans: Column) -> Column:
@@ -189,9 +190,8 @@ def _digest(spans: Column) -> Column:
 
 
 def op1_secrets(docs: DataFrame) -> DataFrame:
-    """Digest of the scan: the owner is the source, a repository a source and language."""
-    repo = F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?")))
-    found = find_secrets(docs.select("doc_id", "text", "source", "lang"), F.col("source"), repo)
+    """Digest of the scan: the owner is the source, and a text, however often it is copied, a repository."""
+    found = find_secrets(docs.select("doc_id", "text", "source"), F.col("source"), F.xxhash64("text"))
     base = F.filter("spans", lambda x: x["base"])
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
@@ -199,8 +199,7 @@ def op1_secrets(docs: DataFrame) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind, *_ in BASE_KINDS],
         F.sha2(_digest(base), 256).alias("base_sha256"),
         _digest(F.col("spans")).alias("spans"),
-        "n_live",
-        "n_copied",
+        *COUNTS,
     )
 
 
@@ -214,18 +213,24 @@ def redact(docs: DataFrame, owner: Column, repo: Column, text: str = "text") ->
     for kind in KINDS:
         has = has | F.coalesce(F.regexp_like(F.col(text), F.lit(kind[1])), F.lit(False))
     clean = docs.where(~has)
-    judged = _judged(docs.where(has), owner, repo, cols, text, keys=True)
+    judged = _judged(docs.where(has), owner, repo, cols, text)
     whole = F.col("kept").getField(text)
     # spans may overlap: a piece of text is kept only from the furthest end so far
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    mark = F.encode(F.lit("x"), "UTF-32")
+    wide = F.struct(F.encode(whole, "UTF-32").alias("codes"), F.length(whole).cast("long").alias("n"))  # positions without a walk from the start
+
+    def piece(w: Column, start: Column, end: Column) -> Column:
+        cut = F.substring(w["codes"], (start * 4 + 1).cast("int"), ((end - start) * 4).cast("int"))
+        return F.substring(F.decode(F.concat(mark, cut), "UTF-32"), F.lit(2), (end - start).cast("int"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(whole, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(gap, F.lit("[SECRET]"))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def pieces(w: Column, far: Column) -> Column:
+        before = F.transform("spans", lambda x, i: F.struct(F.get(far, i).alias("from"), x["start"].alias("to")))
+        kept = F.transform(F.filter(before, lambda x: x["to"] >= x["from"]), lambda x: piece(w, x["from"], x["to"]))
+        last = F.greatest(F.element_at(far, -1), F.element_at("spans", -1)["end"])
+        return F.array_join(F.concat(kept, F.array(piece(w, last, w["n"]))), "[SECRET]")
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole)))
-    cleaned = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(whole)
+    far = prefixes(F.transform("spans", lambda x: x["end"]), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+    cleaned = F.when(F.size("spans") > 0, let(wide, lambda w: let(far, lambda f: pieces(w, f)))).otherwise(whole)
     out = judged.select("kept", cleaned.alias("cleaned"))
 
     def column(c: str) -> Column:
@@ -256,7 +261,7 @@ def oracle_sql() -> str:
             pattern = r"[A-Za-z0-9+/_=-]{24,}"
         parts.append(_sql_positions(f"k{n}", pattern, group))
         more = (
-            "AND regexp_matches(substr(value, 1, 40), '[0-9]') AND regexp_matches(substr(value, 1, 40), '[A-Z]') AND regexp_matches(substr(value, 1, 40), '[a-z]')"
+            "AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')"
             if kind == "mixed"
             else ""
         )
@@ -266,22 +271,25 @@ def oracle_sql() -> str:
         )
     return (
         "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '\u0001null') AS o,"
-        " coalesce(source, '?') || '/' || coalesce(lang, '?') AS r FROM documents),"
+        " coalesce(md5(text), '') AS r FROM documents),"
         + ",".join(parts)
         + ", a AS ("
         + " UNION ALL ".join(unions)
         + f"""),
- st AS (SELECT h, CASE WHEN count(DISTINCT o) >= {MIN_COPIED} AND count(DISTINCT r) >= {MIN_COPIED} THEN 'copied'
-               WHEN count(DISTINCT o) <= {MAX_LIVE_OWNERS} THEN 'owned' ELSE 'shared' END AS class
-        FROM a JOIN d USING (rid) GROUP BY h),
- j AS (SELECT a.*, class, class = 'owned' AND random AS live FROM a JOIN st USING (h)),
+ c AS (SELECT h, count(DISTINCT o) AS n_owners, count(DISTINCT r) AS n_repos FROM a JOIN d USING (rid) GROUP BY h),
+ st AS (SELECT *, CASE WHEN (n_owners >= {MIN_COPIED} AND n_repos >= {MIN_COPIED}) OR n_repos >= {WIDELY_COPIED} THEN 'copied'
+               WHEN n_owners <= {MAX_LIVE_OWNERS} THEN 'owned' ELSE 'shared' END AS class FROM c),
+ j AS (SELECT a.*, class, n_owners, n_repos,
+        random AND (class = 'owned' OR (kind IN ({', '.join(repr(k) for k in KEY_KINDS)}) AND class <> 'copied')) AS live FROM a JOIN st USING (h)),
  g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
         count(*) FILTER (WHERE kind = 'hex') AS n_hex,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kn) FILTER (WHERE base) AS b,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kn) FILTER (WHERE base OR live) AS spans,
-        count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE class = 'copied') AS n_copied
+        count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE class = 'copied') AS n_copied,
+        max(n_owners) AS n_owners, max(n_repos) AS n_repos
        FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(n_owners, 0) AS n_owners, coalesce(n_repos, 0) AS n_repos
 FROM d LEFT JOIN g USING (rid)"""
     )

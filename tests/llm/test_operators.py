@@ -75,6 +75,30 @@ def test_secrets(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
     assert "provider:0:40" in by_id[11].spans  # one owner and random: live
     assert by_id[4].n_live == 0 and by_id[5].n_live == 0  # two owners hold it
+    assert (by_id[4].n_owners, by_id[4].n_repos) == (2, 2) and (by_id[7].n_owners, by_id[7].n_repos) == (1, 1)
+
+
+def test_repositories_decide_where_owners_cannot(spark):
+    run = "aB3dE6gH9jK2mN5pQ8sT1vW4xY7z"
+    few = [(i, f"text {i} has {run} in it", "en", "one") for i in range(24)]
+    got = {r.doc_id: r for r in secret_scan.op1_secrets(docs(spark, few)).collect()}
+    assert all(r.n_live == 1 and "mixed:" in r.spans and (r.n_owners, r.n_repos) == (1, 24) for r in got.values())
+    # the same value, the same owner, in one text more: an example that is copied about
+    more = [*few, (99, f"text 99 has {run} in it", "en", "one")]
+    got = {r.doc_id: r for r in secret_scan.op1_secrets(docs(spark, more)).collect()}
+    assert all(r.n_live == 0 and r.n_copied == 1 and r.spans == "" for r in got.values())
+    # copies of one text are one repository
+    copies = [(i, f"text has {run} in it", "en", "one") for i in range(40)]
+    assert all(r.n_live == 1 and r.n_repos == 1 for r in secret_scan.op1_secrets(docs(spark, copies)).collect())
+
+
+def test_many_matches_in_one_text(spark):
+    text = "\ufeffé \U0001f600 " + " ".join(f"token={HEX[:9]}{i:06d}" for i in range(20_000))
+    table = docs(spark, [(1, text, "en", "a")])
+    began = time.time()
+    assert secret_scan.op1_secrets(table).first().n_assign == 20_000
+    out = secret_scan.redact(table, _c("source"), _c("lang")).first().text
+    assert out == "\ufeffé \U0001f600 " + " ".join(["[SECRET]"] * 20_000) and time.time() - began < 60
 
 
 def test_secrets_redacted(spark):
