@@ -17,7 +17,8 @@ conversation and turn, so memory does not grow with a conversation.  A digest ov
 turns of one conversation is sequential by definition: one conversation is one task's
 work (its rows are never held together).
 
-Defined results: a null text is empty, a null role ``user``; repeated rows are turns of
+Defined results: a null text is empty, a null role ``user``; malformed parts are text or
+have default sizes (see ``parts_of`` and ``number``); a very long text is one segment; repeated rows are turns of
 their own; equal turns are ordered by role and text; a null conv_id is a conversation;
 an empty table gives an empty result; other columns of the input are not read.
 """
@@ -42,6 +43,8 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 IMAGE_PATCH = 14
 AUDIO_TOKENS_PER_SECOND = 25
 DOCUMENT_TOKENS_PER_PAGE = 700
+#: Largest size of a part that is believed.
+MOST = 1_000_000
 TRAINED_ROLES = frozenset({"assistant"})
 
 _ESCAPE = re.compile(r"<(\\*)\|")
@@ -80,26 +83,37 @@ class Flattened:
         self.length += len(piece)
 
 
+def number(value, default: int) -> int:
+    """A size of a part; one that is missing, no number or not in 1..MOST is the default."""
+    try:
+        n = int(value)
+    except (TypeError, ValueError, OverflowError):
+        return default
+    return n if 1 <= n <= MOST else default
+
+
 class PartVisitor:
     """Dispatches on the type of a part; an unknown type is kept as a document."""
 
     def visit(self, part: dict, out: Flattened) -> None:
-        getattr(self, f"visit_{part.get('type')}", self.visit_document)(part, out)
+        visits = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio}
+        kind = part.get("type")
+        visits.get(kind if isinstance(kind, str) else "", self.visit_document)(part, out)
 
     def visit_text(self, part: dict, out: Flattened) -> None:
-        start = out.length
-        out.add(escape(part.get("text") or ""))
+        start, text = out.length, part.get("text")
+        out.add(escape(text if isinstance(text, str) else "" if text is None else json.dumps(text, ensure_ascii=False)))
         out.text_spans.append((start, out.length))
 
     def visit_image(self, part: dict, out: Flattened) -> None:
-        w, h = int(part.get("width") or IMAGE_PATCH), int(part.get("height") or IMAGE_PATCH)
+        w, h = number(part.get("width"), IMAGE_PATCH), number(part.get("height"), IMAGE_PATCH)
         self._attach("image", part, -(-w // IMAGE_PATCH) * -(-h // IMAGE_PATCH), out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._attach("audio", part, max(1, -(-int(part.get("ms") or 0) * AUDIO_TOKENS_PER_SECOND // 1000)), out)
+        self._attach("audio", part, max(1, -(-number(part.get("ms"), 1) * AUDIO_TOKENS_PER_SECOND // 1000)), out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
-        self._attach("document", part, max(1, int(part.get("pages") or 1)) * DOCUMENT_TOKENS_PER_PAGE, out)
+        self._attach("document", part, number(part.get("pages"), 1) * DOCUMENT_TOKENS_PER_PAGE, out)
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
         ref = str(part.get("ref") or part.get("url") or "")
@@ -109,11 +123,19 @@ class PartVisitor:
 
 
 def parts_of(text: str | None, parts: str | None) -> list[dict]:
-    """Typed parts of a row: the JSON list in ``parts``, or else the one text."""
-    if parts:
+    """Typed parts of a row: the JSON list in ``parts``, or else the one text.
+
+    What isn't JSON is a text part as it stands, a single value a list of one, and a part
+    that is no object a text part.
+    """
+    if not parts:
+        return [{"type": "text", "text": text or ""}]
+    try:
         loaded = json.loads(parts)
-        return [{"type": "text", "text": p} if isinstance(p, str) else p for p in loaded]
-    return [{"type": "text", "text": text or ""}]
+    except (ValueError, RecursionError):
+        loaded = [parts]
+    loaded = loaded if isinstance(loaded, list) else [loaded]
+    return [p if isinstance(p, dict) else {"type": "text", "text": p} for p in loaded]
 
 
 def format_turn(role: str | None, text: str | None, parts: str | None = None) -> tuple[str, list, list, int]:
@@ -144,7 +166,7 @@ def read_segment(segment: str) -> tuple[str, list[str]]:
 
 SEGMENT_SCHEMA = (
     "conv_id long, turn long, role string, segment string, loss array<struct<start:int,end:int>>, "
-    "attachments array<struct<kind:string,ref:string,at:int,tokens:int>>, placeholder_tokens long"
+    "attachments array<struct<kind:string,ref:string,at:int,tokens:bigint>>, placeholder_tokens long"
 )
 
 
@@ -164,7 +186,7 @@ def format_turns(turns: DataFrame, parts: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        attachment = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int32())])
+        attachment = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())])
         for batch in batches:
             done = [format_turn(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("role", "text", "parts")))]
             loss = [[{"start": a, "end": b} for a, b in x[1]] for x in done]

@@ -5,11 +5,13 @@ Texts are lower-cased, everything but letters becomes a space, and the character
 all labelled documents outside the held-out fold.  The weights are fitted on a bounded
 sample of them (``PER_LANGUAGE`` rows of a language, picked by a hash of the id) with
 follow-the-regularised-leader and elastic-net penalties, and the logits are divided by a
-temperature that minimises the loss on a fifth of the sample that trained nothing.
+temperature that minimises the loss on a fifth of the sample that trained nothing: on
+passages of ``PASSAGE`` words of it, since whole texts are too easy to tell scores apart,
+with a penalty on the temperature's distance from 1.
 
 Only text is an input of a prediction.  Defined results: a text that is null or has no
 letter is ``und`` with score 0, as is every text where nothing can be learned; a null
-doc_id counts as the empty string in the fold; repeated rows stay; an empty table gives
+doc_id counts as the empty string in the fold; a very long text is one row of counts; repeated rows stay; an empty table gives
 an empty result; other columns of the input are not read.
 """
 
@@ -28,6 +30,8 @@ BITS = 14
 #: Bound of the sample that fits the weights: about so many rows of each language.
 PER_LANGUAGE = 400
 EPOCHS = 3
+#: Words of the passages that calibrate, how many a text gives, and the penalty on log(temperature)^2.
+PASSAGE, PASSAGES, PENALTY = 4, 3, 0.01
 UND = "und"
 
 
@@ -96,20 +100,27 @@ class FtrlSoftmax:
         self.n[:, at] = grown
 
 
+def passages(text: str | None, seed: int) -> list[str]:
+    """A few passages of a text, from places that depend on the seed alone."""
+    words = (text or "").split()
+    starts = np.random.default_rng(seed).integers(0, max(1, len(words) - PASSAGE + 1), PASSAGES)
+    return [" ".join(words[s : s + PASSAGE]) for s in starts.tolist()]
+
+
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max())
     return e / e.sum()
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least loss, by golden sections of its logarithm."""
+    """The temperature of least penalised loss, by golden sections of its logarithm."""
     if not len(y):
         return 1.0
 
     def loss(t: float) -> float:
         s = logits / np.exp(t)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean()) + PENALTY * t * t
 
     a, b, r = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -182,10 +193,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS,
     sample = picked.orderBy("part", "text").limit(2 * per_language * len(langs)).collect()
     data = []  # sparse: the driver holds a few bytes for every n-gram of the sample
     for r in sample:
-        counts = gram_counts(r["text"], bits)
-        if counts is not None:
-            at = np.flatnonzero(counts)
-            data.append((r["part"] % 5 == 0, langs.index(r["lang"]), at.astype(np.int32), vector(counts[at], idf[at]).astype(np.float32)))
+        calibrates = r["part"] % 5 == 0
+        for text in passages(r["text"], r["part"]) if calibrates else [r["text"]]:
+            counts = gram_counts(text, bits)
+            if counts is not None:
+                at = np.flatnonzero(counts)
+                data.append((calibrates, langs.index(r["lang"]), at.astype(np.int32), vector(counts[at], idf[at]).astype(np.float32)))
     del sample
     order = np.random.default_rng(11).permutation(len(data))
     model = FtrlSoftmax(len(langs), 1 << bits)

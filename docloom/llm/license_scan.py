@@ -1,7 +1,8 @@
 """License scans: base phrases, and diagonal voting against license templates.
 
 The rolling word k-grams of every whole text are hashed and joined to the positions of
-the same k-grams in the templates.  A match votes for the diagonal ``position in text -
+the same k-grams in the templates; hashes that no template has are left out before, and a
+match has to agree word by word, so a chance hash never votes.  A match votes for the diagonal ``position in text -
 position in template``.  Votes are summed by diagonal, neighbouring diagonals (words
 put in or left out) are merged, and a merged span is verified: it has to hold enough of
 the template's k-grams in not too many words.  The template table is broadcast: its
@@ -11,7 +12,7 @@ Votes are keyed by a 96-bit fingerprint of the text, so copies vote once and a l
 group of copies is one key.
 
 Defined results: a null text is empty (no words, no labels, score 0); texts shorter
-than a k-gram have base phrases only; repeated rows stay; an empty table gives an empty
+than a k-gram have base phrases only; a very long text is scanned whole in its row; repeated rows stay; an empty table gives an empty
 result; other columns of the input are not read.
 """
 
@@ -126,7 +127,7 @@ def _text_key() -> tuple[Column, Column]:
     return F.xxhash64(t).alias("k1"), F.crc32(t.cast("binary")).alias("k2")
 
 
-def _gram_hashes(norm: Column, k: int) -> Column:
+def _gram_hashes(words: Column, k: int) -> Column:
     def grams(h: Column) -> Column:
         last = F.size(h) - k
         return F.when(
@@ -134,11 +135,11 @@ def _gram_hashes(norm: Column, k: int) -> Column:
             F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[h.getItem(i + j) for j in range(k)])),
         ).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.transform(_split(norm), lambda w: F.xxhash64(w)), grams)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
 
 
 def template_positions(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(gram, template, tpos, label, n_grams, n_words): a row per k-gram of a template."""
+    """(gram, words, template, tpos, label, n_grams, n_words): a row per k-gram of a template."""
     rows = [(n, label, " ".join(template_words(text))) for n, (label, text) in enumerate(templates)]
     df = spark.createDataFrame(rows, "template int, label string, norm string")
     n_words = F.size(F.split("norm", " "))
@@ -147,17 +148,25 @@ def template_positions(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
         "label",
         n_words.alias("n_words"),
         (n_words - k + 1).alias("n_grams"),
-        F.posexplode(_gram_hashes(F.col("norm"), k)).alias("tpos", "gram"),
-    )
+        F.split("norm", " ").alias("w"),
+        F.posexplode(_gram_hashes(F.split("norm", " "), k)).alias("tpos", "gram"),
+    ).withColumn("words", F.array_join(F.slice("w", F.col("tpos") + 1, k), " ")).drop("w")
 
 
 def vote(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     """Verified spans: (k1, k2, template, label, start, end, coverage), words from 0, end exclusive."""
     positions = template_positions(docs.sparkSession, templates, k)
-    grams = docs.select(*_text_key(), F.posexplode(_gram_hashes(normalised(F.col("text")), k)).alias("pos", "gram"))
+    known = [r["gram"] for r in positions.select("gram").distinct().collect()]  # bounded by the template list
+
+    def held(w: Column) -> Column:
+        every = F.transform(_gram_hashes(w, k), lambda g, i: F.struct(g.alias("gram"), i.alias("pos")))
+        some = F.filter(every, lambda x: x["gram"].isin(known))
+        return F.transform(some, lambda x: F.struct(x["gram"], x["pos"], F.array_join(F.slice(w, x["pos"] + 1, k), " ").alias("words")))
+
+    grams = docs.select(*_text_key(), F.explode(let(_split(normalised(F.col("text"))), held)).alias("x")).select("k1", "k2", "x.*")
     key = ["k1", "k2", "template", "label", "n_words", "n_grams"]
     # the template list bounds this broadcast: one row per k-gram of a template
-    votes = grams.join(F.broadcast(positions), "gram").withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    votes = grams.join(F.broadcast(positions), ["gram", "words"]).withColumn("diagonal", F.col("pos") - F.col("tpos"))
     diagonals = votes.groupBy(*key, "diagonal").agg(
         F.collect_set("tpos").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )

@@ -9,7 +9,7 @@ all labelled rows whose result has a fixed size (features x bins), so no rows re
 driver.  The rules become one ordered ``when`` chain.
 
 Defined results: a null text has no words and fails the base rules; several labels of
-a document count as its worst; without labels no rule is learned; repeated rows stay;
+a document count as its worst; a very long text is folded in its row; without labels no rule is learned; repeated rows stay;
 an empty table gives an empty result; other columns of the input are not read.
 """
 

@@ -4,16 +4,18 @@ DataFrame functions only.  Rules decide first; the longest that fits wins.  The
 URLs are judged by two variable-order Markov models, one of accepted and one of
 rejected URLs (those the rules decide): trigrams with Witten-Bell smoothing that fall
 back to bigrams and unigrams where a context was seen too rarely.  Characters are
-mapped to a fixed alphabet of 48, so a model has 48^3 entries however many URLs there
+mapped to a fixed alphabet of ``SIZE``, so a model has ``SIZE**3`` entries however many URLs there
 are, and the whole ratio is one literal array: scoring is a narrow pass without a join
 or shuffle.
 
 One fold of the decided URLs is kept out of the counts and calibrates the threshold of
 the length-normalised log-likelihood difference: no more than ``MAX_FALSE_BLOCKS`` of
-the accepted ones in it may be above.
+the accepted ones in it may be above.  A share of one in a hundred can't be read from
+fewer than ``MIN_CALIBRATION`` accepted URLs: then the models decide nothing.
 
 Defined results: null, empty and scheme-less URLs have empty host and path, no rule,
-and are allowed; without accepted or rejected URLs the models allow everything;
+and are allowed; without rejected URLs or enough accepted ones the models allow
+everything; a very long URL is scored whole;
 repeated rows stay; an empty table gives an empty result; other columns are not read.
 """
 
@@ -26,14 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, let, table
 
-#: Characters of the models; every other one is symbol 0.
+#: Characters of the models, symbols from 1; symbol 0 is the start, the last any other character.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-./?=&#_%:+"
-SIZE = len(ALPHABET) + 1
+SIZE = len(ALPHABET) + 2
 #: A bigram context is used from so many sightings.
 MIN_CONTEXT = 4
 #: One in so many decided URLs calibrates.
 FOLDS = 5
 MAX_FALSE_BLOCKS = 0.01
+MIN_CALIBRATION = 100
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -83,7 +86,7 @@ def trigrams(url: Column) -> Column:
     chars = F.split(F.lower(F.coalesce(url, F.lit(""))), "")
     codes = F.concat(
         F.array(F.lit(0), F.lit(0)),
-        F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c)),
+        F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(SIZE - 1))),
     )
     gram = lambda c, i: (c.getItem(i) * SIZE + c.getItem(i + 1)) * SIZE + c.getItem(i + 2)
     return let(
@@ -191,12 +194,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -
     decided = parsed.where(F.col("_rule").isNotNull()).select(F.col(url).alias("url"), F.col("_rule.verdict").alias("verdict"))
     calibrates = F.crc32(F.col("url").cast("binary")) % FOLDS == 0
     model = train(decided.where(~calibrates)).first()["llr"]
-    above = (
-        decided.where(calibrates & (F.col("verdict") == "allow"))
-        .agg(F.percentile_approx(score(F.col("url"), model), F.lit(1 - MAX_FALSE_BLOCKS), F.lit(10_000)).alias("t"))
-        .first()["t"]
-    )
-    threshold = max(above or 0.0, 0.0)
+    accepted = decided.where(calibrates & (F.col("verdict") == "allow")).agg(
+        F.percentile_approx(score(F.col("url"), model), F.lit(1 - MAX_FALSE_BLOCKS), F.lit(10_000)).alias("t"), F.count(F.lit(1)).alias("n")
+    ).first()
+    threshold = max(accepted["t"], 0.0) if accepted["n"] >= MIN_CALIBRATION else float("inf")
     judged = parsed.withColumn("llr", F.when(F.col("_rule").isNull(), score(F.col(url), model)))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("llr") > threshold, "block").otherwise("allow"))
     return judged.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_rule")

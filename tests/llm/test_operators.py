@@ -187,6 +187,63 @@ def test_language(spark):
     assert [r.lang_pred for r in language_id.op3_language(docs(spark, [(1, "abc", None, None)])).collect()] == ["und"]
 
 
+def test_language_model_against_plain_version():
+    texts = ["Ab c", "baa ab", "çé x", "aa", "b-b b"]
+    bits = 8
+
+    def plain_counts(text):
+        clean = re.sub(r"[^a-zçé]+", " ", text.lower())
+        codes = [32, *map(ord, clean), 32]
+        out = Counter()
+        for n, mix in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 1):
+            for i in range(len(codes) - n + 1):
+                key = codes[i]
+                for c in codes[i + 1 : i + n]:
+                    key = ((key * 0x01000193) & 0xFFFFFFFF) ^ c
+                out[((key * mix) & 0xFFFFFFFF) >> (32 - bits)] += 1
+        return out
+
+    counts = [plain_counts(t) for t in texts]
+    for t, c in zip(texts, counts):
+        assert {i: n for i, n in enumerate(language_id.gram_counts(t, bits)) if n} == c
+    idf = {s: math.log((1 + len(texts)) / (1 + sum(s in c for c in counts))) + 1 for s in range(1 << bits)}
+    z, n, model = defaultdict(float), defaultdict(float), language_id.FtrlSoftmax(2, 1 << bits)
+    a, beta, l1, l2 = model.alpha, model.beta, model.l1, model.l2
+
+    def weight(k, s):
+        if abs(z[k, s]) <= l1:
+            return 0.0
+        return -(z[k, s] - math.copysign(l1, z[k, s])) / ((beta + math.sqrt(n[k, s])) / a + l2)
+
+    for y, c in enumerate(counts * 3):
+        y %= 2
+        x = {s: math.log1p(v) * idf[s] for s, v in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        x = {s: v / norm for s, v in x.items()}
+        logits = [sum(weight(k, s) * v for s, v in x.items()) for k in range(2)]
+        total = sum(map(math.exp, logits))
+        w = {(k, s): weight(k, s) for k in range(2) for s in x}
+        for k in range(2):
+            for s, v in x.items():
+                g = (math.exp(logits[k]) / total - (k == y)) * v
+                z[k, s] += g - (math.sqrt(n[k, s] + g * g) - math.sqrt(n[k, s])) / a * w[k, s]
+                n[k, s] += g * g
+        at = np.array(sorted(x))
+        model.learn(at, language_id.vector(np.array([c[s] for s in at]), np.array([idf[s] for s in at])), y)
+    got = model.weights()
+    assert all(math.isclose(got[k, s], weight(k, s), abs_tol=1e-9) for k in range(2) for s in range(1 << bits))
+    # the temperature of least penalised loss, by a grid
+    rng = np.random.default_rng(3)
+    logits, y = rng.normal(size=(200, 3)) * 6, rng.integers(0, 3, 200)
+    logits[np.arange(200), y] += 4
+
+    def loss(t):
+        s = logits / t
+        return (np.log(np.exp(s).sum(axis=1)) - s[np.arange(200), y]).mean() + language_id.PENALTY * math.log(t) ** 2
+
+    assert loss(language_id.temperature(logits, y)) <= min(loss(t) for t in np.geomspace(0.05, 20, 400)) + 1e-6
+
+
 # nearest neighbours
 
 
@@ -280,6 +337,33 @@ def test_chat_parts():
     assert "".join(chat_format.unescape(segment[a:b]) for a, b in loss) == "see <|image|>and"
 
 
+def test_chat_malformed_parts(spark):
+    bad = ["[1]", "not json", '{"type":"image","width":"x","height":null}', "[null, [2], true]", '[{"type":["image"]}]', '[{"type":"text","text":{"a":1}}]', '[{"type":"audio","ms":1e999}]', "[" * 5000]
+    rows = [(i, 0, "assistant", "unused", p) for i, p in enumerate(bad)] + [(50, 0, "assistant", "plain", None), (51, 0, "user", None, "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts string")
+    segments = chat_format.format_turns(turns, parts="parts")
+    got = {r.conv_id: r for r in segments.collect()}
+    assert len(got) == len(rows)
+    assert [len(got[i].attachments) for i in range(len(bad))] == [0, 0, 1, 0, 1, 0, 1, 0]
+    assert [got[i].placeholder_tokens for i in (2, 4, 6)] == [1, 700, 1]
+    texts = {i: "".join(chat_format.read_segment(got[i].segment)[1]) for i in got}
+    assert texts[0] == "1" and texts[1] == "not json" and texts[3] == "[2]true" and texts[5] == '{"a": 1}' and texts[50] == "plain" and texts[51] == ""
+    back = {r.conv_id: r for r in chat_format.read_back(segments).collect()}
+    assert back[1].loss_sha256 == hashlib.sha256(b"not json").hexdigest() and back[51].loss_chars == 0
+
+
+def test_chat_parts_of_a_table(spark):
+    parts = '["a <|image|>",{"type":"image","ref":"x.png","width":30,"height":14},{"type":"document","url":"d","pages":3},"b"]'
+    turns = spark.createDataFrame([(1, 1, "assistant", None, parts), (1, 0, "user", "q", None)], "conv_id long, turn long, role string, text string, parts string")
+    segments = chat_format.format_turns(turns, parts="parts")
+    row = segments.where("turn = 1").first()
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in row.attachments] == [("image", "x.png", 3), ("document", "d", 2100)]
+    assert all(row.segment[a["at"] :].startswith(chat_format.PLACEHOLDERS[a["kind"]]) for a in row.attachments)
+    digest = chat_format.read_back(segments).first()
+    assert digest.n_turns == 2 and digest.turns_sha256 == hashlib.sha256(b"user\nq\nassistant\na <|image|>b\n").hexdigest()
+    assert digest.loss_sha256 == hashlib.sha256(b"a <|image|>b").hexdigest() and digest.loss_chars == 12
+
+
 def test_chat_digest(spark):
     rows = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", None), (1, 1, "assistant", "b<|im_end|>"), (2, 0, None, "hé"), (None, 5, "assistant", "x")]
     segments = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -322,16 +406,42 @@ def test_url_model_separates(spark):
     model = url_filters.train(df).first()["llr"]
     scores = df.select("verdict", url_filters.score(_c("url"), model).alias("s")).collect()
     assert all((r.s > 0) == (r.verdict == "block") for r in scores)
-    # the smoothed distributions sum to one
-    counts = df.select(_explode(url_filters.trigrams(_c("url"))))
-    assert counts.count() == sum(len(u) for u, _ in good + bad)
+    # a plain model of each class: Witten-Bell trigrams that back off, each distribution sums to one
+    size, symbol = url_filters.SIZE, lambda c: url_filters.ALPHABET.find(c) + 1 or url_filters.SIZE - 1
+    models = []
+    for rows in (good, bad):
+        n1, n2, n3 = Counter(), defaultdict(Counter), defaultdict(Counter)
+        for u, _ in rows:
+            codes = [0, 0, *map(symbol, u.lower())]
+            for a, b, c in zip(codes, codes[1:], codes[2:]):
+                n1[c] += 1
+                n2[b][c] += 1
+                n3[a, b][c] += 1
+
+        def p(a, b, c, n1=n1, n2=n2, n3=n3):
+            low = (n1[c] + 1) / (sum(n1.values()) + size)
+            two, three = n2[b], n3[a, b]
+            mid = (two[c] + len(two) * low) / (sum(two.values()) + len(two)) if two else low
+            return (three[c] + len(three) * mid) / (sum(three.values()) + len(three)) if sum(three.values()) >= url_filters.MIN_CONTEXT else mid
+
+        models.append(p)
+        contexts = [*list(n3)[:20], (0, 0), (3, size - 1), (size - 1, 5)]
+        for a, b in contexts:
+            assert math.isclose(sum(p(a, b, c) for c in range(size)), 1)
+    for _ in range(300):
+        a, b, c = (rng.randrange(size) for _ in range(3))
+        assert math.isclose(model[(a * size + b) * size + c], math.log(models[1](a, b, c) / models[0](a, b, c)), abs_tol=1e-9)
     assert url_filters.train(df.where("verdict = 'allow'")).first()["llr"] is None
 
 
-def _explode(c):
-    from pyspark.sql import functions as F
-
-    return F.explode(c)
+def test_few_accepted_urls_block_nothing(spark):
+    rng = random.Random(12)
+    url = lambda host, i: f"http://{rng.choice('abc')}{i}.{host}/x{i}"
+    undecided = [(i, url("zzqqxx.info", i)) for i in range(20)]
+    for accepted, blocks in ((40, False), (1500, True)):
+        rows = [(1000 + i, url("net", i).replace("/x", "/de/x")) for i in range(accepted)] + [(9000 + i, url("zzqqxx.org", i).replace("/x", "/es/x")) for i in range(300)]
+        got = url_filters.judge(spark.createDataFrame(undecided + rows, "page_id long, url string")).where("rule IS NULL").collect()
+        assert len(got) == 20 and any(r.verdict == "block" for r in got) == blocks
 
 
 # licenses
@@ -356,6 +466,38 @@ def test_licenses(spark):
     assert [(s.start, s.label) for s in spans] == [(3, "mit")]
 
 
+def test_voted_labels_against_plain_voting(spark):
+    rng = random.Random(13)
+    k, rows = license_scan.K, []
+    for i in range(60):
+        w = license_scan.template_words(rng.choice(license_scan.TEMPLATES)[1])
+        cut = [x for x in w if rng.random() > 0.05 * (i % 8)]
+        filler = [f"w{rng.randrange(50)}" for _ in range(20)]
+        rows.append((i, " ".join([*filler[: rng.randrange(20)], *cut, *filler]), "en", "x"))
+    got = {r.doc_id: r.labels for r in license_scan.op7_licenses(docs(spark, rows)).collect()}
+    for i, text, _, _ in rows:
+        words, found = text.split(), {label for phrase, label in license_scan.PHRASES if f" {phrase} " in f" {text} "}
+        for label, template in license_scan.TEMPLATES:
+            t = license_scan.template_words(template)
+            diagonals = defaultdict(list)
+            for a in range(len(words) - k + 1):
+                for b in range(len(t) - k + 1):
+                    if words[a : a + k] == t[b : b + k]:
+                        diagonals[a - b].append((a, b))
+            group, last = [], None
+            for d in [*sorted(diagonals), None]:
+                if group and (d is None or d - last > license_scan.MAX_SHIFT):
+                    share = len({b for _, b in group}) / (len(t) - k + 1)
+                    long = max(a for a, _ in group) + k - min(a for a, _ in group)
+                    if share >= license_scan.MIN_COVERAGE and long <= len(t) * license_scan.MAX_STRETCH + k:
+                        found.add(label)
+                    group = []
+                if d is not None:
+                    group, last = group + diagonals[d], d
+        assert got[i] == ",".join(sorted(found)), i
+    assert sum(map(bool, got.values())) > 30
+
+
 # pieces
 
 
