@@ -97,7 +97,7 @@ def chunk_by_tokens(text: Column, n: int) -> Column:
 def normalize(text: Column) -> Column:
     """Extracted text without marks, soft hyphens, hard hyphenation, controls and runs of blanks.
 
-    Compatibility composition (NFKC) is left to ``nfkc`` for corpora that need it.
+    Takes text in compatibility composition (``nfkc``).
     """
     t = F.regexp_replace(text, "[�￾￿­]", "")
     t = F.regexp_replace(t, r"(\p{L})-\r?\n[\s ]*(\p{L})", "$1$2")

@@ -53,12 +53,16 @@ def freshness(docs: DataFrame, this_year: int) -> DataFrame:
 
 
 def type_breakdown(docs: DataFrame) -> DataFrame:
-    dominant = F.mode("strategy", True) if hasattr(F, "mode") else F.max("strategy")
-    return docs.groupBy("doc_type").agg(
+    """Means and shares by document type; ``confirmed`` counts the confirmed requirements of a document."""
+    dominant = F.mode("strategy", True)
+    return docs.groupBy(F.coalesce("doc_type", F.lit("unknown")).alias("doc_type")).agg(
         F.count(F.lit(1)).alias("documents"),
         F.avg("page_count").alias("avg_pages"),
         F.avg((F.col("language") == "deu").cast("int")).alias("german_share"),
         F.avg((F.col("headings") > 0).cast("int")).alias("heading_share"),
+        F.avg(F.coalesce("confirmed", F.lit(0))).alias("avg_confirmed"),
+        F.avg(F.col("pdf_class").isin("fully_scanned", "hybrid").cast("int")).alias("scanned_share"),
+        F.count_if("reliable").alias("reliable"),
         dominant.alias("strategy"),
     )
 

@@ -11,6 +11,8 @@ from docloom.functions import text as T
 from docloom.functions.profile import AUTOMOTIVE_DE, SectorProfile
 
 FIRST_SECTION = "Einleitung"
+#: A section that is sampled for validation has more characters.
+SAMPLED_CHARS = 200
 
 
 def sections(text: Column, headings: Column) -> Column:
@@ -96,8 +98,10 @@ def quality_by_document(requirements: DataFrame) -> DataFrame:
 def sample_for_validation(sections_: DataFrame, rate: float = 0.1, per_type: int = 2, pool: int = 50, seed: int = 7) -> DataFrame:
     """Two sections of every document type, then more up to ``rate`` of the pool; seeded.
 
-    ``sections_(doc_id, section, doc_type)``; a pool holds at most ``pool`` of a type.
+    ``sections_(doc_id, section, doc_type, chars)``; a pool holds at most ``pool`` sections of a
+    type, of more than ``SAMPLED_CHARS`` characters each.
     """
+    sections_ = sections_.where(F.col("chars") > SAMPLED_CHARS)
     order = F.xxhash64(F.lit(seed), "doc_id", "section")
     w = W.partitionBy("doc_type").orderBy(order, "doc_id", "section")
     pooled = sections_.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool)

@@ -1,35 +1,21 @@
-"""Queries over file facts, pages, references, requirements, versions, checks and reports."""
+"""Queries over file facts, pages, ranks, domain signals and the interactive report."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import classify as C
 from docloom.functions import jsregex as rx
 from docloom.functions import paths as P
-from docloom.functions import sketch
 from docloom.functions import text as T
-from docloom.functions.profile import AUTOMOTIVE_DE, NORM_CANONICAL, PATTERNS
-from docloom.operators import checks, dashboard, graph, origin, references, report, requirements, versions
+from docloom.operators import dashboard, references, report
 from docloom.sources import files
 from docloom.streaming import ingest
 
-from .views import DOC_VIEW, doc_view, sql_tokens, table
+from .views import DOC_VIEW, doc_view, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: A small corpus that holds what the tables lack: (id, headings, text).
-MINI = (
-    (1, ["1 Scope", "2 Terms", "3 Tests", "4 Other"], "1 Scope\nDie Komponente muss nach ISO 9001 geprüft werden und darf nicht lecken.\n2 Terms\nDer Lieferant soll die Verpackung nach VDA 4.1 liefern, siehe Kapitel 3.2.\n3 Tests\nThe Supplier shall test 12,5 mm of Stahl and 7 kg per part with care.\n4 Other\nText only."),
-    (2, [], "Das Bauteil muss nicht geprüft werden. QV 12345 gilt, FIKB-1234 auch. Anlage AB-123456 und REQ-001."),
-    (3, ["A"], "A\nDie Toleranz beträgt 5 mm. Version 2024-05-01. NOVA-SRS-001 und ISO-ABC-123."),
-    (4, [], "Kann man DIN EN ISO 9001:2015 oder EN 10204 nutzen? KB_Master-Nummer 42. Doc AB 12345."),
-    (5, [], "The part must hold. IATF 16949 applies to TITAN-IRS-002 and QV-777 v2."),
-    (6, ["Safety"], "Safety\nAlle Teile sind sicherheitsrelevant und müssen der Norm ISO 26262:2018 mit 3 bar genügen.\nSafety\nNoch ein Abschnitt kann 4 °C haben."),
-)
-
-
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -40,19 +26,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def mini(spark):
-    return spark.createDataFrame(list(MINI), "doc_id long, headings array<string>, text_content string")
-
-
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-MINI_SQL = "mini AS (SELECT * FROM (VALUES " + ", ".join(
-    f"(CAST({i} AS BIGINT), CAST([{', '.join(map(_quote, h))}] AS VARCHAR[]), {_quote(t)})" for i, h, t in MINI
-) + ") AS v(doc_id, headings, text_content))"
-
-
 # paths and dates
 
 
@@ -79,13 +52,6 @@ def category_of_path(spark, sf_dir):
     return doc_view(spark, sf_dir).select("doc_id", P.category(P.directories(F.col("path"))).alias("category"))
 
 
-@query("customer_and_project")
-def customer_and_project(spark, sf_dir):
-    d = doc_view(spark, sf_dir).withColumn("p", F.concat_ws("/", "customer", "path"))
-    dirs = P.directories(F.col("p"))
-    return d.select("doc_id", P.customer(dirs).alias("customer"), P.project(dirs).alias("project"))
-
-
 @query("documents_by_year", f"WITH {DOC_VIEW} SELECT CAST(year(best_date) AS INTEGER) AS year, count(*) AS documents, year(best_date) <= 2025 - 3 AS stale FROM doc_view GROUP BY 1, 3")
 def documents_by_year(spark, sf_dir):
     return report.freshness(doc_view(spark, sf_dir), 2025)
@@ -123,25 +89,11 @@ def folder_tree(spark, sf_dir):
     return report.folder_tree(doc_view(spark, sf_dir))
 
 
-@query("folder_inference")
-def folder_inference(spark, sf_dir):
-    return report.folder_inference(doc_view(spark, sf_dir).withColumn("depth", P.depth(F.col("path"))))
-
-
 @query("page_count_histogram", f"WITH {DOC_VIEW} SELECT '1-10' AS range, count(*) AS n FROM doc_view UNION ALL SELECT unnest(['11-50', '51-100', '101-200', '200+']), 0")
 def page_count_histogram(spark, sf_dir):
     return report.histogram(doc_view(spark, sf_dir), "page_count", report.PAGE_RANGES)
 
 
-@query(
-    "filtered_file_list",
-    f"""WITH {DOC_VIEW} SELECT doc_id, filename FROM doc_view WHERE extension = '.pdf' AND contains(lower(concat_ws(' ', filename, path, customer, project)), 'rfq')""",
-)
-def filtered_file_list(spark, sf_dir):
-    hay = F.lower(F.concat_ws(" ", "filename", "path", "customer", "project"))
-    return doc_view(spark, sf_dir).where((F.col("extension") == ".pdf") & F.contains(hay, F.lit("rfq"))).select("doc_id", "filename")
-
-
 # pages
 
 
@@ -170,12 +122,6 @@ def url_segments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(P.segments(F.col("url"))).cast("long").alias("segments"))
 
 
-@query("sketch_of_headings")
-def sketch_of_headings(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", sketch.minhash(files.html_headings(F.col("html"))).alias("signature"))
-    return p.select("page_id", F.md5(F.array_join("signature", ",")).alias("digest"))
-
-
 # joins and ranks
 
 
@@ -211,136 +157,6 @@ def name_similarity(spark, sf_dir):
     return pairs.select("a", "b", F.round(T.trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-# versions
-
-
-def _fingerprints(spark, sf_dir):
-    """Documents with headings: the lines of their text stand in for them."""
-    lines = F.filter(F.transform(F.split("text_content", "\n"), rx.trim), lambda x: F.length(x) >= 3)
-    d = doc_view(spark, sf_dir).withColumn("headings", lines)
-    nodes = C.heading_nodes(F.col("headings"))
-    density = C.requirement_density(F.col("text_content"), F.col("page_count"))
-    return d.select(
-        "doc_id", "path", "filename", "extension", "customer", "best_date", "date_source", "parse_success", "char_count",
-        F.lit(False).alias("numbered"), C.level_counts(nodes).alias("levels"), sketch.minhash(F.col("headings")).alias("signature"),
-        F.lit(None).cast("array<float>").alias("embedding"), density["mandatory"].alias("mandatory"), density["recommended"].alias("recommended"),
-    )
-
-
-@query("version_pairs_high")
-def version_pairs_high(spark, sf_dir):
-    return versions.high_pairs(_fingerprints(spark, sf_dir))
-
-
-@query("version_pairs")
-def version_pairs(spark, sf_dir):
-    return versions.all_pairs(_fingerprints(spark, sf_dir))
-
-
-@query("version_chains")
-def version_chains(spark, sf_dir):
-    d = _fingerprints(spark, sf_dir)
-    return versions.chains(versions.high_pairs(d), d)
-
-
-@query("version_histogram")
-def version_histogram(spark, sf_dir):
-    return versions.histogram(versions.all_pairs(_fingerprints(spark, sf_dir)))
-
-
-# references and requirements of all documents
-
-
-def _texts(spark, sf_dir):
-    """(doc_id, headings, text_content) of every document; the table has no headings."""
-    return doc_view(spark, sf_dir).select("doc_id", F.array().cast("array<string>").alias("headings"), "text_content")
-
-
-def _references(spark, sf_dir):
-    """References of every document, found once for all their readers."""
-    return graph.checkpoint(references.extract(_texts(spark, sf_dir)))
-
-
-def _matches(call: str) -> str:
-    p, f = {"quality_spec": PATTERNS["quality_spec"], "fikb": PATTERNS["fikb"]}[call]
-    return rx.re2(p.replace(r"(?!\w)", ""), f)
-
-
-@query("raw_references")
-def raw_references(spark, sf_dir):
-    return references.extract(_texts(spark, sf_dir)).select("doc_id", "call", "type", "raw_text")
-
-
-@query("resolved_references")
-def resolved_references(spark, sf_dir):
-    names = doc_view(spark, sf_dir).select("doc_id", "filename")
-    return references.resolve(_references(spark, sf_dir), names).select("doc_id", "call", "raw_text", "normalized", "resolved_to", "method", "classification")
-
-
-@query(
-    "canonical_norms",
-    "WITH c AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({k}, {_quote(a)}, {_quote(b)})" for k, (a, b) in enumerate(NORM_CANONICAL.items()))
-    + ") AS v(ord, key, name)), r AS (SELECT unnest(['ISO 9001', 'iso 9001:2008', 'VDA 6.3', 'EN ISO 9001', 'XYZ 1', 'ISO 26262-2']) AS raw) SELECT raw, coalesce((SELECT name FROM c WHERE key = raw), (SELECT arg_min(name, ord) FROM c WHERE starts_with(lower(raw), lower(key)))) AS name FROM r",
-)
-def canonical_norms(spark, sf_dir):
-    raws = ["ISO 9001", "iso 9001:2008", "VDA 6.3", "EN ISO 9001", "XYZ 1", "ISO 26262-2"]
-    return spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", references.canonical_norm(F.col("raw")).alias("name"))
-
-
-@query("canonical_norms_of_documents")
-def canonical_norms_of_documents(spark, sf_dir):
-    """``canonical_norms`` of every norm in the documents; its SQL is fixed to six texts."""
-    norms = references.extract(_texts(spark, sf_dir)).where("call = 'norms'").select(F.col("raw_text").alias("raw")).distinct()
-    return norms.select("raw", references.canonical_norm(F.col("raw")).alias("name"))
-
-
-@query(
-    "requirement_types",
-    f"""WITH {MINI_SQL}, l AS (SELECT doc_id, unnest(string_split(text_content, chr(10))) AS t FROM mini)
-    SELECT doc_id, t, CASE WHEN regexp_matches(t, {rx.re2(*PATTERNS['must'])}) THEN 'MANDATORY' WHEN regexp_matches(t, {rx.re2(*PATTERNS['should'])}) THEN 'RECOMMENDED'
-      WHEN regexp_matches(t, {rx.re2(*PATTERNS['may'])}) THEN 'PERMITTED' WHEN regexp_matches(t, {rx.re2(*AUTOMOTIVE_DE.requirement_patterns['DECLARATIVE'])}) THEN 'DECLARATIVE' ELSE 'INFORMATIVE' END AS type,
-    CASE WHEN regexp_matches(t, {rx.re2(*PATTERNS['safety'])}) THEN 'Safety' WHEN regexp_matches(t, {rx.re2(*PATTERNS['material'])}) THEN 'Material' WHEN regexp_matches(t, {rx.re2(*PATTERNS['tolerance'])}) THEN 'Tolerance'
-      WHEN regexp_matches(t, {rx.re2(*PATTERNS['testing'])}) THEN 'Testing' WHEN regexp_matches(t, {rx.re2(*PATTERNS['packaging'])}) THEN 'Packaging' WHEN regexp_matches(t, {rx.re2(*PATTERNS['delivery'])}) THEN 'Delivery' ELSE 'Other' END AS category FROM l""",
-)
-def requirement_types(spark, sf_dir):
-    lines = mini(spark).select("doc_id", F.explode(F.split("text_content", "\n")).alias("t"))
-    return lines.select("doc_id", "t", C.requirement_type(F.col("t")).alias("type"), C.requirement_category(F.col("t")).alias("category"))
-
-
-@query("requirement_types_of_documents")
-def requirement_types_of_documents(spark, sf_dir):
-    """``requirement_types`` of every line of the documents; its SQL is fixed to six texts."""
-    lines = _texts(spark, sf_dir).select("doc_id", F.explode(F.split("text_content", "\n")).alias("t"))
-    return lines.select("doc_id", "t", C.requirement_type(F.col("t")).alias("type"), C.requirement_category(F.col("t")).alias("category"))
-
-
-@query(
-    "requirement_density",
-    f"""SELECT doc_id, len(regexp_extract_all(text, {rx.re2(*PATTERNS['must'])})) AS mandatory, len(regexp_extract_all(text, {rx.re2(*PATTERNS['should'])})) AS recommended,
-    len(regexp_extract_all(text, {rx.re2(*PATTERNS['may'])})) AS permitted, len(regexp_extract_all(text, {rx.re2(*PATTERNS['informative'])})) AS informative FROM documents""",
-)
-def requirement_density(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", C.requirement_density(F.col("text"), F.lit(1)).alias("r"))
-    return d.select("doc_id", *[F.col(f"r.{c}").cast("long").alias(c) for c in ("mandatory", "recommended", "permitted", "informative")])
-
-
-@query("requirements_of_sections")
-def requirements_of_sections(spark, sf_dir):
-    return requirements.extract(_texts(spark, sf_dir)).select("doc_id", "section", "heading", "type", "category", "quantity_count", "linked_norm", "linked_entity", "safety", "status")
-
-
-@query("requirement_quality")
-def requirement_quality(spark, sf_dir):
-    return requirements.quality_by_document(requirements.extract(_texts(spark, sf_dir)))
-
-
-@query("validation_sample")
-def validation_sample(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("section"), F.col("lang").alias("doc_type"))
-    return requirements.sample_for_validation(d)
-
-
 # domain, checks, scores
 
 
@@ -359,69 +175,6 @@ def domain_signals(spark, sf_dir):
     return s.agg(*[F.sum(n).cast("long").alias(n) for n in domain.DETECTORS])
 
 
-@query("domain_profile")
-def domain_profile(spark, sf_dir):
-    from docloom.operators import domain
-
-    d = doc_view(spark, sf_dir)
-    return domain.profile(domain.signals(d), d)
-
-
-def _parsed(spark, sf_dir):
-    d = doc_view(spark, sf_dir)
-    kind = C.document_type(F.col("filename"), F.array().cast("array<string>"), F.substring("text_content", 1, 2000))
-    none = F.array().cast("array<string>")
-    oem = C.detect_oem(F.substring("text_content", 1, 2000), none, P.segments(F.concat_ws("/", "customer", "path")))
-    nodes = C.heading_nodes(none)
-    plan = C.chunk_strategy(F.col("extension"), nodes, F.lit(0), F.lit("native"))
-    d = d.withColumns({"doc_type": kind, "_oem": oem, "_plan": plan})
-    return d.select(
-        "doc_id", "project", "extension", "language", "page_count", T.tokens_by_length(F.col("text_content")).alias("tokens"), F.lit(0).alias("headings"), "doc_type",
-        F.col("_oem.oem").alias("oem"), F.col("_oem.source").alias("oem_source"), F.lit(0.0).alias("scanned_ratio"), "parse_success", F.col("_plan.strategy").alias("strategy"),
-        F.col("_plan.confidence").alias("strategy_confidence"), F.col("best_date").alias("mtime"), "category", F.lit("native").alias("pdf_class"),
-        C.requirement_reliable(F.col("doc_type"), F.col("extension")).alias("reliable"), "customer", "path", "text_content",
-    )
-
-
-@query(
-    "parse_checks",
-    f"""WITH {DOC_VIEW}, p AS (SELECT avg(CASE WHEN parse_success THEN 1 ELSE 0 END) AS v, avg(CASE WHEN language IN ('deu', 'und') THEN 0 ELSE 1 END) AS m, count(DISTINCT best_date) AS k FROM doc_view)
-    SELECT 'parseSuccessRate' AS name, v >= 0.85 AS passed, round(v, 6) AS value FROM p UNION ALL SELECT 'languageMixRate', true, round(m, 6) FROM p UNION ALL SELECT 'uniformTimestamps', k > 1, CAST(k AS DOUBLE) FROM p""",
-)
-def parse_checks(spark, sf_dir):
-    c = checks.corpus_checks(_parsed(spark, sf_dir))
-    return c.where(F.col("name").isin("parseSuccessRate", "languageMixRate", "uniformTimestamps")).select("name", "passed", F.round("value", 6).alias("value"))
-
-
-@query("consistency_checks")
-def consistency_checks(spark, sf_dir):
-    refs = references.resolve(_references(spark, sf_dir), doc_view(spark, sf_dir).select("doc_id", "filename"))
-    return checks.corpus_checks(_parsed(spark, sf_dir), references=refs, requirements=requirements.extract(_texts(spark, sf_dir)))
-
-
-@query("metadata_score")
-def metadata_score(spark, sf_dir):
-    return report.metadata_score(_parsed(spark, sf_dir))
-
-
-@query("type_breakdown")
-def type_breakdown(spark, sf_dir):
-    return report.type_breakdown(_parsed(spark, sf_dir))
-
-
-@query("origin_counts")
-def origin_counts(spark, sf_dir):
-    who = origin.CompanyIdentity("Acme GmbH", ("acme works",))
-    d = _parsed(spark, sf_dir)
-    found = origin.signals(who, P.segments(F.col("path")), F.col("text_content"), F.col("doc_type"), F.col("customer"), F.col("category"))
-    return d.select(origin.classify(found).alias("o")).groupBy("o.result", "o.confidence").agg(F.count(F.lit(1)).alias("documents"))
-
-
-@query("pattern_coverage")
-def pattern_coverage(spark, sf_dir):
-    return report.pattern_coverage(_texts(spark, sf_dir), {k: PATTERNS[k] for k in ("norm", "quality_spec", "fikb", "chapter_ref", "doc_ref", "intra_corpus_id", "must", "should", "may", "quantity")})
-
-
 # the interactive report
 
 
@@ -458,25 +211,3 @@ def line_count_chart(spark, sf_dir):
     return dashboard.heading_counts(d)
 
 
-@query("norm_families")
-def norm_families(spark, sf_dir):
-    refs = references.resolve(_references(spark, sf_dir), doc_view(spark, sf_dir).select("doc_id", "filename"))
-    return dashboard.norm_families(refs)
-
-
-@query("config_recommendations")
-def config_recommendations(spark, sf_dir):
-    from docloom.operators import boilerplate, projection
-
-    d = doc_view(spark, sf_dir).select(
-        "doc_id", "text_content", "parse_success", F.when(F.col("extension") == ".pdf", "heading_sections").otherwise("sliding_window").alias("strategy"), F.lit(3).alias("headings"), F.lit(0).alias("tables")
-    )
-    return projection.recommendations(projection.project(d), d, boilerplate.discover(doc_view(spark, sf_dir)))
-
-
-@query("audit_signals")
-def audit_signals(spark, sf_dir):
-    d = doc_view(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    sample = F.substring("text_content", 1, 2000)
-    return d.select("doc_id", dashboard.type_signals(F.col("filename"), none, sample).alias("type"), dashboard.oem_signals(F.concat_ws(" ", sample, "customer", "path")).alias("oem")).select("doc_id", "type.*", "oem.*")

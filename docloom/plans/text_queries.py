@@ -42,6 +42,11 @@ def boilerplate_discovery(spark, sf_dir):
     return boilerplate.discover(doc_view(spark, sf_dir))
 
 
+@query("boilerplate_by_risk", SQL["boilerplate_discovery"] + " ORDER BY tokens_at_risk DESC, form LIMIT 20")
+def boilerplate_by_risk(spark, sf_dir):
+    return boilerplate.ranked(doc_view(spark, sf_dir), 20)
+
+
 @query(
     "boilerplate_summary",
     f"""WITH l AS (SELECT doc_id, pos, {V.sql_trim('line')} AS raw FROM (
@@ -119,7 +124,8 @@ _CLEAN = f"""n AS (SELECT doc_id, text, {V.sql_normalize('text')} AS norm FROM d
     f"""WITH {_CLEAN} SELECT doc_id, raw, greatest(0, raw - norm_tokens) AS normalization, lb AS boilerplate, lr AS repeated, length(cleaned) AS cleaned_chars FROM cl""",
 )
 def clean_loss(spark, sf_dir):
-    d = doc_view(spark, sf_dir).where("parse_success").select("doc_id", projection.clean(F.col("text_content")).alias("c"))
+    d = doc_view(spark, sf_dir).where("parse_success").withColumn("composed", T.nfkc(F.col("text_content")))
+    d = d.select("doc_id", projection.clean(F.col("text_content"), F.col("composed")).alias("c"))
     return d.select("doc_id", "c.raw", "c.normalization", "c.boilerplate", "c.repeated", F.length("c.cleaned").alias("cleaned_chars"))
 
 
@@ -318,9 +324,14 @@ def worst_documents(spark, sf_dir):
     return quality.worst_documents(per).select("doc_id", F.round("index_p10", 6).alias("index_p10"))
 
 
-@query("weakest_metrics")
+@query(
+    "weakest_metrics",
+    f"""WITH {_CONTENT}, d AS (SELECT doc_id, avg(size_fit) AS size_fit, avg(boundary_quality) AS boundary_quality, avg(cross_reference_cut) AS cross_reference_cut, avg(header_pollution) AS header_pollution, avg(content_score) AS content_score FROM ix GROUP BY 1)
+    SELECT metric, round(avg(v), 5) AS mean FROM (UNPIVOT (SELECT * EXCLUDE (doc_id) FROM (SELECT doc_id, size_fit::DOUBLE AS size_fit, boundary_quality::DOUBLE AS boundary_quality, cross_reference_cut::DOUBLE AS cross_reference_cut, header_pollution::DOUBLE AS header_pollution, content_score::DOUBLE AS content_score FROM d))
+      ON COLUMNS(*) INTO NAME metric VALUE v) GROUP BY 1 ORDER BY avg(v), metric LIMIT 3""",
+)
 def weakest_metrics(spark, sf_dir):
-    return quality.weakest_metrics(quality.per_document(quality.composite(_scored(spark, sf_dir))))
+    return quality.weakest_metrics(quality.per_document(quality.composite(_scored(spark, sf_dir)))).withColumn("mean", F.round("mean", 5))
 
 
 @query(
