@@ -149,6 +149,9 @@ _PROJECT = f"""{_CLEAN},
          CASE WHEN parse_success THEN greatest(1, CAST(ceil(after_cleaning / CAST(448 AS DOUBLE)) AS BIGINT)) ELSE 0 END AS predicted_chunks FROM pr)"""
 
 
+_PROJECT_VIEW = f"{V.DOC_VIEW}, {_PROJECT}".replace("SELECT d.doc_id, category,", "SELECT d.doc_id, category, extension,")
+
+
 @query(
     "token_waterfall",
     f"WITH {V.DOC_VIEW}, {_PROJECT} SELECT doc_id, raw, after_normalization, after_cleaning, after_chunking, after_filter, predicted_chunks, filtered_chunks, round(retention, 6) AS retention FROM px",
