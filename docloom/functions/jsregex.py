@@ -78,6 +78,10 @@ def replace(text: Column, pattern: str, to: str, flags: str = "") -> Column:
     return F.regexp_replace(text, java(pattern, flags), to)
 
 
+#: The white space of ECMAScript, character by character.
+BLANKS = " \t\n\x0b\x0c\r" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
 def trim(text: Column) -> Column:
-    """Trim of all ECMAScript white space."""
-    return replace(text, r"^\s+|\s+$", "")
+    """Trim of all ECMAScript white space; only the ends are looked at."""
+    return F.btrim(text, F.lit(BLANKS))

@@ -22,6 +22,8 @@ BOILERPLATE = (
     (r"^stand:\s*\d{2}\.\d{2}\.\d{4}$", "i"),
     (r"^(dokument|datei|version|revision)[-:\s]+[^\n]{0,30}$", "i"),
 )
+#: First characters of the patterns that start with a word.
+BOILERPLATE_HEADS = ("seit", "vert", "conf", "inte", "prop", "alle", "copy", "stan", "doku", "date", "vers", "revi")
 #: Share of a block's tokens that stays, by block type.
 COMPRESSION = {"boilerplate": 0.7, "header": 0.8}
 SPEC_VALUE = (r"[\d,]+\s*(mm|cm|m|kg|g|°C|°F|%|bar|N|kN|MPa|V|A|W|Hz|rpm|μm|±|∅)", "i")
@@ -70,7 +72,7 @@ def tokens_by_length(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Non-blank characters and half a character per word, by 4.5, rounded up."""
     words = rx.count(text, r"[^\s]+")
-    dense = F.length(rx.replace(text, r"\s+", ""))
+    dense = F.length(F.translate(text, rx.BLANKS, ""))
     return F.when(F.length(text) > 0, F.ceil((dense + words * F.lit(0.5).cast("double")) / F.lit(4.5).cast("double"))).otherwise(0).cast("long")
 
 
@@ -121,7 +123,10 @@ def nfkc(text: Column) -> Column:
 def is_boilerplate(line: Column) -> Column:
     """Whether a trimmed line or block is boilerplate."""
     by_flag = {f: "|".join(f"(?:{p})" for p, g in BOILERPLATE if g == f) for f in ("i", "")}
-    return rx.test(line, by_flag["i"], "i") | rx.test(line, by_flag[""])
+    # the patterns are anchored: most lines are told by their first characters
+    head = F.lower(F.substring(line, 1, 4))
+    worded = head.isin(*BOILERPLATE_HEADS) & rx.test(line, by_flag["i"], "i")
+    return worded | (F.substring(line, 1, 1).isin("-", "©", *"0123456789") & rx.test(line, by_flag[""]))
 
 
 def classify_block(text: Column, min_blanks: int = 3) -> Column:
@@ -149,7 +154,7 @@ def filter_reason(text: Column) -> Column:
     """Why a chunk is rejected, null if it passes."""
 
     def reason(t: Column) -> Column:
-        total = F.greatest(F.length(rx.replace(t, r"\s", "")), F.lit(1))
+        total = F.greatest(F.length(F.translate(t, rx.BLANKS, "")), F.lit(1))
         letters = F.regexp_count(t, F.lit(r"\p{L}"))
         marks = F.regexp_count(t, F.lit(r"""[.,;:!?()\[\]{}"']"""))
         return (

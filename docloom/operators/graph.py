@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """Cut lineage in the folder of ``spark.checkpoint.dir``; only in local mode a temporary one takes its place."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint()
 
 

@@ -104,7 +104,7 @@ def coherence(text: Column, family: str | None) -> Column:
 
 def specificity(text: Column, units: str | None) -> Column:
     hits = rx.count(text, UNITS[units], "i") if units in UNITS else F.lit(0)
-    total = F.length(rx.replace(text, r"\s", ""))
+    total = F.length(F.translate(text, rx.BLANKS, ""))
     digits = F.when(total > 0, F.least(F.lit(0.2).cast("double"), F.regexp_count(text, F.lit("[0-9]")) / total * 2)).otherwise(0.0)
     return F.least(
         F.lit(1.0),

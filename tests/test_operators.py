@@ -14,8 +14,8 @@ from docloom.functions import paths as P
 from docloom.functions import sketch
 from docloom.functions import text as T
 from docloom.functions.profile import PATTERNS, profile
-from docloom.operators import chunking, graph, origin, quality, references, report, requirements, versions
-from docloom.plans import corpus_queries
+from docloom.operators import chunking, graph, origin, projection, quality, references, report, requirements, versions
+from docloom.plans import planted_queries, report_queries
 from docloom.sources import files
 from docloom.streaming import ingest
 
@@ -190,7 +190,7 @@ def test_fingerprints_of_all_lines(spark, tmp_path):
     texts = ["\n".join(first + [line(d, k) for k in range(8, 40)]) for d in (1, 2)]
     same = "\n".join(line(9, k) for k in range(20))
     rows = [(1, texts[0], "s"), (2, texts[1], "s"), (3, same, "s"), (4, same, "s"), (5, "", "s")]
-    prints = {r.doc_id: r for r in corpus_queries._fingerprints(spark, _documents(spark, tmp_path, rows)).collect()}
+    prints = {r.doc_id: r for r in report_queries._fingerprints(spark, _documents(spark, tmp_path, rows)).collect()}
     for i, text, _ in rows:
         assert prints[i].signature == [int(x) for x in sketch.signature(text.split("\n") if text else [])]
     assert set(prints[5].signature) == {sketch.EMPTY}
@@ -202,29 +202,48 @@ def test_histogram_of_every_confidence(spark, tmp_path):
     line = lambda d, k: f"line {k} of text {d} with some words"
     rows = [(i, "\n".join(line(i % 5, k) for k in range(6 + i)), f"s{i % 2}") for i in range(24)]
     folder = _documents(spark, tmp_path, rows)
-    docs = corpus_queries._fingerprints(spark, folder)
+    docs = report_queries._fingerprints(spark, folder, False)
     product = versions.eligible(docs).select(F.struct("*").alias("a")).crossJoin(versions.eligible(docs).select(F.struct("*").alias("b")))
     naive = versions.score_pairs(product.where("a.doc_id < b.doc_id").where(versions._comparable())).collect()
-    pairs = corpus_queries.version_pairs(spark, folder).collect()
+    pairs = report_queries.version_pairs(spark, folder).collect()
     assert sorted((r.doc_a, r.doc_b, r.score) for r in pairs) == sorted((r.doc_a, r.doc_b, r.score) for r in naive)
-    counts = {r["range"]: r.pairs for r in corpus_queries.version_histogram(spark, folder).collect()}
+    counts = {r["range"]: r.pairs for r in report_queries.version_histogram(spark, folder).collect()}
     assert counts["3-4"] == sum(3 <= r.score <= 4 for r in naive) > 0 and counts["5-6"] == sum(5 <= r.score <= 6 for r in naive) > 0
 
 
 def test_references_and_requirements_of_documents(spark, tmp_path):
     text = "Das Bauteil muss nach ISO 9001 mit 5 mm geprüft werden, siehe Kapitel 3.2 und Anlage ZX-987654."
-    folder = _documents(spark, tmp_path, [(71, text, "s"), (72, "plain words", "s")])
-    q = corpus_queries
-    assert {(r.doc_id, r.raw_text) for r in q.raw_references(spark, folder).collect()} >= {(71, "ISO 9001"), (71, "Anlage ZX-987654")}
-    assert {r.doc_id for r in q.resolved_references(spark, folder).collect()} == {71}
-    assert [r.references for r in q.norm_families(spark, folder).collect()] == [1]
-    assert {r["raw"] for r in q.canonical_norms_of_documents(spark, folder).collect()} == {"ISO 9001"}
-    assert {r.doc_id: r.type for r in q.requirement_types_of_documents(spark, folder).collect()} == {71: "MANDATORY", 72: "INFORMATIVE"}
-    assert 71 in {r.doc_id for r in q.requirements_of_sections(spark, folder).collect()}
-    assert 71 in {r.doc_id for r in q.requirement_quality(spark, folder).collect()}
+    # ids whose plant is empty, so only the table's own text counts
+    folder = _documents(spark, tmp_path, [(70, text, "s"), (78, "plain words", "s")])
+    q = planted_queries
+    assert {(r.doc_id, r.raw_text) for r in q.raw_references(spark, folder).collect()} >= {(70, "ISO 9001"), (70, "Anlage ZX-987654")}
+    assert {r.doc_id for r in q.resolved_references(spark, folder).collect()} == {70}
+    assert [r.refs for r in q.norm_families(spark, folder).collect()] == [1]
+    assert {r["raw"] for r in q.canonical_norms(spark, folder).collect()} == {"ISO 9001"}
+    assert {(r.doc_id, r.type) for r in q.requirement_types(spark, folder).collect() if r.t} == {(70, "MANDATORY"), (78, "INFORMATIVE")}
+    assert 70 in {r.doc_id for r in q.requirements_of_sections(spark, folder).collect()}
+    assert 70 in {r.doc_id for r in q.requirement_quality(spark, folder).collect()}
     assert {r.pattern: r.matches for r in q.pattern_coverage(spark, folder).collect()}["norm"] == 1
 
 
+def test_text_is_composed_before_cleaning(spark):
+    text = "Der ﬁnale Entwurf ｄｅｒ Anlage wiegt ５ kg und e\u0301tude.\n" * 3 + "x" * 120
+    d = spark.createDataFrame([(1, text, True, "sliding_window", 0, 0), (2, None, True, "sliding_window", 0, 0)], "doc_id long, text_content string, parse_success boolean, strategy string, headings int, tables int")
+    composed = {r.doc_id: r.t for r in d.select("doc_id", T.nfkc(F.col("text_content")).alias("t")).collect()}
+    assert "finale Entwurf der Anlage wiegt 5 kg und étude." in composed[1] and composed[2] is None
+    got = {r.doc_id: r for r in projection.project(d).collect()}
+    plain = spark.createDataFrame([(1, composed[1], True, "sliding_window", 0, 0)], d.schema)
+    assert got[1].after_cleaning == projection.project(plain).first().after_cleaning and got[2].raw == 0
+
+
+def test_sample_has_two_of_each_type_and_the_asked_rate(spark):
+    rows = [(i, 0, f"t{i % 3}", 300 if i % 5 else 100) for i in range(200)]
+    taken = requirements.sample_for_validation(spark.createDataFrame(rows, "doc_id long, section int, doc_type string, chars int")).collect()
+    per = {t: [r for r in taken if r.doc_type == t] for t in ("t0", "t1", "t2")}
+    assert all(len(x) >= 2 for x in per.values()) and all(r.chars > 200 for r in taken)
+    assert len(taken) >= 15  # a tenth of three pools of 50
+
+
 def test_components(spark):
     labels = {r.node: r.label for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (8, 9), (5, 5)], "a long, b long")).collect()}
     assert labels[1] == labels[2] == labels[3] != labels[8] == labels[9]
