@@ -54,7 +54,6 @@ def column(spark):
         ("intra_corpus_id", "NOVA-SRS-001", True),
         ("requirement_id", "REQ_042", True),
         ("tolerance", "±3", True),
-        ("numbered_heading", "text\n1.2 Title", True),
     ],
 )
 def test_patterns(spark, name, text, expected):
