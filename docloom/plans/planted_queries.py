@@ -404,11 +404,12 @@ _STRATEGY = f"""CASE WHEN extension = '.xlsx' THEN 'table_rows' WHEN len(heading
 _CONFIDENCE = f"""CASE WHEN extension = '.xlsx' THEN 0.95 WHEN len(headings) = 0 THEN CASE WHEN {_PDF} = 'fully_scanned' THEN 0.9 ELSE 0.75 END
   WHEN {_TABLES} > 5 THEN greatest({_BY_HEADINGS} - 0.1::DOUBLE, 0.5::DOUBLE) ELSE {_BY_HEADINGS} END"""
 
+_ALTERNATIVE = f"CASE WHEN extension <> '.xlsx' AND {_TABLES} > CASE WHEN len(headings) = 0 THEN 3 ELSE 5 END THEN 'table_rows' END"
 
 @query(
     "chunk_strategies",
     f"""WITH {PLANTED} SELECT doc_id, {_PDF} AS pdf_class, {_STRATEGY} AS strategy, round({_CONFIDENCE}, 6) AS confidence,
-    CASE WHEN extension <> '.xlsx' AND {_TABLES} > CASE WHEN len(headings) = 0 THEN 3 ELSE 5 END THEN 'table_rows' END AS alternative FROM planted""",
+    {_ALTERNATIVE} AS alternative FROM planted""",
 )
 def chunk_strategies(spark, sf_dir):
     kind, plan = _plan()

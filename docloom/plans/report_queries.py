@@ -76,7 +76,7 @@ def _extracted(spark, sf_dir, spoiled: bool = True):
 
 _PARSED = f"""{Q._TYPES}, {Q._OEM}, parsed AS (SELECT doc_id, project, extension, language, page_count, CAST(ceil(length(text_content) / CAST(4.2 AS DOUBLE)) AS BIGINT) AS tokens, len(headings) AS headings,
   doc_type, oem, oem_source, (doc_id % 10) / 10.0::DOUBLE AS scanned_ratio, parse_success, {Q._STRATEGY} AS strategy, {Q._CONFIDENCE} AS strategy_confidence, best_date AS mtime, category,
-  {Q._PDF} AS pdf_class, doc_type IN {Q._IN(C.RELIABLE_TYPES)} AND extension <> '.xlsx' AS reliable, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'external' END AS origin FROM oem)"""
+  {Q._PDF} AS pdf_class, doc_type IN {Q._IN(C.RELIABLE_TYPES)} AND extension <> '.xlsx' AS reliable, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'external' END AS origin, filename, date_source, {Q._ALTERNATIVE} AS alternative FROM oem)"""
 _QUALITY = "quality AS (SELECT (doc_id % 10) / 10.0::DOUBLE AS index_mean, doc_id % 4 + 1 AS chunks, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 7) / 7.0::DOUBLE END AS boundary_quality, (doc_id % 9) / 9.0::DOUBLE AS coherence FROM documents)"
 
 
@@ -89,6 +89,7 @@ def _parsed(spark, sf_dir):
         F.col("_oem.oem").alias("oem"), F.col("_oem.source").alias("oem_source"), ((i % 10) / 10).alias("scanned_ratio"), "parse_success", F.col("_plan.strategy").alias("strategy"),
         F.col("_plan.confidence").alias("strategy_confidence"), F.col("best_date").alias("mtime"), "category", "pdf_class",
         C.requirement_reliable(F.col("doc_type"), F.col("extension")).alias("reliable"), F.when(i % 4 == 0, "unknown").otherwise("external").alias("origin"),
+        "filename", "date_source", F.col("_plan.alternative").alias("alternative"),
     )
 
 
