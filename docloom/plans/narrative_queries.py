@@ -49,6 +49,11 @@ def _rounded(sql: str) -> str:
     return f"{head} SELECT metric, key, round(value, 6) AS value FROM ({body})"
 
 
+def _parsed(spark, sf_dir):
+    """One pass over the texts; the figures read its rows, which hold none."""
+    return graph.checkpoint(R._parsed(spark, sf_dir))
+
+
 def _shown(df):
     return df.select("metric", "key", F.round("value", 6).alias("value"))
 
@@ -75,7 +80,7 @@ _SCORE = f"(SELECT score FROM ({R.SQL['metadata_score']}))"
     ),
 )
 def narrative_overview(spark, sf_dir):
-    return _shown(narrative.corpus_overview(R._parsed(spark, sf_dir), Q.folder_inference(spark, sf_dir), THIS_YEAR, DELTA, SAMPLED))
+    return _shown(narrative.corpus_overview(_parsed(spark, sf_dir), Q.folder_inference(spark, sf_dir), THIS_YEAR, DELTA, SAMPLED))
 
 
 def _planted_pairs(spark, sf_dir):
@@ -118,7 +123,8 @@ _VALID = f"SELECT avg(o) AS d, 1.96 * coalesce(stddev_samp(o), 0) / sqrt(count(*
 )
 def narrative_requirements(spark, sf_dir):
     valid = requirements.validation(Q._sampled(spark, sf_dir))
-    return _shown(narrative.requirement_figures(Q._requirements(spark, sf_dir), R._parsed(spark, sf_dir), valid))
+    needs = graph.checkpoint(Q._requirements(spark, sf_dir).select("type", "safety"))
+    return _shown(narrative.requirement_figures(needs, R._parsed(spark, sf_dir), valid))
 
 
 @query(
@@ -137,7 +143,7 @@ def uncertain_documents(spark, sf_dir):
     ),
 )
 def narrative_strategies(spark, sf_dir):
-    return _shown(narrative.chunk_strategies(R._parsed(spark, sf_dir)))
+    return _shown(narrative.chunk_strategies(_parsed(spark, sf_dir)))
 
 
 def _examples(kind: str, test: str) -> str:
@@ -147,7 +153,7 @@ def _examples(kind: str, test: str) -> str:
 
 @query("strategy_examples", f"WITH {R._PARSED} SELECT * FROM {_examples('low confidence', 'strategy_confidence < 0.7')} UNION ALL SELECT * FROM {_examples('alternative', 'alternative IS NOT NULL')}")
 def strategy_examples(spark, sf_dir):
-    return narrative.strategy_examples(R._parsed(spark, sf_dir)).withColumn("strategy_confidence", F.round("strategy_confidence", 6))
+    return narrative.strategy_examples(_parsed(spark, sf_dir)).withColumn("strategy_confidence", F.round("strategy_confidence", 6))
 
 
 @query(
@@ -232,7 +238,7 @@ _HIGH = f"(SELECT count(*) FILTER (WHERE confidence = 'HIGH') AS high, count(*)
 )
 def narrative_synthesis(spark, sf_dir):
     refs = graph.checkpoint(Q._resolved(spark, sf_dir))
-    return _shown(narrative.retrieval_synthesis(R._parsed(spark, sf_dir), _planted_pairs(spark, sf_dir), refs, R._checked(spark, sf_dir), THIS_YEAR, DELTA, SAMPLED))
+    return _shown(narrative.retrieval_synthesis(_parsed(spark, sf_dir), _planted_pairs(spark, sf_dir), refs, R._checked(spark, sf_dir), THIS_YEAR, DELTA, SAMPLED))
 
 
 @query(

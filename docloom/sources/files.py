@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -16,6 +18,11 @@ from docloom.functions import jsregex as rx
 from docloom.operators.graph import checkpoint
 
 EXTENSIONS = ("docx", "xlsx", "pptx", "pdf")
+#: A page of fewer characters is scanned; recognised text of an image is kept beyond this length.
+SCANNED_CHARS = 100
+OCR_CHARS = 20
+#: A recogniser: the bytes of an image to its text.
+Ocr = Callable[[bytes], str]
 
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
@@ -96,7 +103,7 @@ _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
-RESULT = "text string, headings array<string>, table_count int, page_count int, image_count int, metadata map<string,string>, error string"
+RESULT = "text string, headings array<string>, table_count int, page_count int, image_count int, metadata map<string,string>, scanned_ratio double, ocr_pages int, error string"
 
 
 def office_metadata(z: zipfile.ZipFile) -> dict[str, str]:
@@ -115,7 +122,18 @@ def office_metadata(z: zipfile.ZipFile) -> dict[str, str]:
     return out
 
 
-def read_docx(data: bytes) -> dict:
+def recognised(image: bytes, ocr: Ocr | None) -> str:
+    """What the recogniser reads in an image; empty if there is none or it fails."""
+    if ocr is None:
+        return ""
+    try:
+        return ocr(image) or ""
+    except Exception:  # one unreadable image leaves the rest of its file
+        return ""
+
+
+def read_docx(data: bytes, ocr: Ocr | None = None) -> dict:
+    """Text in one line, then a paragraph for every image whose recognised text is long enough."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
         styles = {}
@@ -132,14 +150,18 @@ def read_docx(data: bytes) -> dict:
                 headings.append(text.strip())
             texts.append(text)
         media = [n for n in z.namelist() if re.match(r"word/media/.*\.(png|jpe?g|gif|bmp|tiff?)$", n, re.I)]
+        parts = [t for t in (recognised(z.read(n), ocr) for n in media) if len(t) > OCR_CHARS] if ocr else []
         meta = office_metadata(z)
+        native = re.sub(r"\s+", " ", " ".join(texts)).strip()
         return {
-            "text": re.sub(r"\s+", " ", " ".join(texts)).strip(),
+            "text": "\n\n".join(filter(None, [native, *parts])),
             "headings": headings,
             "table_count": sum(1 for _ in body.iter(f"{_W}tbl")),
             "page_count": int(meta.get("pages", 0)) or None,
             "image_count": len(media),
             "metadata": meta,
+            "scanned_ratio": 0.0,
+            "ocr_pages": len(parts),
         }
 
 
@@ -147,6 +169,9 @@ def read_pptx(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))
+        if "ppt/presentation.xml" in names:  # an order of paths that is given there goes before that of numbers
+            given = re.findall(r"ppt/slides/slide\d+\.xml", z.read("ppt/presentation.xml").decode("utf-8", "replace"))
+            slides = [n for n in given if n in names] or slides
         texts, headings, tables = [], [], 0
         for n in slides:
             root = ElementTree.fromstring(z.read(n))
@@ -162,6 +187,19 @@ def read_pptx(data: bytes) -> dict:
         return {"text": "\n\n".join(texts), "headings": headings, "table_count": tables, "page_count": len(slides), "image_count": len(images), "metadata": office_metadata(z)}
 
 
+def _sheets_in_order(z: zipfile.ZipFile, by_number: list[str]) -> list[str]:
+    """Sheets as the workbook lists them; without such a list by number."""
+    names = set(z.namelist())
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        return by_number
+    target = {}
+    for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+        path = r.get("Target", "")
+        target[r.get("Id")] = path.lstrip("/") if path.startswith("/") else f"xl/{path}"
+    listed = [target.get(x.get(f"{_R}id")) for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+    return [n for n in listed if n in names] or by_number
+
+
 def read_xlsx(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
@@ -169,7 +207,7 @@ def read_xlsx(data: bytes) -> dict:
         if "xl/sharedStrings.xml" in names:
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si"):
                 shared.append("".join(t.text or "" for t in si.iter(f"{_S}t")))
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+        sheets = _sheets_in_order(z, sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1])))
         parts = []
         for n in sheets:
             rows = []
@@ -187,17 +225,102 @@ def read_xlsx(data: bytes) -> dict:
         return {"text": "\n\n".join(parts), "headings": [], "table_count": 0, "page_count": len(sheets), "image_count": 0, "metadata": office_metadata(z)}
 
 
-#: Readers by extension; a PDF reader or OCR is put in here where a library for it exists.
+@dataclass
+class PdfItem:
+    """A run of text on a page: size and baseline in points."""
+
+    text: str
+    size: float = 0.0
+    y: float = 0.0
+    font: str = ""
+
+
+@dataclass
+class PdfPage:
+    """What a PDF library gives of a page; ``image`` renders it for a recogniser."""
+
+    items: list[PdfItem]
+    images: int = 0
+    image: Callable[[], bytes] | None = None
+
+
+#: A PDF library: bytes to (metadata, pages).
+PdfLibrary = Callable[[bytes], tuple[dict[str, str], list[PdfPage]]]
+
+
+def heading_items(items: list[PdfItem]) -> list[str]:
+    """``pdf_headings`` for the items of one file."""
+    sizes = sorted(i.size for i in items if i.size > 0)
+    median = sizes[len(sizes) // 2] if sizes else 0.0
+    out, before = [], None
+    for i in items:
+        t = i.text.strip()
+        gap = abs(before - i.y) if before is not None else 0.0
+        before = i.y
+        score = (
+            3 * bool(re.match(r"(\d+(\.\d+)*\.?\s+\S|(Anhang|Appendix|Anlage)\s)", t, re.I))
+            + 3 * (median > 0 and i.size > 1.3 * median)
+            + 2 * bool(re.search("bold|black|heavy", i.font, re.I))
+            + 2 * (len(t) <= 80 and gap > 20)
+            + bool(re.fullmatch(r"[A-ZÄÖÜ\s]{3,40}", t))
+            + (gap > 50)
+        )
+        if 3 <= len(t) <= 200 and score >= 4:
+            out.append(t)
+    return out
+
+
+def pdf_reader(library: PdfLibrary, ocr: Ocr | None = None) -> Callable[[bytes], dict]:
+    """A reader of PDF files: items of a page in one line, pages as paragraphs.
+
+    A page of few characters is scanned: it is rendered and recognised, and keeps its own
+    text if that gives none; its items are no headings.
+    """
+
+    def read(data: bytes) -> dict:
+        metadata, pages = library(data)
+        texts, kept, scanned, ocr_pages = [], [], 0, 0
+        for page in pages:
+            text = re.sub(r"\s+", " ", " ".join(i.text for i in page.items)).strip()
+            if len(text) < SCANNED_CHARS:
+                scanned += 1
+                found = recognised(page.image(), ocr) if ocr and page.image else ""
+                ocr_pages += bool(found)
+                texts.append(found or text)
+            else:
+                texts.append(text)
+                kept += [i for i in page.items if i.text.strip()]
+        return {
+            "text": "\n\n".join(texts),
+            "headings": heading_items(kept),
+            "table_count": 0,
+            "page_count": len(pages),
+            "image_count": sum(p.images for p in pages),
+            "metadata": metadata,
+            "scanned_ratio": scanned / len(pages) if pages else 0.0,
+            "ocr_pages": ocr_pages,
+        }
+
+    return read
+
+
+#: Readers by extension that need the standard library alone.
 READERS: dict[str, Callable[[bytes], dict]] = {".docx": read_docx, ".pptx": read_pptx, ".xlsx": read_xlsx}
 
 
+def readers(pdf: PdfLibrary | None = None, ocr: Ocr | None = None) -> dict[str, Callable[[bytes], dict]]:
+    """Readers for ``parse_files`` with a PDF library and a recogniser, where there are any."""
+    table = READERS | {".docx": functools.partial(read_docx, ocr=ocr)}
+    return table | {".pdf": pdf_reader(pdf, ocr)} if pdf else table
+
+
 def parse_files(files: DataFrame, readers: dict[str, Callable[[bytes], dict]] | None = None) -> DataFrame:
     """``files(id, extension, content)`` with text, headings, counts, metadata and error."""
     table = dict(READERS if readers is None else readers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
-        fields = ["text", "headings", "table_count", "page_count", "image_count", "metadata", "error"]
+        kinds = [pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.float64(), pa.int32(), pa.string()]
+        fields = ["text", "headings", "table_count", "page_count", "image_count", "metadata", "scanned_ratio", "ocr_pages", "error"]
         for batch in batches:
             rows = []
             for ext, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -220,10 +343,13 @@ def pdf_headings(items: DataFrame) -> DataFrame:
     median size 3, bold font 2, up to 80 characters and a gap over 20 2, capitals 1, gap over 50 1.
     """
     w = W.partitionBy("doc_id")
-    sizes = F.array_sort(F.filter(F.collect_list("size").over(w), lambda s: s > 0))
+    counted = items.where("size > 0").groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(w.orderBy("size"))
+    reached = counted.select("doc_id", "size", upto.alias("_upto"), F.floor(F.sum("_k").over(w) / 2).alias("_half")).where("_upto > _half")
+    middle = reached.groupBy("doc_id").agg(F.min("size").alias("_median"))
     gap = F.abs(F.lag("y").over(w.orderBy("index")) - F.col("y"))
     t = rx.trim(F.col("text"))
-    rows = items.withColumns({"_median": F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), "_gap": F.coalesce(gap, F.lit(0.0)), "_t": t})
+    rows = items.join(middle, "doc_id", "left").withColumns({"_gap": F.coalesce(gap, F.lit(0.0)), "_t": t})
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
     score = (
         points(rx.test(F.col("_t"), r"^(\d+(\.\d+)*\.?\s+\S|(Anhang|Appendix|Anlage)\s)", "i"), 3)
@@ -237,7 +363,7 @@ def pdf_headings(items: DataFrame) -> DataFrame:
 
 
 def is_scanned_page(text: Column) -> Column:
-    return F.length(rx.trim(text)) < 100
+    return F.length(rx.trim(text)) < SCANNED_CHARS
 
 
 def embedding_input(headings: Column, max_tokens: int = 300) -> Column:
