@@ -152,7 +152,7 @@ def _checked(spark, sf_dir):
     parsed = graph.checkpoint(_parsed(spark, sf_dir))
     pairs = versions.high_pairs(_fingerprints(spark, sf_dir).where("doc_id < 0"))  # the check of pairs is vacuous
     return checks.corpus_checks(
-        parsed, pairs, graph.checkpoint(Q._resolved(spark, sf_dir)), Q._requirements(spark, sf_dir), _quality(spark, sf_dir), requirements.validation(Q._sampled(spark, sf_dir)), with_origin=True
+        parsed, pairs, graph.checkpoint(Q._resolved(spark, sf_dir)), graph.checkpoint(Q._requirements(spark, sf_dir).select("doc_id")), _quality(spark, sf_dir), requirements.validation(Q._sampled(spark, sf_dir)), with_origin=True
     )
 
 
