@@ -85,6 +85,12 @@ def words(text: Column) -> Column:
     )
 
 
+def floats(df: DataFrame, embedding: str) -> Column:
+    """The vector with floats as they are and other numbers as doubles."""
+    single = df.schema[embedding].dataType.elementType.typeName() == "float"
+    return F.col(embedding).cast("array<float>" if single else "array<double>")
+
+
 def count_words(text: Column) -> Column:
     """Number of words (long); null gives 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, cross_polytope, jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, sentence_pieces, url_filters
+from . import (
+    chat_format,
+    cross_polytope,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_dedup,
+    mixing,
+    quality_rules,
+    secret_scan,
+    sentence_pieces,
+    url_filters,
+    whitening,
+)
 from .common import table
 
 
@@ -25,9 +39,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": _documents(mixing.op8_mixing),
     "op9_sentence_pieces": _documents(sentence_pieces.op9_sentence_pieces),
     "op10_jaccard_join": _documents(jaccard_join.op10_jaccard_join),
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_line_dedup": _documents(line_dedup.op13_line_dedup),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secret_scan.oracle_sql(),
     "op8_mixing": mixing.OP8_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
