@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import graph, quality, report
+from docloom.operators import graph, quality, report, versions
 from docloom.operators.references import EXTERNAL, INTERNAL
 from docloom.sources.models import strip_fences
 
@@ -76,15 +76,20 @@ def corpus_overview(docs: DataFrame, folders: DataFrame, this_year: int, delta:
 
 
 def version_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs by confidence, and whether vectors had a part in any."""
-    named = [F.count_if(F.col("confidence") == c).alias(c.lower()) for c in ("HIGH", "MEDIUM", "LOW")]
+    """Pairs of documents by confidence, and whether vectors had a part in any; from class pairs."""
+    total = lambda on: F.coalesce(F.sum(F.when(on, F.col("pairs"))), F.lit(0))
+    named = [total(F.col("confidence") == c).alias(c.lower()) for c in ("HIGH", "MEDIUM", "LOW")]
     semantic = F.coalesce(F.max((F.col("semantic") > 0).cast("int")), F.lit(0))
-    return _figures(pairs.agg(F.count(F.lit(1)).alias("pairs"), *named, semantic.alias("semantic")))
+    return _figures(pairs.agg(total(F.lit(True)).alias("pairs"), *named, semantic.alias("semantic")))
 
 
-def top_pairs(pairs: DataFrame, docs: DataFrame, n: int = SHOWN) -> DataFrame:
-    """The HIGH and MEDIUM pairs of the highest score, with names and date sources of both sides."""
-    top = pairs.where(F.col("confidence").isin("HIGH", "MEDIUM")).orderBy(F.desc("score"), "doc_a", "doc_b").limit(n)
+def top_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int = SHOWN) -> DataFrame:
+    """The HIGH and MEDIUM pairs of the highest score, with names and date sources of both sides.
+
+    ``pairs`` are class pairs, ``members`` their documents, ``docs`` the rows that pairs are scored from.
+    """
+    ids = versions.first_pairs(pairs.where(F.col("confidence").isin("HIGH", "MEDIUM")), members, n)
+    top = versions.pairs_of(ids, docs)
     out = top = graph.checkpoint(top)  # n rows, read three times
     ids = top.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
     named = docs.select("doc_id", shown_name(F.col("filename")).alias("name"), "date_source").join(F.broadcast(ids), "doc_id")
@@ -182,7 +187,7 @@ def retrieval_synthesis(docs: DataFrame, pairs: DataFrame, references: DataFrame
         _share(~F.col("language").isin("deu", "und")).alias("language_mix_rate"),
         _share(_stale(this_year)).alias("stale_rate"),
     )
-    p = pairs.agg(F.count_if(F.expr("confidence = 'HIGH'")).alias("high_pairs"), (F.count(F.lit(1)) > 0).cast("int").alias("has_pairs"))
+    p = pairs.agg(F.coalesce(F.sum(F.when(F.col("confidence") == "HIGH", F.col("pairs"))), F.lit(0)).alias("high_pairs"), (F.count(F.lit(1)) > 0).cast("int").alias("has_pairs"))
     internal = F.col("type").isin(*INTERNAL)
     hit = internal & F.col("method").isin("exact", "fuzzy")
     r = references.agg(

@@ -84,7 +84,7 @@ def narrative_overview(spark, sf_dir):
 
 
 def _planted_pairs(spark, sf_dir):
-    return versions.all_pairs(R._fingerprints(spark, sf_dir, False))
+    return versions.class_pairs(R._classes(spark, sf_dir))
 
 
 @query(
@@ -105,7 +105,9 @@ def narrative_pairs(spark, sf_dir):
     FROM top JOIN planted a ON a.doc_id = doc_a JOIN planted b ON b.doc_id = doc_b""",
 )
 def narrative_top_pairs(spark, sf_dir):
-    top = narrative.top_pairs(_planted_pairs(spark, sf_dir), planted(spark, sf_dir))
+    docs = R._fingerprints(spark, sf_dir, False)
+    of = versions.classes(docs)
+    top = narrative.top_pairs(versions.class_pairs(of), of.members, docs)
     return top.select("doc_a", "doc_b", "name_a", "name_b", "score", "confidence", "likely_newer", F.round("minhash", 6).alias("minhash"), "date_source_a", "date_source_b")
 
 

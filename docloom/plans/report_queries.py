@@ -14,6 +14,7 @@ from docloom.sources import files
 from . import planted as X
 from . import planted_queries as Q
 from . import text_queries as TQ
+from .language_queries import gated_sql, languages_sql
 from .planted import PLANTED, planted, quote
 from .views import DOC_VIEW, doc_view, sql_tokens, table
 
@@ -33,19 +34,19 @@ def query(name: str, sql: str | None = None):
 
 # the parse stage
 
-_GARBLED = "CASE WHEN doc_id % 9 = 0 THEN replace(text_content, 'e', chr(1)) WHEN doc_id % 11 = 0 THEN '' ELSE text_content END"
-_EXTRACTED = f"""{Q._LINES}, ex AS (SELECT p.*, {_GARBLED} AS t, m.strategy AS heading_source, CASE WHEN m.strategy = 'union' THEN list_distinct(m.every) ELSE m.every END AS merged, len(m.numbered) AS n_numbered
+_EXTRACTED = f"""{Q._LINES}, ex AS (SELECT p.*, text_content AS t, m.strategy AS heading_source, CASE WHEN m.strategy = 'union' THEN list_distinct(m.every) ELSE m.every END AS merged, len(m.numbered) AS n_numbered
   FROM planted p JOIN merged m USING (doc_id)),
-  pg AS (SELECT *, length(t) AS chars, length(t) >= 50 AND len(regexp_extract_all(substr(t, 1, 5000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) > 0.01 * length(substr(t, 1, 5000)) AS garbled FROM ex)"""
+  pg AS (SELECT *, length(t) AS chars, length(t) >= 50 AND len(regexp_extract_all(substr(t, 1, 5000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) > 0.01 * length(substr(t, 1, 5000)) AS garbled FROM ex),
+  {languages_sql('SELECT doc_id AS key, t AS text FROM pg')}"""
 
 
 @query(
     "parsed_documents",
     f"""WITH {_EXTRACTED} SELECT doc_id, CAST(chars AS INTEGER) AS char_count, chars > 100 AND NOT garbled AS parse_success,
       CASE WHEN NOT (chars > 100 AND NOT garbled) THEN CASE WHEN garbled THEN 'garbled_encoding' ELSE 'empty_extraction' END END AS parse_failure_reason,
-      CASE WHEN chars >= 200 THEN language ELSE 'und' END AS language,
+      {gated_sql('t', 'told.language')} AS language,
       CASE WHEN extension <> '.pdf' THEN 'not_pdf' WHEN chars / CAST(page_count AS DOUBLE) < 10 THEN 'fully_scanned' WHEN chars / CAST(page_count AS DOUBLE) < 200 AND {Q._IMAGES} > page_count THEN 'hybrid' ELSE 'native' END AS pdf_class,
-      CASE WHEN garbled OR chars = 0 THEN NULL ELSE md5(t) END AS digest FROM pg""",
+      CASE WHEN garbled OR chars = 0 THEN NULL ELSE md5(t) END AS digest FROM pg LEFT JOIN told ON key = doc_id""",
 )
 def parsed_documents(spark, sf_dir):
     p = parse.parse(_extracted(spark, sf_dir))
@@ -57,16 +58,14 @@ def parsed_documents(spark, sf_dir):
     f"""WITH {Q._LINES} SELECT doc_id, strategy AS heading_source, len(numbered) > 2 AS numbered, CAST(CASE WHEN strategy = 'union' THEN len(list_distinct(every)) ELSE len(every) END AS BIGINT) AS headings FROM merged""",
 )
 def parsed_headings(spark, sf_dir):
-    p = parse.parse(_extracted(spark, sf_dir, spoiled=False))
+    p = parse.parse(_extracted(spark, sf_dir))
     return p.select("doc_id", "heading_source", "numbered", F.size("headings").cast("long").alias("headings"))
 
 
-def _extracted(spark, sf_dir, spoiled: bool = True):
+def _extracted(spark, sf_dir):
     i = F.col("doc_id")
-    t = F.col("text_content")
-    broken = F.when(i % 9 == 0, F.replace(t, F.lit("e"), F.lit("\x01"))).when(i % 11 == 0, "").otherwise(t)
     return planted(spark, sf_dir).select(
-        "doc_id", "path", "filename", "extension", (broken if spoiled else t).alias("text"), F.col("headings").alias("structure"), F.col("language").alias("detected"), "page_count",
+        "doc_id", "path", "filename", "extension", F.col("text_content").alias("text"), F.col("headings").alias("structure"), "page_count",
         (i % 7).cast("int").alias("table_count"), (i % 13).cast("int").alias("image_count"), F.lit(None).cast("date").alias("meta"),
         F.col("best_date").alias("created"), F.col("best_date").alias("modified"),
     )
@@ -387,7 +386,7 @@ def _pairs_sql(view: str, name: str, lines: str) -> str:
     """CTEs up to ``pairs``: all comparable pairs by a product, scored."""
     return f"""{view}, el AS (SELECT *, {lines} AS lines FROM {name} WHERE parse_success AND char_count >= 200), {_signatures('SELECT doc_id AS key, lines AS tokens FROM el')},
   lv AS (SELECT doc_id, path, extension, customer, best_date, date_source, {_NAME} AS name, signature, len(lines) AS total,
-    len(list_filter(lines, lambda h: {Q._LEVEL} = 1)) AS h1, len(list_filter(lines, lambda h: {Q._LEVEL} = 2)) AS h2, ({X.count('text_content', Q.PATTERNS['must'])} + {X.count('text_content', Q.PATTERNS['should'])}) / CAST(page_count AS DOUBLE) AS dense
+    len(list_filter(lines, lambda h: {Q._LEVEL} = 1)) AS h1, len(list_filter(lines, lambda h: {Q._LEVEL} = 2)) AS h2, len(list_filter(lines, lambda h: {Q._LEVEL} = 3)) AS h3, ({X.count('text_content', Q.PATTERNS['must'])} + {X.count('text_content', Q.PATTERNS['should'])}) / CAST(page_count AS DOUBLE) AS dense
     FROM el JOIN signatures ON key = doc_id),
   ng AS (SELECT x, list_distinct([substr(x, i, 3) for i in range(1, length(x) - 1)]) AS g FROM (SELECT DISTINCT name AS x FROM lv)),
   nn AS (SELECT a.x AS na, b.x AS nb, CASE WHEN a.x = b.x THEN 1.0::DOUBLE WHEN len(a.g) + len(b.g) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE) END AS fs FROM ng a CROSS JOIN ng b),
@@ -417,9 +416,25 @@ def version_pairs_high(spark, sf_dir):
     return _shown(versions.high_pairs(_fingerprints(spark, sf_dir)))
 
 
-@query("version_pairs", f"WITH {_HEADED} SELECT {_PAIR_COLUMNS} FROM pairs")
+_CLASSES = "cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY extension, customer, h1, h2, h3, total, name, signature) AS class_id FROM lv)"
+_CLASSED = f"""{_HEADED}, {_CLASSES}, cp AS (SELECT least(x.class_id, y.class_id) AS class_a, greatest(x.class_id, y.class_id) AS class_b, round(fs, 6) AS filename_similarity, structural_match, minhash, same_directory,
+  coalesce(NOT both_mtime AND days <= 365, false) AS near_date, CAST(score AS INTEGER) AS score, confidence, count(*) AS pairs FROM pairs JOIN cl x ON x.doc_id = doc_a JOIN cl y ON y.doc_id = doc_b GROUP BY ALL)"""
+
+
+def _classes(spark, sf_dir):
+    return versions.classes(_fingerprints(spark, sf_dir, False))
+
+
+@query("version_pairs", f"WITH {_CLASSED} SELECT * FROM cp")
 def version_pairs(spark, sf_dir):
-    return _shown(versions.all_pairs(_fingerprints(spark, sf_dir, False)))
+    """Pairs of classes of documents; ``version_classes`` has their members."""
+    pairs = versions.class_pairs(_classes(spark, sf_dir))
+    return pairs.select("class_a", "class_b", F.round("filename_similarity", 6).alias("filename_similarity"), "structural_match", "minhash", "same_directory", "near_date", "score", "confidence", "pairs")
+
+
+@query("version_classes", f"WITH {_HEADED}, {_CLASSES} SELECT doc_id, class_id FROM cl")
+def version_classes(spark, sf_dir):
+    return _classes(spark, sf_dir).members.select("doc_id", "class_id")
 
 
 @query(
@@ -436,18 +451,22 @@ def version_chains(spark, sf_dir):
 
 @query("version_histogram", f"WITH {_HEADED} SELECT r AS range, (SELECT count(*) FROM pairs WHERE score BETWEEN lo AND hi) AS pairs FROM (VALUES ('10-12', 10, 12), ('7-9', 7, 9), ('5-6', 5, 6), ('3-4', 3, 4), ('0-2', 0, 2)) AS v(r, lo, hi)")
 def version_histogram(spark, sf_dir):
-    return versions.histogram(versions.all_pairs(_fingerprints(spark, sf_dir, False)))
+    return versions.histogram(versions.class_pairs(_classes(spark, sf_dir)))
+
+
+_PARTNER = "class_b || ':' || CAST(same_directory AS INTEGER) || ':' || CAST(near_date AS INTEGER) || ':' || score || ':' || pairs"
 
 
-@query("version_audit", f"WITH {_HEADED} SELECT doc_a, string_agg(doc_b || ':' || score, ',' ORDER BY doc_b) AS partners FROM pairs WHERE score >= 5 GROUP BY 1")
+@query("version_audit", f"WITH {_CLASSED} SELECT class_a, string_agg({_PARTNER}, ',' ORDER BY class_b, same_directory, near_date) AS partners FROM cp WHERE score >= 5 GROUP BY 1")
 def version_audit(spark, sf_dir):
-    a = versions.audit(versions.all_pairs(_fingerprints(spark, sf_dir, False)))
-    return a.select("doc_a", F.array_join(F.transform("pairs", lambda x: F.format_string("%d:%d", x["doc_b"], x["score"])), ",").alias("partners"))
+    a = versions.audit(versions.class_pairs(_classes(spark, sf_dir)))
+    of = lambda x: F.concat_ws(":", x["class_b"], x["same_directory"].cast("int"), x["near_date"].cast("int"), x["score"], x["pairs"])
+    return a.select("class_a", F.array_join(F.transform("pairs", of), ",").alias("partners"))
 
 
-@query("medium_pairs", f"WITH {_HEADED} SELECT doc_a, doc_b FROM pairs WHERE confidence = 'MEDIUM'")
+@query("medium_pairs", f"WITH {_CLASSED} SELECT class_a, class_b, same_directory, near_date, pairs FROM cp WHERE confidence = 'MEDIUM'")
 def medium_pairs(spark, sf_dir):
-    return dashboard.filter_pairs(versions.all_pairs(_fingerprints(spark, sf_dir, False)), "MEDIUM").select("doc_a", "doc_b")
+    return dashboard.filter_pairs(versions.class_pairs(_classes(spark, sf_dir)), "MEDIUM").select("class_a", "class_b", "same_directory", "near_date", "pairs")
 
 
 # filters, cohesion, one embedding per text

@@ -204,8 +204,10 @@ def test_histogram_of_every_confidence(spark, tmp_path):
     docs = report_queries._fingerprints(spark, folder, False)
     product = versions.eligible(docs).select(F.struct("*").alias("a")).crossJoin(versions.eligible(docs).select(F.struct("*").alias("b")))
     naive = versions.score_pairs(product.where("a.doc_id < b.doc_id").where(versions._comparable())).collect()
-    pairs = report_queries.version_pairs(spark, folder).collect()
+    of = versions.classes(docs)
+    pairs = versions.expand(versions.class_pairs(of), of.members).collect()
     assert sorted((r.doc_a, r.doc_b, r.score) for r in pairs) == sorted((r.doc_a, r.doc_b, r.score) for r in naive)
+    assert sum(r.pairs for r in report_queries.version_pairs(spark, folder).collect()) == len(naive)
     counts = {r["range"]: r.pairs for r in report_queries.version_histogram(spark, folder).collect()}
     assert counts["3-4"] == sum(3 <= r.score <= 4 for r in naive) > 0 and counts["5-6"] == sum(5 <= r.score <= 6 for r in naive) > 0
 
