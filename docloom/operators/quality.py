@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import jsregex as rx
 from docloom.functions import text as T
+from docloom.operators import graph, selection
 
 #: Requirement families, unit families and part numbers.
 REQUIREMENT = {
@@ -235,13 +236,17 @@ def norm_check(vectors: DataFrame, v: str = "embedding") -> DataFrame:
 
 
 def coherence_drop(vectors: DataFrame, group: str, order: str, v: str = "embedding") -> DataFrame:
-    """Similarity of adjacent vectors of a group: 1 - mean drop, and the tenth percentile."""
-    near = F.lag(v).over(W.partitionBy(group).orderBy(order))
-    drops = vectors.select(group, (1 - cosine_unit(F.col(v), near)).alias("drop"), near.isNotNull().alias("has")).where("has")
-    sorted_drops = F.array_sort(F.collect_list("drop"))
-    tenth = F.get(sorted_drops, F.least(F.floor(F.size(sorted_drops) * 0.9).cast("int"), F.size(sorted_drops) - 1))
+    """Similarity of adjacent vectors of a group: 1 - mean drop, and the tenth percentile.
+
+    A group may hold all rows: neighbours and the percentile are found without it in one task.
+    """
+    near = selection.previous(vectors.select(group, order, v), [group], [order], v)
+    drops = graph.checkpoint(near.where(F.col("previous").isNotNull()).select(group, (1 - cosine_unit(F.col(v), F.col("previous"))).alias("drop")))
+    tenth = selection.nth(drops, [group], "drop", F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1))
+    means = drops.groupBy(group).agg(F.avg("drop").alias("_mean"))
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return drops.groupBy(group).agg(clamp(1 - F.avg("drop")).alias("mean"), clamp(1 - tenth).alias("p10"))
+    found = selection.by_group(means, tenth, [group], tenth.count())
+    return found.select(group, clamp(1 - F.col("_mean")).alias("mean"), clamp(1 - F.col("nth")).alias("p10"))
 
 
 def centroids(vectors: DataFrame, group: str, v: str = "embedding") -> DataFrame:
@@ -253,11 +258,15 @@ def centroids(vectors: DataFrame, group: str, v: str = "embedding") -> DataFrame
 
 def centroid_distance(vectors: DataFrame, group: str, v: str = "embedding") -> DataFrame:
     """Mean and p10 of ``1 - min(1, |z| / 3)`` of the distances to the group's centroid."""
-    far = vectors.join(centroids(vectors, group, v), group).select(group, (1 - cosine_unit(F.col(v), F.col("centroid"))).alias("d"))
-    w = W.partitionBy(group)
-    z = F.abs(F.col("d") - F.avg("d").over(w)) / F.nullif(F.stddev_samp("d").over(w), F.lit(0.0))
-    scored = far.select(group, F.coalesce(1 - F.least(F.lit(1.0), z / 3), F.lit(1.0)).alias("s"))
-    return scored.groupBy(group).agg(F.avg("s").alias("mean"), p10(F.col("s")).alias("p10"))
+    centre = graph.checkpoint(centroids(vectors, group, v))
+    n = centre.count()
+    far = selection.by_group(vectors.select(group, v), centre, [group], n)
+    far = graph.checkpoint(far.select(group, (1 - cosine_unit(F.col(v), F.col("centroid"))).alias("d")))
+    spread = graph.checkpoint(far.groupBy(group).agg(F.avg("d").alias("_mean"), F.nullif(F.stddev_samp("d"), F.lit(0.0)).alias("_dev")))
+    z = F.abs(F.col("d") - F.col("_mean")) / F.col("_dev")
+    scored = selection.by_group(far, spread, [group], n).select(group, F.coalesce(1 - F.least(F.lit(1.0), z / 3), F.lit(1.0)).alias("s"))
+    tenth = selection.nth(scored, [group], "s", F.floor(F.col("n") * 0.1))
+    return selection.by_group(scored.groupBy(group).agg(F.avg("s").alias("mean")), tenth, [group], n).select(group, "mean", F.col("nth").alias("p10"))
 
 
 def halves(content: Column) -> Column:

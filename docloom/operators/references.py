@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import classify as C
 from docloom.functions import jsregex as rx
 from docloom.functions.profile import AUTOMOTIVE_DE, PATTERNS, SectorProfile
+from docloom.operators import fuzzy
 
 MAX_CHARS = 80
 INTERNAL = ("doc_ref", "chapter_ref", "fikb", "kb_master")
@@ -77,26 +78,46 @@ def fuzzy_equal(a: Column, b: Column) -> Column:
     return ~differ & (F.levenshtein(F.lower(x["base"]), F.lower(y["base"])) < 3)
 
 
+def fuzzy_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(search, name, doc_id, equal): names that may be a text's by edit distance, and whether they are.
+
+    ``texts(search)`` and ``names(name, doc_id)`` are distinct and in lower case.
+    """
+    base = lambda c: F.lower(norm_parts(F.col(c))["base"]).alias("base")
+    met = fuzzy.candidates(texts.select("search", base("search")), names.select("name", base("name")), "search", "name", "base")
+    return met.join(names, "name").select("search", "name", "doc_id", fuzzy_equal(F.col("name"), F.col("search")).alias("equal"))
+
+
+def fuzzy_counts(refs: DataFrame, docs: DataFrame, profile: SectorProfile = AUTOMOTIVE_DE) -> DataFrame:
+    """(search, candidates, matches): how many names every search text meets, and how many of them match."""
+    texts = search_texts(refs, profile).select("search").distinct()
+    names = docs.groupBy(F.lower("filename").alias("name")).agg(F.min("doc_id").alias("doc_id"))
+    met = fuzzy_matches(texts, names).groupBy("search").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("equal").alias("matches"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return texts.join(met, "search", "left").select("search", zero("candidates"), zero("matches"))
+
+
+def search_texts(refs: DataFrame, profile: SectorProfile = AUTOMOTIVE_DE) -> DataFrame:
+    """``refs`` with the canonical norm, and the lower-cased text that is searched for."""
+    known = refs.withColumn("normalized", F.when(F.col("type").isin(*EXTERNAL, "quality_spec"), canonical_norm(F.col("raw_text"), profile)))
+    return known.withColumn("search", F.lower(F.coalesce("normalized", "raw_text")))
+
+
 def resolve(refs: DataFrame, docs: DataFrame, profile: SectorProfile = AUTOMOTIVE_DE) -> DataFrame:
     """``refs`` with normalized, resolved_to, method and classification.
 
     Only distinct search texts meet the file names.  Names are cut into character
     trigrams: a text of three characters or more that a name contains shares its first
-    trigram, so containment is an equi-join; edit distance below 3 needs lengths within
-    2, and is an equi-join on length.  ``docs(doc_id, filename)``; the first by doc_id wins.
+    trigram, so containment is an equi-join; edit distance below 3 is an equi-join on what
+    two deletions leave (``fuzzy``).  ``docs(doc_id, filename)``; the first by doc_id wins.
     """
-    known = refs.withColumn("normalized", F.when(F.col("type").isin(*EXTERNAL, "quality_spec"), canonical_norm(F.col("raw_text"), profile)))
-    known = known.withColumn("search", F.lower(F.coalesce("normalized", "raw_text")))
+    known = search_texts(refs, profile)
     texts = known.select("search").distinct()
     names = docs.groupBy(F.lower("filename").alias("name")).agg(F.min("doc_id").alias("doc_id"))
     grams = names.select("name", "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - 2)), lambda i: F.substring(F.col("name"), i, F.lit(3))))).alias("gram"))
     exact = texts.withColumn("gram", F.substring("search", 1, 3)).join(grams, "gram").where(F.contains("name", F.col("search"))).groupBy("search").agg(F.min("doc_id").alias("exact_id"))
-    # the base of a name may be shorter than the name: lengths of bases meet
-    base = lambda c: F.length(norm_parts(F.col(c))["base"])
-    lengths = names.select("name", "doc_id", base("name").alias("len"))
-    near = F.explode(F.sequence(base("search") - 2, base("search") + 2)).alias("len")
-    fuzzy = texts.select("search", near).join(lengths, "len").where(fuzzy_equal(F.col("name"), F.col("search"))).groupBy("search").agg(F.min("doc_id").alias("fuzzy_id"))
-    joined = known.join(exact, "search", "left").join(fuzzy, "search", "left")
+    near = fuzzy_matches(texts, names).where("equal").groupBy("search").agg(F.min("doc_id").alias("fuzzy_id"))
+    joined = known.join(exact, "search", "left").join(near, "search", "left")
     method = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").when(F.col("type").isin(*EXTERNAL), "external_norm").otherwise("unresolved")
     out = joined.withColumns({"resolved_to": F.coalesce("exact_id", "fuzzy_id"), "method": method})
     open_ = out.where((F.col("method") == "unresolved") & F.col("type").isin(*INTERNAL)).select(F.lower("raw_text").alias("needle")).distinct()

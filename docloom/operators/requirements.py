@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import classify as C
 from docloom.functions import jsregex as rx
 from docloom.functions import text as T
 from docloom.functions.profile import AUTOMOTIVE_DE, SectorProfile
+from docloom.operators import graph, selection
 
 FIRST_SECTION = "Einleitung"
 #: A section that is sampled for validation has more characters.
@@ -101,15 +104,12 @@ def sample_for_validation(sections_: DataFrame, rate: float = 0.1, per_type: int
     ``sections_(doc_id, section, doc_type, chars)``; a pool holds at most ``pool`` sections of a
     type, of more than ``SAMPLED_CHARS`` characters each.
     """
-    sections_ = sections_.where(F.col("chars") > SAMPLED_CHARS)
-    order = F.xxhash64(F.lit(seed), "doc_id", "section")
-    w = W.partitionBy("doc_type").orderBy(order, "doc_id", "section")
-    pooled = sections_.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool)
-    n = pooled.count()
-    want = -(-int(n * rate * 1_000_000) // 1_000_000)
-    rest = F.when(F.col("_r") <= per_type, 0).otherwise(1)
-    ranked = pooled.withColumn("_k", F.row_number().over(W.orderBy(rest, order, "doc_id", "section")))
-    return ranked.where((F.col("_r") <= per_type) | (F.col("_k") <= want)).drop("_r", "_k")
+    key = ["doc_id", "section"]
+    long_ = sections_.where(F.col("chars") > SAMPLED_CHARS)
+    pooled = graph.checkpoint(selection.first_by_hash(long_, ["doc_type"], F.lit(pool), key, seed))
+    sure = graph.checkpoint(selection.first_by_hash(pooled, ["doc_type"], F.lit(per_type), key, seed))
+    more = math.ceil(pooled.count() * rate - 1e-9) - sure.count()
+    return sure.unionByName(selection.first_by_hash(pooled.join(sure, key, "left_anti"), [], F.lit(more), key, seed))
 
 
 def validation(sampled: DataFrame) -> DataFrame:

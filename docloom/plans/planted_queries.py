@@ -8,10 +8,11 @@ from docloom.functions import classify as C
 from docloom.functions import paths as P
 from docloom.functions import text as T
 from docloom.functions.profile import AUTOMOTIVE_DE, NORM_CANONICAL, PATTERNS
-from docloom.operators import dashboard, graph, origin, references, report, requirements
+from docloom.operators import dashboard, graph, origin, references, report, requirements, selection
 
 from . import planted as X
 from .planted import PLANTED, planted, quote
+from .views import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,6 +125,29 @@ def resolved_references(spark, sf_dir):
     return _resolved(spark, sf_dir).select("doc_id", "call", "raw_text", "normalized", "resolved_to", "method", "classification")
 
 
+def _rests(base: str) -> str:
+    """A text and what one or two deletions leave of it."""
+    n = f"length({base})"
+    without = lambda t, i: f"substr({t}, 1, {i} - 1) || substr({t}, {i} + 1)"
+    one = f"[{without(base, 'i')} for i in range(1, {n} + 1)]"
+    two = f"flatten([[{without(f'({without(base, chr(106))})', 'i')} for j in range(i + 1, {n} + 1)] for i in range(1, {n})])"
+    return f"list_distinct(list_concat([{base}], {one}, {two}))"
+
+
+@query(
+    "fuzzy_candidates",
+    f"""WITH {_RESOLVED}, fn AS (SELECT name, any_value(lower(base)) AS b, any_value(version) AS version FROM names GROUP BY 1), ft AS (SELECT search, lower(base) AS b, version FROM texts),
+      fr AS (SELECT name, unnest({_rests('b')}) AS rest FROM fn), tr AS (SELECT search, unnest({_rests('b')}) AS rest FROM ft),
+      met AS (SELECT DISTINCT search, name FROM tr JOIN fr USING (rest)),
+      hit AS (SELECT search, count(*) AS candidates, count(*) FILTER (WHERE NOT coalesce(ft.version <> fn.version, false) AND levenshtein(ft.b, fn.b) < 3) AS matches FROM met JOIN ft USING (search) JOIN fn USING (name) GROUP BY 1)
+    SELECT search, coalesce(candidates, 0) AS candidates, coalesce(matches, 0) AS matches FROM (SELECT DISTINCT search FROM texts) LEFT JOIN hit USING (search)""",
+)
+def fuzzy_candidates(spark, sf_dir):
+    """How many names every searched text is compared with; ``resolved_references`` has the outcome."""
+    p = planted(spark, sf_dir)
+    return references.fuzzy_counts(references.extract(p), p)
+
+
 @query("reference_edges", f"WITH {_RESOLVED} SELECT doc_id AS src, resolved_to AS dst FROM resolved WHERE resolved_to IS NOT NULL")
 def reference_edges(spark, sf_dir):
     return references.edges(_resolved(spark, sf_dir))
@@ -302,6 +326,18 @@ def requirement_density(spark, sf_dir):
     return d.select("doc_id", *[F.round(f"r.{c}", 6).alias(c) for c in _DENSE])
 
 
+@query(
+    "stratified_documents",
+    "SELECT source, count(*) AS documents, least(count(*), greatest(2, CAST(ceil(count(*) * 0.1 - 1e-9) AS BIGINT))) AS sampled FROM documents GROUP BY 1",
+)
+def stratified_documents(spark, sf_dir):
+    """A tenth of every source, two documents at least, by a seeded hash."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    some = selection.first_by_hash(d, ["source"], F.greatest(F.lit(2), F.ceil(F.col("n") * 0.1 - 1e-9)), ["doc_id"], 7)
+    sampled = some.groupBy("source").agg(F.count(F.lit(1)).alias("sampled"))
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents")).join(sampled, "source")
+
+
 _SAMPLED = "SELECT 'type ' || (doc_id % 3) AS doc_type, doc_id, CAST(doc_id % 5 AS INTEGER) AS regex_count, CAST(doc_id % 7 AS INTEGER) AS model_count FROM documents"
 _OFF = "abs(model_count - regex_count) / CAST(greatest(model_count, regex_count, 1) AS DOUBLE)"
 
