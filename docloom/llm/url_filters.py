@@ -8,10 +8,12 @@ mapped to a fixed alphabet of ``SIZE``, so a model has ``SIZE**3`` entries howev
 are, and the whole ratio is one literal array: scoring is a narrow pass without a join
 or shuffle.
 
-One fold of the decided URLs is kept out of the counts and calibrates the threshold of
-the length-normalised log-likelihood difference: no more than ``MAX_FALSE_BLOCKS`` of
-the accepted ones in it may be above.  A share of one in a hundred can't be read from
-fewer than ``MIN_CALIBRATION`` accepted URLs: then the models decide nothing.
+The threshold of the length-normalised log-likelihood difference is cross-fitted: the
+decided URLs are dealt into ``FOLDS`` folds, and every accepted one is scored by models
+that have seen the other folds only.  The threshold is the least of those scores that no more
+than ``MAX_FALSE_BLOCKS`` of the accepted URLs to come exceed on average: of n
+scores the one at place ceil((n + 1) * (1 - MAX_FALSE_BLOCKS)), which is there from 99 on.
+With fewer no bound of one in a hundred can be given, and the models block nothing.
 
 Defined results: null, empty and scheme-less URLs have empty host and path, no rule,
 and are allowed; without rejected URLs or enough accepted ones the models allow
@@ -21,6 +23,7 @@ repeated rows stay; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,10 +36,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-./?=&#_%:+"
 SIZE = len(ALPHABET) + 2
 #: A bigram context is used from so many sightings.
 MIN_CONTEXT = 4
-#: One in so many decided URLs calibrates: the bound on false blocks needs many accepted ones.
-FOLDS = 2
+#: Folds of the decided URLs, and the share of accepted URLs that may be blocked.
+FOLDS = 4
 MAX_FALSE_BLOCKS = 0.01
-MIN_CALIBRATION = 100
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -185,6 +187,25 @@ def score(url: Column, llr: list[float] | None) -> Column:
     return F.coalesce(let(trigrams(url), total), F.lit(0.0))
 
 
+def threshold_of(decided: DataFrame) -> float:
+    """Cross-fitted bound on the scores of accepted URLs; infinite if too few tell.
+
+    ``decided(url, verdict)``; equal URLs are in one fold.
+    """
+    folded = checkpoint(decided.withColumn("fold", F.crc32(F.col("url").cast("binary")) % FOLDS))
+    scores = None
+    for fold in range(FOLDS):  # one model at a time is a literal of a plan
+        model = train(folded.where(F.col("fold") != fold)).first()["llr"]
+        own = folded.where((F.col("fold") == fold) & (F.col("verdict") == "allow")).select(score(F.col("url"), model).alias("s"))
+        own = checkpoint(own)
+        scores = own if scores is None else scores.unionByName(own)
+    n = scores.count()
+    place = math.ceil((n + 1) * (1 - MAX_FALSE_BLOCKS) - 1e-9)
+    if place > n:
+        return float("inf")
+    return max(scores.agg(F.percentile_approx("s", F.lit(place / n - 1e-12), F.lit(10_000))).first()[0], 0.0)
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict and llr (null where a rule decides)."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
@@ -192,12 +213,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -
         "_rule", match_rule(F.col("host"), F.col("path"), rules)
     )
     decided = parsed.where(F.col("_rule").isNotNull()).select(F.col(url).alias("url"), F.col("_rule.verdict").alias("verdict"))
-    calibrates = F.crc32(F.col("url").cast("binary")) % FOLDS == 0
-    model = train(decided.where(~calibrates)).first()["llr"]
-    accepted = decided.where(calibrates & (F.col("verdict") == "allow")).agg(
-        F.percentile_approx(score(F.col("url"), model), F.lit(1 - MAX_FALSE_BLOCKS), F.lit(10_000)).alias("t"), F.count(F.lit(1)).alias("n")
-    ).first()
-    threshold = max(accepted["t"], 0.0) if accepted["n"] >= MIN_CALIBRATION else float("inf")
+    threshold = threshold_of(decided)
+    model = train(decided).first()["llr"]
     judged = parsed.withColumn("llr", F.when(F.col("_rule").isNull(), score(F.col(url), model)))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("llr") > threshold, "block").otherwise("allow"))
     return judged.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_rule")

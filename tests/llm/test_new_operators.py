@@ -1,15 +1,16 @@
-"""Hard negatives, whitening and line dedup against plain versions."""
+"""Hard negatives, whitening, line dedup and URL verdicts against plain versions."""
 
 import hashlib
 import math
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import exact, hard_negatives, line_dedup, whitening
+from docloom.llm import exact, hard_negatives, line_dedup, url_filters, whitening
 
 VECTORS = "vec_id long, label long, embedding array<double>, v string, row int, x double"
 
@@ -240,3 +241,76 @@ def test_lines_joined_by_shuffle(spark, monkeypatch):
     rows = lines_fixture(3, 60) + EDGE_TEXTS
     assert deduplicated(spark, rows) == plain_lines(rows)
     assert deduplicated(spark, []) == []
+
+
+# verdicts of URLs
+
+
+def plain_score(accepted, rejected):
+    """The ratio of two back-off models, counted and smoothed in plain Python."""
+    size = url_filters.SIZE
+    codes = lambda u: [0, 0, *(url_filters.ALPHABET.find(c) + 1 or size - 1 for c in u.lower())]
+
+    def model(urls):
+        n1, n2, n3 = Counter(), defaultdict(Counter), defaultdict(Counter)
+        for u in urls:
+            x = codes(u)
+            for a, b, c in zip(x, x[1:], x[2:]):
+                n1[c] += 1
+                n2[b][c] += 1
+                n3[a, b][c] += 1
+        total, sums2, sums3 = sum(n1.values()), {b: sum(x.values()) for b, x in n2.items()}, {k: sum(x.values()) for k, x in n3.items()}
+
+        def p(a, b, c):
+            low = (n1[c] + 1) / (total + size)
+            mid = (n2[b][c] + len(n2[b]) * low) / (sums2[b] + len(n2[b])) if b in sums2 else low
+            return (n3[a, b][c] + len(n3[a, b]) * mid) / (sums3[a, b] + len(n3[a, b])) if sums3.get((a, b), 0) >= url_filters.MIN_CONTEXT else mid
+
+        return p
+
+    good, bad = model(accepted), model(rejected)
+
+    def score(u):
+        x = codes(u)
+        return sum(math.log(bad(*g) / good(*g)) for g in zip(x, x[1:], x[2:])) / max(1, len(x) - 2)
+
+    return score
+
+
+def test_url_verdicts_against_plain_version(spark):
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    good = [f"http://{word('abcd')}.net/de/{word('abef')}" for _ in range(150)]
+    bad = [f"http://{word('abyz')}.org/es/{word('yzxf')}" for _ in range(160)]
+    free = [f"http://{word(rng.choice(['abcd', 'abyz', 'acyz']))}.info/{word(rng.choice(['abef', 'yzxf']))}" for _ in range(120)]
+    urls = good + bad + free
+    fold = lambda u: zlib.crc32(u.encode()) % url_filters.FOLDS
+    held = []
+    for k in range(url_filters.FOLDS):
+        score = plain_score([u for u in good if fold(u) != k], [u for u in bad if fold(u) != k])
+        held += [score(u) for u in good if fold(u) == k]
+    threshold = max(0.0, sorted(held)[math.ceil((len(held) + 1) * 0.99 - 1e-9) - 1])
+    score = plain_score(good, bad)
+    got = {r.url: r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for u in free:
+        assert got[u].llr == pytest.approx(score(u)) and got[u].verdict == ("block" if score(u) > threshold else "allow")
+    assert {got[u].verdict for u in free} == {"block", "allow"}
+    few = url_filters.threshold_of(spark.createDataFrame([(u, "allow") for u in good[:98]] + [(u, "block") for u in bad], "url string, verdict string"))
+    assert few == float("inf")
+    one_class = url_filters.threshold_of(spark.createDataFrame([(u, "allow") for u in good], "url string, verdict string"))
+    assert one_class == 0.0
+    assert url_filters.threshold_of(spark.createDataFrame([], "url string, verdict string")) == float("inf")
+
+
+def test_the_url_model_acts_on_the_table(spark):
+    """At sf0.1 it blocks some of the URLs without a rule, and few accepted ones that it has not seen."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = url_filters.judge(pages).where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+    rule = url_filters.match_rule(url_filters.host_of(F.col("url")), url_filters.path_of(F.col("url")))
+    decided = pages.select("page_id", "url", rule.alias("r")).where("r IS NOT NULL").select("page_id", "url", F.col("r.verdict").alias("verdict"))
+    unseen = decided.where("page_id % 3 = 0 AND verdict = 'allow'")
+    seen = decided.where("page_id % 3 <> 0").join(unseen, "url", "left_anti").select("url", "verdict")
+    threshold, model = url_filters.threshold_of(seen), url_filters.train(seen).first()["llr"]
+    r = unseen.agg(F.count_if(url_filters.score(F.col("url"), model) > threshold).alias("blocked"), F.count(F.lit(1)).alias("n")).first()
+    assert threshold < float("inf") and r.n > 40 and r.blocked <= max(2, 0.03 * r.n)
