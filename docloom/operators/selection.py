@@ -92,6 +92,24 @@ def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return joined.withColumn("previous", F.coalesce("_near", "_before")[value]).drop("_near", "_before", "_last", "_part", "_p", *names.values())
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 1) within their group in ``order``; ties are numbered in any order.
+
+    Each partition of the range-partitioned rows numbers its own, on from the rows of the group in earlier ones.
+    """
+    sorted_ = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = graph.checkpoint(sorted_.withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(W.partitionBy(*keys).orderBy("_part")) - F.col("_rows")
+    names = {k: f"_g{i}" for i, k in enumerate(keys)}
+    # one row a partition and group that meet
+    side = counts.withColumn("_before", before).where("_before > 0").drop("_rows").withColumnsRenamed(names | {"_part": "_p"})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(x)) for k, x in names.items()], F.col("_part") == F.col("_p"))
+    own = placed.withColumn("_own", F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order)))
+    joined = own.join(side, same, "left").withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_own")).cast("long"))
+    return joined.drop("_before", "_own", "_part", "_p", *names.values())
+
+
 #: Bits of a seeded hash, and of its buckets.
 HASH_BITS, BUCKET_BITS = 32, 10
 
