@@ -82,6 +82,11 @@ def replace(text: Column, pattern: str, to: str, flags: str = "") -> Column:
 BLANKS = " \t\n\x0b\x0c\r" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
+def dense(text: Column) -> Column:
+    """Number of characters that are no white space."""
+    return F.length(F.regexp_replace(text, java(r"\s+"), ""))
+
+
 def trim(text: Column) -> Column:
     """Trim of all ECMAScript white space; only the ends are looked at."""
     return F.btrim(text, F.lit(BLANKS))

@@ -71,9 +71,15 @@ def tokens_by_length(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Non-blank characters and half a character per word, by 4.5, rounded up."""
-    words = rx.count(text, r"[^\s]+")
-    dense = F.length(F.translate(text, rx.BLANKS, ""))
-    return F.when(F.length(text) > 0, F.ceil((dense + words * F.lit(0.5).cast("double")) / F.lit(4.5).cast("double"))).otherwise(0).cast("long")
+    # blanks as one blank each: what is left tells words and characters alike
+    spaced = F.trim(rx.replace(text, r"\s+", " "))
+
+    def estimate(t: Column) -> Column:
+        letters = F.length(F.replace(t, F.lit(" "), F.lit("")))
+        words = F.when(letters > 0, F.length(t) - letters + 1).otherwise(0)
+        return F.ceil((letters + words * F.lit(0.5).cast("double")) / F.lit(4.5).cast("double"))
+
+    return F.when(F.length(text) > 0, bind(spaced, estimate)).otherwise(0).cast("long")
 
 
 def typed_tokens(text: Column, kind: Column) -> Column:
@@ -108,8 +114,12 @@ def normalize(text: Column) -> Column:
     return rx.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+#: Characters that composition may change or that it may join to the one before: all but ASCII and the composed letters of Latin-1.
+UNSTABLE = r"[^\x00-\x7F\xC0-\xFF]"
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition; Spark has no built-in for it."""
+    """Unicode compatibility composition; Spark has no built-in for it, so texts that it may change go to Python."""
 
     @F.pandas_udf("string")
     def compose(texts):
@@ -117,7 +127,8 @@ def nfkc(text: Column) -> Column:
 
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return compose(text)
+    unstable = F.regexp_like(text, F.lit(UNSTABLE))
+    return F.when(unstable, compose(F.when(unstable, text))).otherwise(text)
 
 
 def is_boilerplate(line: Column) -> Column:
@@ -154,7 +165,7 @@ def filter_reason(text: Column) -> Column:
     """Why a chunk is rejected, null if it passes."""
 
     def reason(t: Column) -> Column:
-        total = F.greatest(F.length(F.translate(t, rx.BLANKS, "")), F.lit(1))
+        total = F.greatest(rx.dense(t), F.lit(1))
         letters = F.regexp_count(t, F.lit(r"\p{L}"))
         marks = F.regexp_count(t, F.lit(r"""[.,;:!?()\[\]{}"']"""))
         return (

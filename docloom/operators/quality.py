@@ -92,7 +92,7 @@ def density(text: Column) -> Column:
 
 def coherence(text: Column, family: str | None) -> Column:
     parts = F.filter(F.split(text, r"[.!?]+"), lambda s: F.length(rx.trim(s)) > 5)
-    words = lambda s: F.size(F.split(s, rx.java(r"\s+"), -1))
+    words = lambda s: rx.count(s, r"\s+") + 1
     bonus = F.when(rx.test(text, *REQUIREMENT[family]), F.lit(0.15)).otherwise(0.0) if family in REQUIREMENT else F.lit(0.0)
 
     def score(s: Column) -> Column:
@@ -105,7 +105,7 @@ def coherence(text: Column, family: str | None) -> Column:
 
 def specificity(text: Column, units: str | None) -> Column:
     hits = rx.count(text, UNITS[units], "i") if units in UNITS else F.lit(0)
-    total = F.length(F.translate(text, rx.BLANKS, ""))
+    total = rx.dense(text)
     digits = F.when(total > 0, F.least(F.lit(0.2).cast("double"), F.regexp_count(text, F.lit("[0-9]")) / total * 2)).otherwise(0.0)
     return F.least(
         F.lit(1.0),
@@ -128,16 +128,16 @@ RULES = ("size_fit", "boundary_quality", "cross_reference_cut", "table_cut", "he
 def rules(chunks: DataFrame, family: str | None = None, units: str | None = None) -> DataFrame:
     """``chunks`` with the six rule metrics and their mean over the non-null ones (rule_mean)."""
     c, k = F.col("content"), F.col("chunk_type")
-    scored = chunks.withColumns(
-        {
-            "size_fit": size_fit(c),
-            "boundary_quality": boundary_quality(c, k),
-            "cross_reference_cut": cross_reference_cut(c),
-            "table_cut": table_cut(c, k, F.col("extension")),
-            "header_pollution": header_pollution(c),
-            "content_score": content_score(c, k, family, units),
-        }
-    )
+    scores = {
+        "size_fit": size_fit(c),
+        "boundary_quality": boundary_quality(c, k),
+        "cross_reference_cut": cross_reference_cut(c),
+        "table_cut": table_cut(c, k, F.col("extension")),
+        "header_pollution": header_pollution(c),
+        "content_score": content_score(c, k, family, units),
+    }
+    # once: the metrics are read by their mean, by averages and by percentiles
+    scored = T.once(chunks, "_m", F.struct(*[x.alias(m) for m, x in scores.items()])).withColumns({m: F.col(f"_m.{m}") for m in RULES}).drop("_m")
     values = sum((F.coalesce(F.col(m), F.lit(0.0)) for m in RULES), F.lit(0.0))
     present = sum((F.col(m).isNotNull().cast("int") for m in RULES), F.lit(0))
     return scored.withColumn("rule_mean", values / present)

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer partitions than cores, dealt to all of them by its key; any other as it is.
+
+    Work on texts costs far more than moving a small table once.  A file of one row group is one task
+    whatever the cores; tables of a cluster's size have more partitions than cores and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:
