@@ -107,3 +107,22 @@ def test_alike_names_meet_few(spark):
     a = spark.range(300).select(F.format_string("lastenheft_%05d", F.col("id") * 1111 % 99991).alias("t"))
     met = fuzzy.candidates(a.withColumn("k", F.col("t")), a.select(F.col("t").alias("n"), F.col("t").alias("k")), "t", "n", "k")
     assert met.count() < 300 * 300 / 10 and Counter(r.t == r.n for r in met.collect())[True] == 300
+
+
+def test_small_tables_are_dealt_to_all_cores(spark):
+    from docloom.functions import text as T
+    from docloom.plans import views
+
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.range(100).withColumnRenamed("id", "doc_id").coalesce(1)
+    assert views.spread(small, "doc_id").rdd.getNumPartitions() == 2 * cores and views.spread(small, "doc_id").count() == 100
+    many = small.repartition(2 * cores + 1)
+    assert views.spread(many, "doc_id").rdd.getNumPartitions() == 2 * cores + 1
+    texts = [None, "", "  ", "a", " two  words here　 ", "﻿", "tab\tand\nline", "ﬁne ½", "Über ß", "é"]
+    want = [0 if not t else -(-(2 * sum(len(w) for w in t.replace("﻿", " ").split()) + len(t.replace("﻿", " ").split())) // 9) for t in texts]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", T.tokens(F.col("t")).alias("n"), T.nfkc(F.col("t")).alias("c")).orderBy("k").collect()
+    import unicodedata
+
+    assert [r.n for r in got] == want
+    assert [r.c for r in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
