@@ -593,11 +593,12 @@ def test_jaccard_against_all_pairs(spark):
             if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
-    kept = jaccard_join.CELL, jaccard_join.TEXTS
-    for cell in (kept, (200, 256), (2_000_000, 2)):  # tiny chunks leave strays
-        jaccard_join.CELL, jaccard_join.TEXTS = cell
+    kept = jaccard_join.CELL, jaccard_join.TEXTS, jaccard_join.COPIES
+    # tiny chunks leave strays, few copies make families
+    for cell in (kept, (200, 256, 1_000), (2_000_000, 2, 1_000), (2_000_000, 2, 0)):
+        jaccard_join.CELL, jaccard_join.TEXTS, jaccard_join.COPIES = cell
         got = jaccard_join.jaccard_components(docs(spark, rows), slots=14).collect()
-        jaccard_join.CELL, jaccard_join.TEXTS = kept
+        jaccard_join.CELL, jaccard_join.TEXTS, jaccard_join.COPIES = kept
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
@@ -606,6 +607,54 @@ def test_jaccard_against_all_pairs(spark):
     assert jaccard_join.jaccard_components(docs(spark, []), slots=14).count() == 0
 
 
+def shared_paragraphs(n: int, seed: int = 3, copies: int = 0):
+    """Texts of 6 of 200 paragraphs, hardly any of which are linked; then ``copies`` near copies of some."""
+    rng = random.Random(seed)
+    paragraphs = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(40)) for _ in range(200)]
+    texts = [" ".join(rng.sample(paragraphs, 6)) for _ in range(n)]
+    for k in range(copies):
+        words = texts[7 * k % n].split()
+        words[rng.randrange(len(words))] = f"v{k}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_jaccard_of_shared_paragraphs(spark):
+    """A block that percolates is searched by families of lists, and loses no link."""
+    texts = shared_paragraphs(700, copies=300)
+    grams = [set(zip(*(w[k:] for k in range(5)))) for w in map(str.split, texts)]
+    holders = {}
+    for i, s in enumerate(grams):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in enumerate(grams):
+        shared = np.bincount(np.concatenate([holders[g] for g in s]), minlength=len(texts))
+        for j in np.flatnonzero(shared).tolist():
+            if j > i and 100 * shared[j] >= 80 * (len(s) + len(grams[j]) - shared[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    kept = jaccard_join.TEXTS, jaccard_join.COPIES
+    held = []
+    families = jaccard_join._families
+    jaccard_join._families = lambda *given: held.append(families(*given)) or held[-1]
+    try:
+        for jaccard_join.TEXTS, jaccard_join.COPIES in ((256, 8), (16, 8), (16, 1_000)):
+            got = jaccard_join.jaccard_components(docs(spark, rows), slots=16).collect()
+            assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(texts))}
+    finally:
+        jaccard_join.TEXTS, jaccard_join.COPIES = kept
+        jaccard_join._families = families
+    assert held  # the families were used
+
+
 def test_lists_are_combined_before_the_shuffle():
     rng = np.random.default_rng(7)
     h, n, sig = rng.integers(0, 40, 3000), rng.integers(5, 9, 3000).astype(np.int32), rng.integers(0, 500, 3000)
