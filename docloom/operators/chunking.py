@@ -16,6 +16,8 @@ SIZE, OVERLAP, BACK = 512, 64, 30
 STEP = SIZE - OVERLAP
 #: The chunker's classes ask for four blanks in a row, the projection's for three.
 MIRROR_BLANKS = 4
+#: Fixed value: blanks that end a sentence.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"
 STRATEGY = {".pdf": "semantic", ".docx": "semantic", ".xlsx": "table_rows"}
 
 
@@ -46,28 +48,41 @@ def sliding_windows(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of every paragraph: cut after .!? and blanks before a capital letter."""
     paragraphs = F.transform(F.split(text, r"\n{2,}"), rx.trim)
-    parts = F.flatten(F.transform(paragraphs, lambda p: F.split(p, rx.java(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"))))
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.split(p, rx.java(SENTENCE_END))))
     return F.filter(F.transform(parts, rx.trim), lambda s: s != "")
 
 
+def cut_sentences(text: str) -> list[str]:
+    """``sentences`` for one string."""
+    cuts = (_SENTENCE_END.split(p.strip(rx.BLANKS)) for p in re.split(r"\n{2,}", text))
+    return [s for s in (c.strip(rx.BLANKS) for parts in cuts for c in parts) if s]
+
+
+class Packer:
+    """Greedy packing of sentences, joined by a blank, into chunks of at most SIZE characters; holds one chunk."""
+
+    def __init__(self):
+        self.held = ""
+
+    def add(self, sentence: str) -> list[str]:
+        """The chunks that are full before, or with, this sentence."""
+        if len(sentence) > SIZE:
+            return self.close() + cut_windows(sentence)
+        if self.held and len(self.held) + 1 + len(sentence) > SIZE:
+            out, self.held = [self.held], sentence
+            return out
+        self.held = f"{self.held} {sentence}" if self.held else sentence
+        return []
+
+    def close(self) -> list[str]:
+        out, self.held = [self.held] if self.held else [], ""
+        return out
+
+
 def pack_sentences(items: list[str]) -> list[str]:
-    """Greedy packing of sentences, joined by a blank, into chunks of at most SIZE characters."""
-    out: list[str] = []
-    held = ""
-    for s in items:
-        if len(s) > SIZE:
-            if held:
-                out.append(held)
-            held = ""
-            out += cut_windows(s)
-        elif held and len(held) + 1 + len(s) > SIZE:
-            out.append(held)
-            held = s
-        else:
-            held = f"{held} {s}" if held else s
-    if held:
-        out.append(held)
-    return out
+    """Greedy packing of the sentences of a text."""
+    packer = Packer()
+    return [c for s in items for c in packer.add(s)] + packer.close()
 
 
 def cut_windows(text: str) -> list[str]:
@@ -87,21 +102,25 @@ def cut_windows(text: str) -> list[str]:
 
 
 _TABLE_LINE = re.compile(r"\t|\||\s{3,}")
+_SENTENCE_END = re.compile(rx.java(SENTENCE_END), re.ASCII)
 
 
 def table_chunks(text: str) -> list[tuple[str, bool]]:
     """(chunk, is_table): runs of table lines, cut from SIZE characters on, and windows of prose."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
+    size = -1  # characters of the held lines, joined
     in_table = False
 
     def flush() -> None:
+        nonlocal size
         joined = "\n".join(held)
         if in_table and held:
             out.append((joined, True))
         elif held and joined.strip():
             out.extend((w, False) for w in cut_windows(joined.strip()))
         held.clear()
+        size = -1
 
     for line in text.split("\n"):
         is_table = bool(_TABLE_LINE.search(line)) and bool(line.strip())
@@ -109,7 +128,8 @@ def table_chunks(text: str) -> list[tuple[str, bool]]:
             flush()
             in_table = is_table
         held.append(line)
-        if in_table and len("\n".join(held)) >= SIZE:
+        size += len(line) + 1
+        if in_table and size >= SIZE:
             flush()
     flush()
     return out

@@ -43,7 +43,7 @@ def test_equals_sql(spark, duck, name):
 
 
 #: Queries without SQL: each is compared with plain Python below.
-PLAIN = {"semantic_chunks", "mixed_chunks"}
+PLAIN = {"semantic_chunks", "mixed_chunks", "mixed_chunks_in_sql", "packed_chunks_in_sql"}
 
 
 def test_every_query_is_compared():
@@ -117,5 +117,5 @@ def test_chunks_equal_plain_python(spark, duck, name):
         got.setdefault(r.doc_id, []).append((r.chunk_index, r.content))
     kinds = [packed, tabular, windows_of, packed]  # .docx .xlsx .pptx .pdf
     for i, text in texts.items():
-        expected = (packed if name == "semantic_chunks" else kinds[i % 4])(text)
+        expected = (kinds[i % 4] if name.startswith("mixed") else packed)(text)
         assert [c for _, c in sorted(got.get(i, []))] == expected, i
