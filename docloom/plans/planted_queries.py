@@ -555,7 +555,7 @@ def folder_inference(spark, sf_dir):
 # a name with a dashed and one with a packed date, possible and impossible ones
 _DATED = """dated AS (SELECT *, 'spec_' || (2018 + doc_id % 15) || CASE WHEN doc_id % 2 = 0 THEN '-' ELSE '_' END || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') AS dashed,
   'v' || (1995 + doc_id % 50) || lpad(CAST(doc_id % 13 AS VARCHAR), 2, '0') || lpad(CAST(doc_id % 32 AS VARCHAR), 2, '0') AS packed,
-  substr(text_content, 1, 40) || ' Stand: ' || (doc_id % 31) || '.' || (doc_id % 13) || '.' || (1998 + doc_id % 40) || ' ' || substr(text_content, 41, 60) AS said,
+  substr(text_content, 1, 40) || ' Stand: ' || (doc_id % 31) || '.' || (doc_id % 13) || '.' || (1998 + doc_id % 40) || ' ' || substr(text_content, 41) AS said,
   CASE WHEN doc_id % 3 = 0 THEN best_date END AS meta, best_date + 1 AS created, best_date + CAST(1 + doc_id % 2 AS INTEGER) AS modified FROM planted)"""
 
 
@@ -566,7 +566,7 @@ def _dated(spark, sf_dir):
         {
             "dashed": F.concat(F.lit("spec_"), (2018 + i % 15).cast("string"), F.when(i % 2 == 0, "-").otherwise("_"), two(14), F.lit("-"), two(33)),
             "packed": F.concat(F.lit("v"), (1995 + i % 50).cast("string"), two(13), two(32)),
-            "said": F.concat(F.substring("text_content", 1, 40), F.format_string(" Stand: %d.%d.%d ", i % 31, i % 13, 1998 + i % 40), F.substring("text_content", 41, 60)),
+            "said": F.concat(F.substring("text_content", 1, 40), F.format_string(" Stand: %d.%d.%d ", i % 31, i % 13, 1998 + i % 40), F.expr("substring(text_content, 41)")),
             "meta": F.when(i % 3 == 0, F.col("best_date")),
             "created": F.date_add("best_date", 1),
             "modified": F.date_add("best_date", (1 + i % 2).cast("int")),

@@ -76,7 +76,10 @@ def _extracted(spark, sf_dir):
 _PARSED = f"""{Q._TYPES}, {Q._OEM}, parsed AS (SELECT doc_id, project, extension, language, page_count, CAST(ceil(length(text_content) / CAST(4.2 AS DOUBLE)) AS BIGINT) AS tokens, len(headings) AS headings,
   doc_type, oem, oem_source, (doc_id % 10) / 10.0::DOUBLE AS scanned_ratio, parse_success, {Q._STRATEGY} AS strategy, {Q._CONFIDENCE} AS strategy_confidence, best_date AS mtime, category,
   {Q._PDF} AS pdf_class, doc_type IN {Q._IN(C.RELIABLE_TYPES)} AND extension <> '.xlsx' AS reliable, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'external' END AS origin, filename, date_source, {Q._ALTERNATIVE} AS alternative FROM oem)"""
-_QUALITY = "quality AS (SELECT (doc_id % 10) / 10.0::DOUBLE AS index_mean, doc_id % 4 + 1 AS chunks, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 7) / 7.0::DOUBLE END AS boundary_quality, (doc_id % 9) / 9.0::DOUBLE AS coherence FROM documents)"
+# chunks of whole texts; the vectors of a label stand for those of the document with that number
+_QUALITY = f"""quality AS (WITH {TQ._CONTENT}, per AS (SELECT doc_id, avg(v) AS index_mean, count(*) AS chunks, avg(boundary_quality) AS boundary_quality FROM ix GROUP BY 1),
+  coherent AS ({TQ.SQL['cosine_neighbours_by_label']})
+  SELECT index_mean, chunks, boundary_quality, mean AS coherence FROM per LEFT JOIN coherent ON label = per.doc_id)"""
 
 
 def _parsed(spark, sf_dir):
@@ -93,8 +96,9 @@ def _parsed(spark, sf_dir):
 
 
 def _quality(spark, sf_dir):
-    i = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(((i % 10) / 10).alias("index_mean"), (i % 4 + 1).alias("chunks"), F.when(i % 5 > 0, (i % 7) / 7).alias("boundary_quality"), ((i % 9) / 9).alias("coherence"))
+    per = quality.per_document(quality.composite(TQ._scored(spark, sf_dir)))
+    near = quality.coherence_drop(table(spark, sf_dir, "embeddings"), "label", "vec_id").select(F.col("label").cast("long").alias("doc_id"), F.round("mean", 6).alias("coherence"))
+    return graph.checkpoint(per.select("doc_id", "index_mean", "chunks", "boundary_quality").join(near, "doc_id", "left").drop("doc_id"))
 
 
 def _row(name: str, value: str, threshold: float, passed: str, severity: str, source: str) -> str:
