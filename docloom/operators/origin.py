@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +28,19 @@ class CompanyIdentity:
     name: str
     aliases: tuple[str, ...] = ()
 
+    @classmethod
+    def load(cls, path: str) -> CompanyIdentity | None:
+        """The identity of a JSON file (name, aliases); None without a file, valid JSON or a name."""
+        try:
+            given = json.loads(Path(path).read_text("utf-8"))
+        except (OSError, ValueError):
+            return None
+        name = given.get("name") if isinstance(given, dict) else None
+        if not isinstance(name, str) or not name.strip():
+            return None
+        aliases = given.get("aliases")
+        return cls(name.strip(), tuple(a for a in aliases if isinstance(a, str)) if isinstance(aliases, list) else ())
+
     def words(self) -> list[str]:
         """Distinct significant words of all names."""
         import re

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -67,14 +68,33 @@ def dense_ids(paths: DataFrame) -> DataFrame:
     return ordered.join(offsets, "_p").select("absolute_path", F.format_string("doc-%03d", number).alias("id"))
 
 
+def natural_order(name: Column) -> Column:
+    """Sort key of a name: case does not matter, and runs of digits, whatever their length, compare as numbers."""
+    runs = F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_like(run, F.lit("^[0-9]"))
+        number = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.struct((~digits).alias("word"), F.when(digits, F.length(number)).otherwise(0).alias("length"), F.when(digits, number).otherwise(run).alias("run"))
+
+    return F.transform(runs, key)
+
+
 def folder_listing(files: DataFrame, directory: str) -> DataFrame:
-    """Sub-directories of ``directory`` with counts of supported files below, then its files."""
-    prefix = "" if directory in ("", ".") else directory.rstrip("/") + "/"
+    """Sub-directories of ``directory`` with counts of supported files below, then its files, in natural order.
+
+    ``directory`` is relative to the root of the paths; one that leads out of it is an error,
+    one without files below has no rows.
+    """
+    inside = posixpath.normpath(directory or ".")
+    if inside.startswith("/") or inside.split("/")[0] == "..":
+        raise ValueError(f"{directory!r} is outside of the folder")
+    prefix = "" if inside == "." else inside + "/"
     below = files.where(F.startswith("path", F.lit(prefix))).select(F.substring("path", len(prefix) + 1, 1 << 20).alias("rest"))
     head = F.split_part("rest", F.lit("/"), F.lit(1))
     kind = F.when(F.contains("rest", F.lit("/")), "directory").otherwise("file")
     rows = below.select(kind.alias("kind"), head.alias("name")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("files"))
-    return rows.orderBy("kind", F.lower("name"), "name")
+    return rows.orderBy("kind", natural_order(F.col("name")), "name")
 
 
 # HTML as expressions
