@@ -718,3 +718,16 @@ def test_pipeline_with_nulls_and_clashing_names(spark, tmp_path):
     assert all(tuple(r)[5:] == extra for r in docs_.collect() if r.doc_id != 50)
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_listed_ids_equal_broadcast_ones(spark, monkeypatch):
+    base = [" ".join(f"w{i}_{k}" for k in range(30)) for i in range(12)]
+    rows = [(2 * i + c, t if c == 0 else t + " more", "en", "s") for i, t in enumerate(base) for c in range(2)] + [(0, base[0], "en", "s")]
+    expected = sorted(map(tuple, jaccard_join.deduplicate(docs(spark, rows), slots=14).collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 1)
+    out = jaccard_join.deduplicate(docs(spark, rows), slots=14)
+    assert sorted(map(tuple, out.collect())) == expected
+    assert len(expected) == 12
+    # ids beyond a broadcast meet the texts without a shuffle of them
+    plan = out.where("doc_id > 0")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
