@@ -350,3 +350,21 @@ def test_entry_without_llm():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.FLAGSHIP in entry.queries()
+
+
+def test_boundaries_look_one_way_and_find_the_same(spark, monkeypatch):
+    from docloom.functions import classify, jsregex
+    from docloom.functions.profile import AUTOMOTIVE_DE, PATTERNS
+
+    rules = [*PATTERNS.values(), *AUTOMOTIVE_DE.requirement_patterns.values(), *((p, "i") for _, p in classify.TYPE_BY_NAME + classify.TYPE_BY_CONTENT)]
+    words = ["muss", "IST zu", "DIN EN 9001", "ISO 1:2", "1,5 mm", "6 °C.", "QV-123", "AB-CD-123", "REQ-0421", "Maß", "±", "sla", "änderungsantrag", "Doc AB 123", "\u017foll", "\u212ag", "n.i.o.", "Audi", "7 l", "EN 4102209839270622", "test report"]
+    glue = ["", " ", "_", "x", "é", "1", "-", "\n", "ſ"]
+    texts = [a + w + b for w in words for a in glue for b in glue] + ["".join(words), " ".join(words)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = [jsregex.java(*r) for r in rules]
+    monkeypatch.setattr(jsregex, "_boundary", lambda pattern, k: jsregex.BOUNDARY)
+    slow = [jsregex.java.__wrapped__(*r) for r in rules]
+    assert sum(a != b for a, b in zip(fast, slow)) > 20
+    assert not any(jsregex.BOUNDARY in p for p in fast[:3])  # norms, quality specifications
+    same = [F.regexp_extract_all("t", F.lit(a), F.lit(0)) == F.regexp_extract_all("t", F.lit(b), F.lit(0)) for a, b in zip(fast, slow)]
+    assert df.where(~F.forall(F.array(*same), lambda x: x)).collect() == []
