@@ -314,3 +314,8 @@ def test_the_url_model_acts_on_the_table(spark):
     threshold, model = url_filters.threshold_of(seen), url_filters.train(seen).first()["llr"]
     r = unseen.agg(F.count_if(url_filters.score(F.col("url"), model) > threshold).alias("blocked"), F.count(F.lit(1)).alias("n")).first()
     assert threshold < float("inf") and r.n > 40 and r.blocked <= max(2, 0.03 * r.n)
+
+
+def test_plans_of_url_filter_hold_no_model(spark):
+    pages = spark.createDataFrame([(i, f"https://a{i}.{'com/en' if i % 2 else 'net/de'}/{i}") for i in range(300)], "page_id long, url string")
+    assert len(url_filters.judge(pages)._jdf.queryExecution().toString()) < 100_000
