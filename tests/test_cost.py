@@ -31,3 +31,12 @@ def test_hints_lose_no_requirement_and_no_part_number(spark):
     parts = (F.regexp_like(c, F.lit(quality.PART_HINT)) & quality.rx.test(c, quality.PART_NUMBER)).alias("x"), quality.rx.test(c, quality.PART_NUMBER).alias("y")
     got = rows.select(*required, *parts).collect()
     assert all(r.a == r.b and r.x == r.y for r in got) and any(r.a for r in got) and any(r.x for r in got)
+
+
+def test_signatures_are_never_broadcast(spark):
+    from docloom.plans import report_queries as R
+
+    near = R.sketch_similarities(spark, "/root/testdata/sf0.001")
+    assert near.count() > 0
+    plan = near._jdf.queryExecution().optimizedPlan().toString() + near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
