@@ -40,3 +40,16 @@ def test_signatures_are_never_broadcast(spark):
     assert near.count() > 0
     plan = near._jdf.queryExecution().optimizedPlan().toString() + near._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_high_pairs_without_vectors_equal_all_pairs(spark):
+    from docloom.operators import versions
+    from tests.test_versions import fingerprints, listed
+
+    pairs = versions._position_pairs(versions.ALIKE)
+    groups = {p: g for g in range(versions.ALIKE - 1) for p in range(g, 128, versions.ALIKE - 1)}
+    assert len(pairs) == 103 and all(groups[a] == groups[b] for a, b in pairs)
+    docs = fingerprints(spark, 220, 5)
+    for penalty in (False, True):
+        want = [x for x in listed(versions.all_pairs(docs, penalty)) if x[3] == "HIGH"]
+        assert listed(versions.high_pairs(docs, penalty)) == want and (want or penalty)
