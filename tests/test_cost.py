@@ -53,3 +53,15 @@ def test_high_pairs_without_vectors_equal_all_pairs(spark):
     for penalty in (False, True):
         want = [x for x in listed(versions.all_pairs(docs, penalty)) if x[3] == "HIGH"]
         assert listed(versions.high_pairs(docs, penalty)) == want and (want or penalty)
+
+
+def test_chunks_leave_some_documents_at_a_time():
+    import pyarrow as pa
+
+    n = 5 * chunking.ROWS + 3
+    text = ["Ein Satz. " * 100 if k % 2 else None for k in range(n)]
+    items = [None if k % 2 else ["Ein Satz."] * 100 for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([".pdf"] * n), pa.array(["x" if k % 2 else "semantic" for k in range(n)]), pa.array(text), pa.array(items)], names=list("abcde"))
+    out = list(chunking.fold_batches(iter([batch])))
+    assert len(out) == 6 and max(len(set(b.column(0).to_pylist())) for b in out) == chunking.ROWS
+    assert [d for b in out for d in dict.fromkeys(b.column(0).to_pylist())] == list(range(n))
