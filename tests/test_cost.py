@@ -65,3 +65,44 @@ def test_chunks_leave_some_documents_at_a_time():
     out = list(chunking.fold_batches(iter([batch])))
     assert len(out) == 6 and max(len(set(b.column(0).to_pylist())) for b in out) == chunking.ROWS
     assert [d for b in out for d in dict.fromkeys(b.column(0).to_pylist())] == list(range(n))
+
+
+def test_types_read_the_lowered_sample_once(spark):
+    from docloom.functions import classify as C
+
+    kind = str(C.document_type(F.col("name"), F.col("headings"), F.col("sample")))
+    assert kind.count("concat_ws(") == 1 and kind.count("contains(") > len(C.CONTENT_WORDS)
+    assert str(C.detect_oem(F.col("sample"), F.col("headings"), F.col("segments"))).count("concat_ws(") == 1
+
+
+def test_words_of_patterns_lose_no_match(spark):
+    from docloom.functions import classify as C
+    from docloom.functions import jsregex as rx
+    from docloom.functions.profile import AUTOMOTIVE_DE, PLAINER, WORDS
+    from docloom.operators import references
+
+    texts = [
+        "FİKB-77 Qv 123 KB-Maſter-Nummer 5 laut Kapitel 3.1 Anlage ZK-4455", "Stand: 2024-01 eſ MUſſ ſOLLEN Kann DıCHT Ist  zu REQ-123 ORBIT-SRS-014", "Es muß AB-CD-12", "MÜSSEN DÜRFEN KÖNNEN Doc QX 90817 ABW_123 NEED-777",
+        "LEſſONS learned", "ſervice  level", "N.I.O. Test SPEC", "PRÜFVORSCHRIFT", "Firſt article InSPECTION", "ÄNDERUNGSAUFTRAG", "engineering change request", "PRÜFPLAN", "produktionsfreıgabe", "Warranty claim", "work instruction", "Supplier Manual",
+        "Norm", "8D-Report", "ISIR", "FMEA", "PRÜFBERıCHT", "Abweıchliste", "Proposal", "Spezıfikation", "Protokoll", "nothing of all this", "",
+    ]
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    tests = [(C.with_folded(c, lambda t, low, p=p: C.hits(t, low, p)), rx.test(c, *p)) for p in (*WORDS, *PLAINER)]
+    content = F.lower(c)
+    tests += [(rx.may_hit(rx.even(content), C.CONTENT_WORDS[k]) & rx.test(content, p, "i"), rx.test(content, p, "i")) for k, p in C.TYPE_BY_CONTENT]
+    for r in rows.select(c, *[F.struct(a.alias("a"), b.alias("b")).alias(f"x{k}") for k, (a, b) in enumerate(tests)]).collect():
+        assert all(x.a == x.b for x in r[1:]), r.t
+    found = rows.select(*[F.max(b.cast("int")).alias(f"x{k}") for k, (_, b) in enumerate(tests)]).first()
+    assert all(found), [k for k, x in enumerate(found) if not x]
+    lists = [references.raw_references(c, AUTOMOTIVE_DE, low) for low in (rx.folded(c), None)]
+    assert all(r.a == r.b for r in rows.select(*[F.to_json(F.struct(*[x[k].alias(k) for k in x])).alias(n) for n, x in zip("ab", lists)]).collect())
+
+
+def test_many_words_are_not_split_all(spark):
+    from docloom.functions import classify as C
+
+    texts = {"Die Achse " + "x " * n: kind for n, kind in ((5, "uncertain"), (6, "confirmed"), (78, "confirmed"), (79, "uncertain"), (5000, "uncertain"))}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.sentence_status(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == texts
+    assert str(C.sentence_status(F.col("t"))).count("split(") == 1
