@@ -106,3 +106,16 @@ def test_many_words_are_not_split_all(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.sentence_status(F.col("t")).alias("s")).collect()
     assert {r.t: r.s for r in rows} == texts
     assert str(C.sentence_status(F.col("t"))).count("split(") == 1
+
+
+def test_synthesis_reads_texts_once_for_each_input(spark, monkeypatch):
+    from collections import Counter
+
+    from docloom.plans import narrative_queries as N
+
+    calls = Counter()
+    for module, name in ((N.Q, "_resolved"), (N.R, "_parsed"), (N.Q, "_requirements"), (N.R, "_quality")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, made=made, name=name: calls.update([name]) or made(*a))
+    rows = {r.metric: r.value for r in N.narrative_synthesis(spark, "/root/testdata/sf0.001").collect()}
+    assert rows["has_pairs"] == 1 and set(calls.values()) == {1} and len(calls) == 4
