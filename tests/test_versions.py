@@ -115,3 +115,13 @@ def test_near_pairs_of_the_table(spark):
         got = sorted(map(tuple, metric.near_pairs(df, threshold, "vec_id").collect()))
         assert got == plain_near(rows, threshold)
     assert Counter(map(type, itertools.chain(*got))).keys() <= {int}
+
+
+def test_listed_pairs_are_high_pairs(spark):
+    docs = fingerprints(spark, 160)
+    of = versions.classes(docs)
+    got = versions.listed_pairs(versions.class_pairs(of).where("confidence = 'HIGH'"), of.members, docs)
+    want = versions.high_pairs(docs)
+    assert got.columns == want.columns
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(want) != []
