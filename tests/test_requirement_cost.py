@@ -30,8 +30,8 @@ def test_types_and_sentences_equal_the_plain_rules(spark):
     plain = C.ordered(list(patterns.items()), lambda _, p: rx.test(text, *p), F.lit("INFORMATIVE"))
     sentence = F.coalesce(*[F.when(plain == k, requirements._first_part(text, p)) for k, p in patterns.items()], text)
     got = rows.select(text, plain.alias("a"), C.requirement_type(text).alias("b"), sentence.alias("x"), requirements.requirement_sentence(text, plain).alias("y"))
-    got = got.select("*", C.sentence_status(F.col("x")).alias("s"), rx.test(F.col("x"), r"nicht\s+muss|muss\s+nicht|nicht\s+soll|soll\s+nicht", "i").alias("n")).collect()
-    assert [r.t for r in got if r.a != r.b or r.x != r.y or r.n != (r.s == "negated")] == []
+    got = got.select("*", C.sentence_status(F.col("x")).alias("s"), rx.test(F.col("x"), r"nicht\s+muss|muss\s+nicht|nicht\s+soll|soll\s+nicht", "i").alias("n"), requirements.type_and_status(text).alias("both")).collect()
+    assert [r.t for r in got if r.a != r.b or r.x != r.y or r.n != (r.s == "negated") or tuple(r.both) != (r.a, r.s)] == []
     assert {r.a for r in got} == {*patterns, "INFORMATIVE"} and sum(r.x != r.t for r in got) > 500 and sum(r.n for r in got) > 20
 
 
@@ -40,6 +40,7 @@ def test_long_texts_are_not_read_with_case_blind_patterns(spark):
     # one such pattern is left, of quantities, which starts with a digit or a hyphen
     assert str(C.requirement_type(text)).count("(?iu)") == 1 and NEARER[DECLARATIVE][0].startswith("[0123456789_-]")
     assert "(?iu)" not in str(C.sentence_status(text))
+    assert str(requirements.type_and_status(text)).count("lower(") == 2  # the text, and the sentence that is found
 
 
 def test_sections_are_slices_of_lines_and_no_fold(spark):
