@@ -731,3 +731,26 @@ def test_listed_ids_equal_broadcast_ones(spark, monkeypatch):
     # ids beyond a broadcast meet the texts without a shuffle of them
     plan = out.where("doc_id > 0")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_ids_do_not_meet_in_the_driver(spark, monkeypatch):
+    """Beyond BROADCAST_IDS joins merge, whatever Spark thinks of their size, and ids are filtered by bits of executors' making."""
+    words = lambda *w: " ".join(w)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, words(*base, f"end{i}")) for i in range(8)] + [(i, words(*[f"x{i}y{k}" for k in range(20)])) for i in range(8, 12)]
+    rows += [(3, rows[3][1]), (11, rows[11][1]), (11, rows[11][1]), (None, rows[9][1]), (20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=str)
+    kept = sorted(map(tuple, jaccard_join.deduplicate(docs).collect()), key=str)
+    assert len({c for *_, c in want}) == 6 and len(kept) == 6
+
+    def refuse(*_):
+        raise AssertionError("ids came to the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=str) == want
+    assert sorted(map(tuple, jaccard_join.deduplicate(docs).collect()), key=str) == kept
+    ids = spark.range(5)
+    joined = jaccard_join._beside(docs, ids.withColumnRenamed("id", "doc_id"), ["doc_id"], "left_semi")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
