@@ -125,3 +125,14 @@ def test_listed_pairs_are_high_pairs(spark):
     assert got.columns == want.columns
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(got) == rows(want) != []
+
+
+def test_pair_queries_list_every_pair_of_documents(spark):
+    """Documents of one class have texts and dates of their own, so their pairs are rows, with what each pair says."""
+    from docloom.plans import report_queries as R
+
+    sf = "/root/testdata/sf0.001"
+    every = versions.all_pairs(R._fingerprints(spark, sf, False)).collect()
+    shown = ("doc_a", "doc_b", "structural_match", "minhash", "same_directory", "days", "score", "confidence", "likely_newer")
+    got = R.version_pairs(spark, sf).collect()
+    assert len(got) > 1000 and sorted(str([r[c] for c in shown]) for r in got) == sorted(str([r[c] for c in shown]) for r in every)
