@@ -136,3 +136,8 @@ def test_pair_queries_list_every_pair_of_documents(spark):
     shown = ("doc_a", "doc_b", "structural_match", "minhash", "same_directory", "days", "score", "confidence", "likely_newer")
     got = R.version_pairs(spark, sf).collect()
     assert len(got) > 1000 and sorted(str([r[c] for c in shown]) for r in got) == sorted(str([r[c] for c in shown]) for r in every)
+    partners: dict[int, list] = {}
+    for r in sorted(every, key=lambda r: (r.doc_a, r.doc_b)):
+        if r.score >= 5:
+            partners.setdefault(r.doc_a, []).append(f"{r.doc_b}:{r.score}")
+    assert {r.doc_a: r.partners for r in R.version_audit(spark, sf).collect()} == {a: ",".join(x) for a, x in partners.items()}
