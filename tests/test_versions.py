@@ -136,6 +136,8 @@ def test_pair_queries_list_every_pair_of_documents(spark):
     shown = ("doc_a", "doc_b", "structural_match", "minhash", "same_directory", "days", "score", "confidence", "likely_newer")
     got = R.version_pairs(spark, sf).collect()
     assert len(got) > 1000 and sorted(str([r[c] for c in shown]) for r in got) == sorted(str([r[c] for c in shown]) for r in every)
+    medium = R.medium_pairs(spark, sf).collect()
+    assert sorted((r.doc_a, r.doc_b) for r in medium) == sorted((r.doc_a, r.doc_b) for r in every if r.confidence == "MEDIUM")
     partners: dict[int, list] = {}
     for r in sorted(every, key=lambda r: (r.doc_a, r.doc_b)):
         if r.score >= 5:
